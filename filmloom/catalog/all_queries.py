@@ -1,6 +1,6 @@
 """Imports every query module, which fills the registry."""
 
-from filmloom.catalog import log_queries, manifest_queries, scene_queries  # noqa: F401
+from filmloom.catalog import log_queries, manifest_queries, scene_queries, stream_queries  # noqa: F401
 from filmloom.catalog.registry import QUERIES
 
 FLAGSHIP = QUERIES["e6_scene_representative"]

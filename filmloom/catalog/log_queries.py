@@ -69,7 +69,7 @@ def b17_clock(spark, sf):
 
 
 @query("b24_memory_percent", """
-SELECT node_id, probe_no, CASE WHEN memory_total > 0 THEN round_even(CAST(memory_used AS DOUBLE) / memory_total * 100, 1) ELSE CAST(0 AS DOUBLE) END AS used_percent FROM gpus
+SELECT node_id, probe_no, CASE WHEN memory_total > 0 THEN CAST(printf('%.1f', CAST(memory_used AS DOUBLE) / memory_total * 100) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS used_percent FROM gpus
 """)
 def b24(spark, sf):
     return G.parse_gpu_lines(D.gpu_lines(spark, sf)).select("node_id", "probe_no", G.memory_percent().alias("used_percent"))

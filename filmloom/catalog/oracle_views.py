@@ -248,11 +248,12 @@ def with_views(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
+    sql = sql.strip()
     if not needed:
-        return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed) + "\n" + _join_with(sql.strip())
-
-
-def _join_with(sql: str) -> str:
-    """A statement that brings its own WITH continues the list."""
-    return ", " + sql[5:] if sql.upper().startswith("WITH ") else sql
+        return sql
+    views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
+    # A statement that brings its own WITH continues the list.
+    own = re.match(r"WITH\s+(RECURSIVE\s+)?", sql)
+    if own is None:
+        return f"WITH {views}\n{sql}"
+    return f"WITH {own.group(1) or ''}{views},\n{sql[own.end():]}"

@@ -11,10 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keyed streaming state off the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def build_session(app: str = "filmloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -23,8 +23,3 @@ def build_session(app: str = "filmloom", master: str | None = None, **conf: str)
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def use_keyed_state_store(spark: SparkSession) -> None:
-    """Arbitrary keyed state needs the RocksDB store; it also keeps large state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

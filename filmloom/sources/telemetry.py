@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.functions.numbers import round_tenth
 from filmloom.functions.text import strip
 
 # Field order of the two probe formats.
@@ -27,7 +28,7 @@ def parse_gpu_lines(lines: DataFrame, fields: list[str] = FULL_FIELDS) -> DataFr
 def memory_percent() -> Column:
     """Used memory in percent with one decimal; 0 where the total is 0."""
     used, total = F.col("memory_used"), F.col("memory_total")
-    return F.when(total > 0, F.bround(used / total * 100, 1)).otherwise(0.0)
+    return F.when(total > 0, round_tenth(used / total * 100)).otherwise(0.0)
 
 
 # The three ways the services call a GPU idle.
