@@ -158,8 +158,8 @@ def d20(spark, sf):
 @query("d23_thumbnail_frame", """
 SELECT video_id, win, arg_min(frame_idx, e * 100000 + frame_idx) AS frame_idx FROM (
   SELECT video_id, win, frame_idx, CAST(sum((n * c - s) ** 2) AS BIGINT) AS e FROM (
-    SELECT f.video_id, f.win, f.frame_idx, t.s, t.n, count(p.v) AS c FROM (SELECT *, frame_idx // 10 AS win FROM frames) f
-    JOIN (SELECT video_id, win, v, count(*) AS s, any_value(n) AS n FROM (SELECT video_id, frame_idx // 10 AS win, unnest(px) AS v, count(*) OVER (PARTITION BY video_id, frame_idx // 10) AS n FROM frames) GROUP BY 1, 2, 3) t
+    SELECT f.video_id, f.win, f.frame_idx, t.v, t.s, t.n, count(p.v) AS c FROM (SELECT *, frame_idx // 10 AS win FROM frames) f
+    JOIN (SELECT video_id, win, v, count(*) AS s, any_value(n) AS n FROM (SELECT video_id, win, n, unnest(px) AS v FROM (SELECT *, frame_idx // 10 AS win, count(*) OVER (PARTITION BY video_id, frame_idx // 10) AS n FROM frames)) GROUP BY 1, 2, 3) t
       ON t.video_id = f.video_id AND t.win = f.win
     LEFT JOIN (SELECT video_id, frame_idx, unnest(px) AS v FROM frames) p ON p.video_id = f.video_id AND p.frame_idx = f.frame_idx AND p.v = t.v
     GROUP BY ALL) GROUP BY 1, 2, 3) GROUP BY 1, 2

@@ -45,7 +45,7 @@ def overlapping_batches(members: DataFrame, size: int = SLOTS, overlap: int = OV
 def filled_slots(batched: DataFrame, keys: Sequence[str], size: int = SLOTS, repeat_last: bool = True) -> DataFrame:
     """All slots of every batch. Free slots repeat the last member, or stay blank; ``is_fill`` marks them."""
     sizes = batched.groupBy(*keys, "batch_no").agg((F.max("slot") + 1).alias("used"))
-    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).cast("bigint"))
+    slots = sizes.withColumn("slot", F.explode(F.sequence(*[F.lit(i).cast("bigint") for i in (0, size - 1)])))
     source = F.least("slot", F.col("used") - 1) if repeat_last else F.col("slot")
     wanted = slots.select(
         *keys, "batch_no", F.col("slot").alias("to_slot"), source.alias("slot"), (F.col("slot") >= F.col("used")).alias("is_fill")

@@ -282,4 +282,4 @@ def shuffled_batches(batches: DataFrame, seed: int) -> DataFrame:
 
 def tone(px: Column, rule) -> Column:
     """Apply a per-value column rule to a packed plane."""
-    return F.transform(px, rule)
+    return F.transform(px, lambda v: rule(v))
