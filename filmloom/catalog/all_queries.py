@@ -5,6 +5,8 @@ from filmloom.catalog import (  # noqa: F401
     frame_queries,
     log_queries,
     manifest_queries,
+    model_queries,
+    pixel_queries,
     scene_queries,
     stream_queries,
 )

@@ -254,6 +254,7 @@ def sharpness(frames: DataFrame) -> DataFrame:
     def at(y: Column, x: Column) -> Column:
         y = F.when(y < 0, -y).when(y >= F.col("h"), F.col("h") * 2 - 2 - y).otherwise(y)
         x = F.when(x < 0, -x).when(x >= F.col("w"), F.col("w") * 2 - 2 - x).otherwise(x)
+        y, x = F.least(y, F.col("h") - 1), F.least(x, F.col("w") - 1)
         return F.get("px", (y * F.col("w") + x).cast("int"))
 
     def laplacian(v: Column, i: Column) -> Column:
@@ -270,13 +271,13 @@ def sharpness(frames: DataFrame) -> DataFrame:
 
 
 def loss(batches: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Mean absolute chroma error per batch, and a weighted sum of named losses where given."""
+    """Mean absolute chroma error ``ab_loss`` per batch; with ``weights``, the weighted sum of it and named losses."""
     error = (F.abs(F.col("a") - F.col("pred_a")) + F.abs(F.col("b") - F.col("pred_b"))) / 2
-    named = {n: F.avg(n) for n in (weights or {})}
-    out = batches.groupBy("video_id", "batch_no").agg(F.avg(error).alias("ab_loss"), *[c.alias(n) for n, c in named.items()])
+    named = [n for n in (weights or {}) if n != "ab_loss"]
+    out = batches.groupBy("video_id", "batch_no").agg(F.avg(error).alias("ab_loss"), *[F.avg(n).alias(n) for n in named])
     if not weights:
         return out
-    return out.withColumn("total_loss", F.col("ab_loss") + sum(F.col(n) * w for n, w in weights.items()))
+    return out.withColumn("total_loss", sum(F.col(n) * w for n, w in weights.items()))
 
 
 def local_contrast(frames: DataFrame, grid: tuple[int, int] = (8, 8), clip_limit: float = 2.0) -> DataFrame:
