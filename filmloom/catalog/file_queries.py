@@ -15,8 +15,6 @@ from filmloom.sources import derived as D
 from filmloom.sources import files as FS
 from filmloom.sources import templates as TP
 
-PATH, NAME = F.col("path"), F.col("name")
-
 
 def stored(spark, sf):
     """The part names as text files and as JSON files, one folder per size."""
@@ -54,7 +52,7 @@ def a11(spark, sf):
 
 @query("b11_allowed_suffix", "SELECT file_id, name, contains(name, '.') AND lower(split_part(name, '.', -1)) IN ('mp4', 'avi', 'mov', 'mkv', 'webm') AS allowed FROM files")
 def b11(spark, sf):
-    return D.files(spark, sf).select("file_id", "name", P.has_suffix(NAME, P.VIDEO_SUFFIXES).alias("allowed"))
+    return D.files(spark, sf).select("file_id", "name", P.has_suffix(F.col("name"), P.VIDEO_SUFFIXES).alias("allowed"))
 
 
 @query("b12_resolve_inside", """
@@ -62,7 +60,7 @@ SELECT file_id, full_path, starts_with(full_path, '/workspace/') AS is_inside, s
 """)
 def b12(spark, sf):
     full = F.col("full_path")
-    return D.files(spark, sf).select("file_id", P.resolve_under(PATH).alias("full_path")).select(
+    return D.files(spark, sf).select("file_id", P.resolve_under(F.col("path")).alias("full_path")).select(
         "file_id", "full_path", P.is_inside(full).alias("is_inside"), P.is_inside(full, boundary=False).alias("has_prefix")
     )
 
@@ -77,7 +75,7 @@ SELECT file_id, regexp_replace(name, '\\.[^.]+$', '') || '/restore__' || left(sh
 """)
 def b15(spark, sf):
     return D.files(spark, sf).select(
-        "file_id", P.step_path(P.resolve_under(PATH), PATH, "restore").alias("step_path"), P.text_key(PATH).alias("path_key")
+        "file_id", P.step_path(P.resolve_under(F.col("path")), F.col("path"), "restore").alias("step_path"), P.text_key(F.col("path")).alias("path_key")
     )
 
 
@@ -123,7 +121,7 @@ def b22(spark, sf):
 
 def name_numbers():
     return [
-        T.number_in(PATH, r"Scene_(\d+)", 999).alias("scene_num"), T.number_in(PATH, r"Actor_(\d+)\.mp4$", 999).alias("actor_num"),
+        T.number_in(F.col("path"), r"Scene_(\d+)", 999).alias("scene_num"), T.number_in(F.col("path"), r"Actor_(\d+)\.mp4$", 999).alias("actor_num"),
     ]
 
 

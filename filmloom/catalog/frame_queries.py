@@ -15,7 +15,6 @@ from filmloom.operators import scenes as S
 from filmloom.plans.storage import scratch_path
 from filmloom.sources import derived as D
 
-PX_SUM = FR.plane_sum("px").alias("px_sum")
 PX_SUM_SQL = "CAST(list_sum(px) AS BIGINT) AS px_sum"
 
 
@@ -24,7 +23,7 @@ def block(name, size=4096):
 
 
 def summed(df, *extra):
-    return df.select("video_id", "frame_idx", *extra, PX_SUM)
+    return df.select("video_id", "frame_idx", *extra, FR.plane_sum("px").alias("px_sum"))
 
 
 @query("b26_tone_map", """

@@ -13,9 +13,6 @@ from filmloom.operators import logs as L
 from filmloom.sources import derived as D
 from filmloom.sources import telemetry as G
 
-LINE = F.col("line")
-
-
 @query("a7_gpu_text", "SELECT node_id, probe_no, gpu_index, name, utilization, memory_used, memory_total, temperature FROM gpus")
 def a7(spark, sf):
     return G.parse_gpu_lines(D.gpu_lines(spark, sf)).drop("part")
@@ -54,7 +51,7 @@ WHERE h <> ''"""
 
 @query("b17_timecodes", f"SELECT job_id, line_no, round(seconds, 6) AS seconds, CAST(floor(25 * seconds) AS BIGINT) AS frame FROM ({MARK_SQL})")
 def b17(spark, sf):
-    seconds = TC.mark_seconds(LINE)
+    seconds = TC.mark_seconds(F.col("line"))
     return D.log(spark, sf).select(
         "job_id", "line_no", F.round(seconds, 6).alias("seconds"), TC.frame_at(seconds, F.lit(25.0)).alias("frame")
     ).filter("seconds IS NOT NULL")
@@ -192,7 +189,7 @@ def e22(spark, sf):
 
 @query("h1_progress_percent", f"SELECT job_id, line_no, {PERCENT_SQL} AS progress FROM log")
 def h1(spark, sf):
-    return D.log(spark, sf).select("job_id", "line_no", PR.percent(LINE).alias("progress"))
+    return D.log(spark, sf).select("job_id", "line_no", PR.percent(F.col("line")).alias("progress"))
 
 
 @query("h2_progress_dialects", """
@@ -203,7 +200,7 @@ FROM (SELECT *, regexp_extract(line, '(\\d{1,3})%', 1) AS f, regexp_extract(line
 """)
 def h2(spark, sf):
     rules = {"first_percent": PR.first_percent, "bar_percent": PR.bar_percent, "bar_digits": PR.bar_digits, "frame_percent": PR.frame_percent}
-    return D.log(spark, sf).select("job_id", "line_no", *[rule(LINE).alias(n) for n, rule in rules.items()])
+    return D.log(spark, sf).select("job_id", "line_no", *[rule(F.col("line")).alias(n) for n, rule in rules.items()])
 
 
 @query("h3_stage_of_line", f"""

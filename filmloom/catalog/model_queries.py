@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from filmloom.catalog.registry import query
 from filmloom.catalog.scene_queries import cuts, members
@@ -20,7 +21,7 @@ def ramp_model():
 
 @query("i1_batched_model", "SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: CAST(embedding[i + 1] AS DOUBLE) * i)), 6) AS score FROM embeddings")
 def i1(spark, sf):
-    scored = I.with_prediction(D.table(spark, sf, "embeddings"), "embedding", ramp_model, [64], "score", "double")
+    scored = I.with_prediction(D.table(spark, sf, "embeddings"), "embedding", ramp_model, [64], "score", DoubleType())
     return scored.select("vec_id", F.round("score", 6).alias("score"))
 
 

@@ -15,7 +15,6 @@ from filmloom.sources import derived as D
 
 SIDE = D.SIDE
 CELL = ["video_id", "frame_idx", "y", "x"]
-R, G, B = F.col("r"), F.col("g"), F.col("b")
 
 
 def rounded(df, *names):
@@ -46,7 +45,7 @@ def b27(spark, sf):
     df = C.with_hsv(C.with_lab(D.pixels(spark, sf)))
     l, a, b = F.col("lab_l"), F.col("lab_a"), F.col("lab_b")
     return df.select(
-        *CELL, C.gray(R, G, B).alias("gray"), F.round(l / 100.0, 6).alias("l_share"), C.to_byte(l / 100.0 * 255.0).alias("l_byte"),
+        *CELL, C.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"), F.round(l / 100.0, 6).alias("l_share"), C.to_byte(l / 100.0 * 255.0).alias("l_byte"),
         C.to_byte(a + 128.0).alias("a_byte"), C.to_byte(b + 128.0).alias("b_byte"),
         F.round(C.clip((a / 128.0 + 1.0) / 2.0, 0.0, 1.0), 6).alias("a_share"), "hsv_h", "hsv_s", "hsv_v",
     )
@@ -58,7 +57,7 @@ FROM ({Q.rgb("(SELECT *, b / CAST(255 AS DOUBLE) * 100 AS la, (g / CAST(255 AS D
 """)
 def b28(spark, sf):
     lab = D.pixels(spark, sf).withColumns(
-        {"la": B / 255.0 * 100.0, "aa": (G / 255.0 * 2.0 - 1.0) * 127.0, "ba": (R / 255.0 * 2.0 - 1.0) * 127.0}
+        {"la": F.col("b") / 255.0 * 100.0, "aa": (F.col("g") / 255.0 * 2.0 - 1.0) * 127.0, "ba": (F.col("r") / 255.0 * 2.0 - 1.0) * 127.0}
     )
     out = C.with_rgb_from_lab(lab, "la", "aa", "ba", ("r1", "g1", "b1"))
     return out.select(*CELL, *[C.to_byte(F.col(c) * 255.0).alias(n) for c, n in (("r1", "red"), ("g1", "green"), ("b1", "blue"))])
@@ -93,7 +92,7 @@ def b29_gain(spark, sf):
 SELECT video_id, frame_idx, round(avg(g), 6) AS mean_a, round(avg(r), 6) AS mean_b, avg(g) > 132 OR avg(r) > 135 AS is_warm FROM pixels GROUP BY 1, 2
 """)
 def d6(spark, sf):
-    return rounded(PX.color_cast(D.pixels(spark, sf).select(*CELL, G.alias("a"), R.alias("b"))), "mean_a", "mean_b")
+    return rounded(PX.color_cast(D.pixels(spark, sf).select(*CELL, F.col("g").alias("a"), F.col("r").alias("b"))), "mean_a", "mean_b")
 
 
 # detections
@@ -226,7 +225,7 @@ def d12(spark, sf):
 
 @query("d12_gray_subtract", "SELECT video_id, frame_idx, y, x, greatest(b - (g | r | (255 - b)), 0) AS gray_a, g | r AS gray_b FROM pixels")
 def d12_gray(spark, sf):
-    named = D.pixels(spark, sf).select(*CELL, B.alias("g1"), G.alias("g2"), R.alias("g3"), (F.lit(255) - B).alias("g4"))
+    named = D.pixels(spark, sf).select(*CELL, F.col("b").alias("g1"), F.col("g").alias("g2"), F.col("r").alias("g3"), (F.lit(255) - F.col("b")).alias("g4"))
     return PX.gray_masks(named).select(*CELL, "gray_a", "gray_b")
 
 
@@ -305,7 +304,7 @@ def i2(spark, sf):
 
 @query("d17_feathered_merge", MERGE_SQL.format(weight=WEIGHT_SQL, tiled=f"SELECT *, b * (1 + tile_no % 3) AS v FROM ({TILED_SQL})"))
 def d17(spark, sf):
-    scaled = tiled(spark, sf).withColumn("v", (B * (F.col("tile_no") % 3 + 1)).cast("double"))
+    scaled = tiled(spark, sf).withColumn("v", (F.col("b") * (F.col("tile_no") % 3 + 1)).cast("double"))
     return rounded(PX.merge_feathered(scaled, TILE, FADE), "v")
 
 
@@ -313,20 +312,19 @@ def d17(spark, sf):
 SELECT video_id, frame_idx, y, x, arg_max(a, m) AS a, arg_max(c, m) AS b FROM (SELECT *, (a * a + c * c) * 1000 - tile_no AS m FROM (SELECT *, b - 100 + tile_no % 5 AS a, g - 100 - tile_no % 3 AS c FROM ({TILED_SQL}))) GROUP BY 1, 2, 3, 4
 """)
 def d18(spark, sf):
-    shifted = tiled(spark, sf).select(*CELL, "tile_no", (B - 100 + F.col("tile_no") % 5).alias("a"), (G - 100 - F.col("tile_no") % 3).alias("b"))
+    shifted = tiled(spark, sf).select(*CELL, "tile_no", (F.col("b") - 100 + F.col("tile_no") % 5).alias("a"), (F.col("g") - 100 - F.col("tile_no") % 3).alias("b"))
     return PX.merge_strongest(shifted)
 
 
 @query("i3_tile_map_merge", MERGE_SQL.format(weight=WEIGHT_SQL, tiled=f"SELECT *, b - avg(b) OVER (PARTITION BY video_id, frame_idx, tile_no) AS v FROM ({TILED_SQL})"))
 def i3(spark, sf):
-    cells = D.pixels(spark, sf).select(*CELL, B.cast("double").alias("v"))
-    mapped = PX.map_tiles(cells, TILE, STRIDE, SIDE, SIDE, lambda grid: grid - grid.mean())
+    mapped = PX.map_tiles(D.frames(spark, sf), TILE, STRIDE, lambda grid: grid - grid.mean())
     return rounded(PX.merge_feathered(mapped, TILE, FADE), "v")
 
 
 @query("d19_area_downscale", "SELECT video_id, frame_idx, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, avg(b) AS v FROM pixels GROUP BY 1, 2, 3, 4")
 def d19(spark, sf):
-    return PX.block_mean(D.pixels(spark, sf).withColumn("v", B), 2)
+    return PX.block_mean(D.pixels(spark, sf).withColumn("v", F.col("b")), 2)
 
 
 @query("d21_loss", """
@@ -335,8 +333,8 @@ SELECT video_id, frame_idx // 16 AS batch_no, round(avg((abs(g - b) + abs(r - b)
 """)
 def d21(spark, sf):
     batches = D.pixels(spark, sf).select(
-        "video_id", F.floor(F.col("frame_idx") / 16).alias("batch_no"), G.alias("a"), R.alias("b"), B.alias("pred_a"), B.alias("pred_b"),
-        (G * G).alias("second"), F.abs(R - G).alias("third"),
+        "video_id", F.floor(F.col("frame_idx") / 16).alias("batch_no"), F.col("g").alias("a"), F.col("r").alias("b"), F.col("b").alias("pred_a"), F.col("b").alias("pred_b"),
+        (F.col("g") * F.col("g")).alias("second"), F.abs(F.col("r") - F.col("g")).alias("third"),
     )
     out = PX.loss(batches, {"ab_loss": 0.5, "second": 0.25, "third": 2.0})
     return rounded(out, "ab_loss", "total_loss").select("video_id", "batch_no", "ab_loss", "total_loss")
@@ -348,7 +346,7 @@ WITH hist AS (SELECT video_id, frame_idx, y // 4 AS ty, x // 4 AS tx, b AS v, co
      want AS (SELECT p.video_id, p.frame_idx, p.y, p.x, p.b AS v, least(greatest(ky, 0), 1) AS ty, least(greatest(kx, 0), 1) AS tx,
                      (CASE WHEN j = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN i = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS k
               FROM (SELECT *, CAST(floor(fy) AS BIGINT) + j AS ky, CAST(floor(fx) AS BIGINT) + i AS kx FROM (SELECT *, y / CAST(4 AS DOUBLE) - 0.5::DOUBLE AS fy, x / CAST(4 AS DOUBLE) - 0.5::DOUBLE AS fx FROM pixels) CROSS JOIN range(2) a(j) CROSS JOIN range(2) b(i)) p),
-     lut AS (SELECT w.video_id, w.frame_idx, w.y, w.x, w.k, least(round_even((coalesce(sum(least(h.c, 1)), 0) + least(any_value(t.rest), CASE WHEN any_value(t.rest) = 0 THEN 0 ELSE any_value(w.v) // greatest(256 // any_value(t.rest), 1) + 1 END)) * (CAST(255 AS DOUBLE) / 16), 0), 255) AS o
+     lut AS (SELECT w.video_id, w.frame_idx, w.y, w.x, w.k, least(round_even((count(h.c) + least(any_value(t.rest), CASE WHEN any_value(t.rest) = 0 THEN 0 ELSE any_value(w.v) // greatest(256 // any_value(t.rest), 1) + 1 END)) * (CAST(255 AS DOUBLE) / 16), 0), 255) AS o
              FROM (SELECT *, row_number() OVER () AS id FROM want) w JOIN tile t ON t.video_id = w.video_id AND t.frame_idx = w.frame_idx AND t.ty = w.ty AND t.tx = w.tx
              LEFT JOIN hist h ON h.video_id = w.video_id AND h.frame_idx = w.frame_idx AND h.ty = w.ty AND h.tx = w.tx AND h.v <= w.v GROUP BY w.id, w.video_id, w.frame_idx, w.y, w.x, w.k)
 SELECT video_id, frame_idx, CAST(y * 8 + x AS INTEGER) AS pos, CAST(round_even(sum(k * o), 0) AS INTEGER) AS v FROM lut GROUP BY 1, 2, 3
@@ -362,7 +360,7 @@ SELECT video_id, frame_idx, y, x, b / CAST(255 AS DOUBLE) || ',' || g / CAST(255
 """)
 def i6(spark, sf):
     cells = D.pixels(spark, sf)
-    share = {"L": B, "A": G, "B": R, "person": ((B + 37) % 4 == 0).cast("int") * 255}
+    share = {"L": F.col("b"), "A": F.col("g"), "B": F.col("r"), "person": ((F.col("b") + 37) % 4 == 0).cast("int") * 255}
     planes = cells.select(*CELL, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), (c / 255.0).alias("v")) for n, c in share.items()])))
     stacked = PX.channel_stack(cells, planes, list(share))
     return stacked.select(*CELL, F.array_join(F.col("stack").cast("array<string>"), ",").alias("stack"))

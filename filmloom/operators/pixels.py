@@ -6,7 +6,7 @@ frames, tiles and positions and never gathers a video.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -159,15 +159,17 @@ def gained(
 # tiles
 
 
-def tile_grid(frames: DataFrame, tile: int, stride: int) -> DataFrame:
+def tile_grid(frames: DataFrame, tile: int, stride: int, keep: Sequence[str] = ()) -> DataFrame:
     """Tiles of a stride walk over a frame, cut at the edges, numbered row by row."""
-    rows = frames.select(*KEYS, "h", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1, F.lit(stride))).alias("ty"))
+    kept = [*keep, "w"] if keep else []
+    rows = frames.select(*KEYS, "h", "w", *keep, F.explode(F.sequence(F.lit(0), F.col("h") - 1, F.lit(stride))).alias("ty"))
     cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("w") - 1, F.lit(stride))).alias("tx"))
     per_row = F.ceil(F.col("w") / stride)
     return cells.select(
         *KEYS,
         (F.floor(F.col("ty") / stride) * per_row + F.floor(F.col("tx") / stride)).alias("tile_no"), "ty", "tx",
         F.least(F.lit(tile), F.col("h") - F.col("ty")).alias("th"), F.least(F.lit(tile), F.col("w") - F.col("tx")).alias("tw"),
+        *kept,
     )
 
 
@@ -217,25 +219,29 @@ def merge_strongest(tiled: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return tiled.groupBy(*CELL).agg(best).select(*CELL, f"best.{a}", f"best.{b}")
 
 
-def map_tiles(
-    cells: DataFrame, tile: int, stride: int, height: int, width: int, function, schema: str = "y int, x int, v double"
-) -> DataFrame:
-    """Cut into tiles, call ``function(values) -> values`` on each tile's array, keep tile positions.
+def map_tiles(frames: DataFrame, tile: int, stride: int, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Cut packed frames into tiles, call ``function`` on each tile's array, and list the tile cells.
 
-    Groups are single tiles, so their size is fixed by ``tile``.
+    A tile is cut out of its own row, so nothing is shuffled before the function; the tiles of
+    an Arrow batch are handed over together.
     """
-    tiled = tile_cells(cells, tile, stride, height, width)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        grid = np.zeros((int(first.th), int(first.tw)))
-        ys, xs = (pdf.y - pdf.ty).to_numpy(), (pdf.x - pdf.tx).to_numpy()
-        grid[ys, xs] = pdf.v.to_numpy()
-        return pdf.assign(v=np.asarray(function(grid))[ys, xs])
-
-    out = "video_id bigint, frame_idx bigint, tile_no bigint, ty bigint, tx bigint, th bigint, tw bigint, " + schema
-    ordered = ["video_id", "frame_idx", "tile_no", "ty", "tx", "th", "tw", "y", "x", "v"]
-    return tiled.select(*ordered).groupBy(*KEYS, "tile_no").applyInPandas(lambda pdf: run(pdf)[ordered], out)
+    tiles = tile_grid(frames, tile, stride, keep=("px",))
+    rows = F.sequence("ty", F.col("ty") + F.col("th") - 1)
+    crop = F.flatten(F.transform(rows, lambda y: F.slice("px", y * F.col("w") + F.col("tx") + 1, F.col("tw"))))
+    tiles = tiles.withColumn("crop", crop)
+
+    @F.pandas_udf("array<double>")
+    def call(crops: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
+        return pd.Series(
+            [np.asarray(function(np.asarray(c, dtype="float64").reshape(h, w))).ravel() for c, h, w in zip(crops, heights, widths)]
+        )
+
+    called = tiles.withColumn("out", call("crop", "th", "tw"))
+    cells = called.select(*KEYS, "tile_no", "ty", "tx", "tw", F.posexplode("out").alias("i", "v"))
+    return cells.select(
+        *KEYS, "tile_no", "ty", "tx", (F.col("ty") + F.floor(F.col("i") / F.col("tw"))).cast("int").alias("y"),
+        (F.col("tx") + F.col("i") % F.col("tw")).alias("x"), "v",
+    )
 
 
 def block_mean(cells: DataFrame, factor: int, value: str = "v") -> DataFrame:
