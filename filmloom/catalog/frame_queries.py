@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from filmloom.catalog.file_queries import name_numbers
 from filmloom.catalog.registry import query
-from filmloom.catalog.scene_queries import cuts, members, placed, scenes
+from filmloom.catalog.scene_queries import members, placed, scenes
 from filmloom.functions import color as C
 from filmloom.functions import paths as P
 from filmloom.operators import batches as B
@@ -44,7 +44,7 @@ SELECT a.video_id, pos, start_frame, ref_frame FROM
 JOIN (SELECT video_id, mid_frame AS ref_frame, row_number() OVER (PARTITION BY video_id ORDER BY mid_frame) - 1 AS pos FROM members) b USING (video_id, pos)
 """)
 def c4(spark, sf):
-    pieces = placed(spark, sf)
+    pieces = placed(scenes(spark, sf))
     clips = pieces.select("video_id", "start_frame")
     refs = S.with_middle(pieces).select("video_id", F.col("mid_frame").alias("ref_frame"))
     return FR.zip_positions(
@@ -90,11 +90,12 @@ JOIN frames f ON f.video_id = m.video_id AND f.frame_idx = m.mid_frame
 """)
 def c10(spark, sf):
     frames = D.frames(spark, sf)
-    refs = S.lower_middle(members(spark, sf)).select("video_id", "scene_id", F.col("mid_frame").alias("frame_idx"))
+    cuts, found = S.detect(frames)
+    refs = S.lower_middle(members(found)).select("video_id", "scene_id", F.col("mid_frame").alias("frame_idx"))
     pictures = refs.join(frames, ["video_id", "frame_idx"]).select(
         "video_id", "scene_id", F.col("frame_idx").alias("ref_frame"), FR.plane_sum("px").alias("ref_sum")
     )
-    return FR.with_reference(FR.with_scene(cuts(spark, sf)), pictures).select("video_id", "frame_idx", "scene_id", "ref_frame", "ref_sum")
+    return FR.with_reference(FR.with_scene(cuts), pictures).select("video_id", "frame_idx", "scene_id", "ref_frame", "ref_sum")
 
 
 @query("c12_masked_replace", """
@@ -126,7 +127,8 @@ SELECT video_id, scene_id, round(brightness, 6) AS brightness, round(dark_share,
   FROM ({SCENE_OF_SQL}) o JOIN frames f ON f.video_id = o.video_id AND f.frame_idx = o.frame_idx GROUP BY 1, 2)
 """)
 def d5(spark, sf):
-    scene_frames = FR.with_scene(cuts(spark, sf)).join(D.frames(spark, sf), ["video_id", "frame_idx"])
+    frames = D.frames(spark, sf)
+    scene_frames = FR.with_scene(S.detect(frames)[0]).join(frames, ["video_id", "frame_idx"])
     return FR.scene_brightness(scene_frames).withColumns({c: F.round(c, 6) for c in ("brightness", "dark_share")})
 
 
@@ -177,7 +179,7 @@ SELECT video_id, scene_id, pos, b AS batch_no, pos - 4 * b AS slot, b = 0 OR pos
 FROM members JOIN range(0, 1000) t(b) ON 4 * b < n AND pos >= 4 * b AND pos < 4 * b + 6
 """)
 def e12(spark, sf):
-    return B.overlapping_batches(members(spark, sf)).select("video_id", "scene_id", "pos", "batch_no", "slot", "is_saved")
+    return B.overlapping_batches(members(scenes(spark, sf))).select("video_id", "scene_id", "pos", "batch_no", "slot", "is_saved")
 
 
 @query("e13_grid_placement", """
@@ -199,7 +201,7 @@ JOIN members m ON m.video_id = b.video_id AND m.scene_id = b.scene_id AND m.pos
 """)
 def e14(spark, sf):
     keys = ["video_id", "scene_id"]
-    filled = B.filled_slots(B.fixed_batches(members(spark, sf), B.SLOTS), keys)
+    filled = B.filled_slots(B.fixed_batches(members(scenes(spark, sf)), B.SLOTS), keys)
     return filled.select(*keys, "batch_no", "slot", "mid_frame", "is_fill")
 
 
@@ -212,7 +214,7 @@ def e15(spark, sf):
 SELECT video_id, scene_num, idx, row_number() OVER (PARTITION BY video_id ORDER BY scene_num, idx) - 1 AS frame_no FROM (SELECT video_id, 1000 - scene_id AS scene_num, pos AS idx FROM members)
 """)
 def e16(spark, sf):
-    groups = members(spark, sf).select("video_id", (F.lit(1000) - F.col("scene_id")).alias("scene_num"), F.col("pos").alias("idx"))
+    groups = members(scenes(spark, sf)).select("video_id", (F.lit(1000) - F.col("scene_id")).alias("scene_num"), F.col("pos").alias("idx"))
     return FR.concatenated(groups)
 
 

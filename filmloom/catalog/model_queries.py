@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from filmloom.catalog.registry import query
-from filmloom.catalog.scene_queries import cuts, members
+from filmloom.catalog.scene_queries import members, scenes
 from filmloom.operators import frames as FR
 from filmloom.operators import inference as I
+from filmloom.operators import scenes as S
 from filmloom.sources import derived as D
 
 
@@ -33,8 +34,9 @@ fold AS (SELECT video_id, scene_id, frame_idx, light // 2 AS carried FROM item W
 SELECT * FROM fold
 """)
 def i4(spark, sf):
-    lights = D.frames(spark, sf).select("video_id", "frame_idx", FR.plane_sum("px").alias("light"))
-    rows = FR.with_scene(cuts(spark, sf)).join(lights, ["video_id", "frame_idx"]).select("video_id", "scene_id", "frame_idx", "light")
+    frames = D.frames(spark, sf)
+    lights = frames.select("video_id", "frame_idx", FR.plane_sum("px").alias("light"))
+    rows = FR.with_scene(S.detect(frames)[0]).join(lights, ["video_id", "frame_idx"]).select("video_id", "scene_id", "frame_idx", "light")
 
     def step(previous, row):
         value = (row["light"] + previous) // 2
@@ -51,7 +53,7 @@ FROM pic p JOIN whole w ON w.video_id = p.video_id AND w.scene_id = p.scene_id A
 """)
 def i7(spark, sf):
     """The function sees the whole canvas: it adds the row number on it and a value from all its pixels."""
-    pictures = members(spark, sf).withColumnRenamed("mid_frame", "frame_idx").join(D.frames(spark, sf), ["video_id", "frame_idx"])
+    pictures = members(scenes(spark, sf)).withColumnRenamed("mid_frame", "frame_idx").join(D.frames(spark, sf), ["video_id", "frame_idx"])
     keys = ["video_id", "scene_id"]
 
     def shade(canvas):

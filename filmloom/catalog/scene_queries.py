@@ -10,21 +10,17 @@ from filmloom.operators import scenes as S
 from filmloom.sources import derived as D
 
 
-def cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return S.adaptive_cuts(S.content_scores(D.frames(spark, sf)))
-
-
 def scenes(spark: SparkSession, sf: str) -> DataFrame:
-    return S.scene_intervals(cuts(spark, sf))
+    return S.detect(D.frames(spark, sf))[1]
 
 
-def placed(spark: SparkSession, sf: str) -> DataFrame:
-    found = scenes(spark, sf)
+def placed(found: DataFrame) -> DataFrame:
+    """Pieces of at most a second with the scene that holds them."""
     return S.first_enclosing(S.split_long(found.drop("scene_id"), D.FPS), found)
 
 
-def members(spark: SparkSession, sf: str) -> DataFrame:
-    return S.ordered_members(S.with_middle(placed(spark, sf)))
+def members(found: DataFrame) -> DataFrame:
+    return S.ordered_members(S.with_middle(placed(found)))
 
 
 @query("e1_content_score", "SELECT * FROM scores")
@@ -34,7 +30,7 @@ def e1(spark, sf):
 
 @query("e2_adaptive_cuts", "SELECT video_id, frame_idx, score, round(ratio, 6) AS ratio, is_cut FROM cuts")
 def e2(spark, sf):
-    return cuts(spark, sf).withColumn("ratio", F.round("ratio", 6))
+    return S.detect(D.frames(spark, sf))[0].withColumn("ratio", F.round("ratio", 6))
 
 
 @query("e3_scene_intervals", "SELECT * FROM scenes")
@@ -98,4 +94,4 @@ def e7(spark, sf):
 SELECT video_id, scene_id, string_agg(printf('Scene-%03d', pos + 1), ',' ORDER BY pos) AS names FROM members GROUP BY 1, 2
 """)
 def d7(spark, sf):
-    return S.named_groups(members(spark, sf)).withColumn("names", F.array_join("names", ","))
+    return S.named_groups(members(scenes(spark, sf))).withColumn("names", F.array_join("names", ","))

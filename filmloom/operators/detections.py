@@ -70,11 +70,9 @@ def split_by_detection(frames: DataFrame, detections: DataFrame) -> tuple[DataFr
 
 def with_blank_masks(frames: DataFrame, detections: DataFrame) -> DataFrame:
     """Every frame once, marked, with an all-zero mask where nothing was detected."""
-    seen, empty = split_by_detection(frames, detections)
-    blank = F.transform("px", lambda _: F.lit(0))
-    return seen.withColumns({"has_box": F.lit(True), "mask": F.lit(None).cast("array<int>")}).unionByName(
-        empty.withColumns({"has_box": F.lit(False), "mask": blank})
-    )
+    seen = detections.select(*KEYS).distinct().withColumn("has_box", F.lit(True))
+    marked = frames.join(seen, KEYS, "left").withColumn("has_box", F.coalesce("has_box", F.lit(False)))
+    return marked.withColumn("mask", F.when(~F.col("has_box"), F.transform("px", lambda _: F.lit(0))))
 
 
 def pasted_crops(crop_cells: DataFrame, boxes: DataFrame, frame_cells: DataFrame) -> DataFrame:

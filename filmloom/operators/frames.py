@@ -174,22 +174,21 @@ def thumbnails(frames: DataFrame, window: int) -> DataFrame:
     """Per window of frames, the one whose histogram is closest to the window's mean histogram.
 
     Squared errors are compared after multiplying by the squared frame count, in whole
-    numbers, so ties are real; the earlier frame wins them.
+    numbers, so ties are real; the earlier frame wins them. Histograms are shuffled once to
+    their window, at most 256 rows per frame, and every later step stays there.
     """
-    tagged = frames.withColumn("win", F.floor(F.col("frame_idx") / window))
-    hist = tagged.select("video_id", "win", "frame_idx", F.explode("px").alias("v")).groupBy("video_id", "win", "frame_idx", "v").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    sums = hist.groupBy("video_id", "win", "v").agg(F.sum("c").alias("s"))
-    square = sums.groupBy("video_id", "win").agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    size = tagged.groupBy("video_id", "win").agg(F.count(F.lit(1)).alias("n"))
-    per_frame = hist.join(sums, ["video_id", "win", "v"]).groupBy("video_id", "win", "frame_idx").agg(
+    keys = ["video_id", "win"]
+    tagged = frames.select("video_id", F.floor(F.col("frame_idx") / window).alias("win"), "frame_idx", F.explode("px").alias("v"))
+    hist = tagged.groupBy(*keys, "frame_idx", "v").agg(F.count(F.lit(1)).alias("c")).repartition(*keys)
+    with_sum = hist.withColumn("s", F.sum("c").over(Window.partitionBy(*keys, "v")))
+    per_frame = with_sum.groupBy(*keys, "frame_idx").agg(
         F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum(F.col("c") * F.col("s")).alias("cs")
     )
-    scored = per_frame.join(square, ["video_id", "win"]).join(size, ["video_id", "win"])
+    whole = Window.partitionBy(*keys)
+    scored = per_frame.withColumns({"n": F.count(F.lit(1)).over(whole), "ss": F.sum("cs").over(whole)})
     n = F.col("n")
     error = n * n * F.col("cc") - n * 2 * F.col("cs") + F.col("ss")
-    return scored.groupBy("video_id", "win").agg(F.min_by("frame_idx", F.struct(error, "frame_idx")).alias("frame_idx"))
+    return scored.groupBy(*keys).agg(F.min_by("frame_idx", F.struct(error, "frame_idx")).alias("frame_idx"))
 
 
 # order and sampling

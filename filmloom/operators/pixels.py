@@ -298,27 +298,32 @@ def local_contrast(frames: DataFrame, grid: tuple[int, int] = (8, 8), clip_limit
     tile = F.floor(F.floor(F.col("i") / F.col("w")) / F.floor(F.col("h") / gy)) * gx + F.floor(
         F.col("i") % F.col("w") / F.floor(F.col("w") / gx)
     )
-    counts = cells.groupBy(*KEYS, "area", tile.alias("tile_no"), "v").agg(F.count(F.lit(1)).alias("c"))
     limit = F.greatest(F.floor(F.lit(clip_limit) * F.col("area") / 256), F.lit(1))
-    clipped = counts.withColumns({"kept": F.least("c", limit), "excess": F.greatest(F.col("c") - limit, F.lit(0))})
-    per_tile = clipped.groupBy(*KEYS, "area", "tile_no").agg(
-        F.sum("excess").alias("excess"), F.map_from_entries(F.collect_list(F.struct("v", "kept"))).alias("hist")
+    # After the histogram everything is grouped inside a frame, so one shuffle by frame serves it all.
+    counts = cells.groupBy(*KEYS, "area", tile.alias("tile_no"), "v").agg(F.count(F.lit(1)).alias("c")).repartition(*KEYS)
+    in_tile = Window.partitionBy(*KEYS, "tile_no")
+    by_value = in_tile.orderBy("v")
+    running = counts.select(
+        *KEYS, "area", "tile_no", "v", F.sum(F.least("c", limit)).over(by_value).alias("upto"),
+        (F.lead("v", 1, 256).over(by_value) - F.col("v")).alias("span"), F.sum(F.greatest(F.col("c") - limit, F.lit(0))).over(in_tile).alias("excess"),
+    )
+    per_tile = running.groupBy(*KEYS, "area", "tile_no", "excess").agg(
+        F.array_sort(F.collect_list(F.struct("v", "upto", "span"))).alias("steps")
+    )
+    # 256 running sums: each one repeats until the next value that occurs.
+    sums = F.concat(
+        F.array_repeat(F.lit(0).cast("bigint"), F.get("steps", F.lit(0))["v"]),
+        F.flatten(F.transform("steps", lambda s: F.array_repeat(s["upto"], s["span"]))),
     )
     share = F.floor(F.col("excess") / 256)
     rest = F.col("excess") - share * 256
     every = F.greatest(F.floor(F.lit(256) / F.greatest(rest, F.lit(1))), F.lit(1))
-    # Running sum over the 256 values; what was cut off comes back evenly, the rest one by one.
-    sums = F.aggregate(
-        F.sequence(F.lit(0), F.lit(255)), F.array().cast("array<bigint>"),
-        lambda acc, v: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.coalesce(F.try_element_at(F.col("hist"), v), F.lit(0)))
-        ),
-    )
+    # What was cut off comes back evenly, and the rest of it one by one.
     table = F.transform(
-        F.col("sums"),
+        sums,
         lambda s, v: F.least(F.rint((s + share * (v + 1) + F.least(rest, F.floor(v / every) + 1)) * (F.lit(255.0) / F.col("area"))), F.lit(255.0)).cast("int"),
     )
-    tables = per_tile.withColumn("sums", sums).select(*KEYS, F.struct("tile_no", table.alias("lut")).alias("t"))
+    tables = per_tile.select(*KEYS, F.struct("tile_no", table.alias("lut")).alias("t"))
     luts = tables.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["lut"]).alias("luts"))
     joined = frames.join(luts, KEYS)
 

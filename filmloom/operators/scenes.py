@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows, running, with_halo
+from filmloom.plans.storage import write_through
 
 SEGMENT = 256  # frames per segment
 
@@ -119,13 +120,24 @@ def lower_middle(members: DataFrame) -> DataFrame:
     return members.filter(F.col("pos") == F.floor((F.col("n") - 1) / 2))
 
 
+def detect(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cuts and scene intervals of all videos.
+
+    Scores and intervals are written once, one narrow row per frame and per scene: everything
+    after them reads those tables and the pictures are scanned a single time.
+    """
+    scores = write_through(content_scores(frames), "scores")
+    cuts = adaptive_cuts(scores)
+    return cuts, write_through(scene_intervals(cuts), "scenes")
+
+
 def representatives(frames: DataFrame, fps: int, max_seconds: float = 1.0) -> DataFrame:
     """Scenes, pieces, middle frames, one piece per scene: the representative frame of each scene.
 
-    Pieces keep the number of the scene they were cut from. That is what :func:`first_enclosing`
-    would find for them, without reading the frames a second time.
+    Pieces keep the number of the scene they were cut from, which is what
+    :func:`first_enclosing` would find for them.
     """
-    scenes = scene_intervals(adaptive_cuts(content_scores(frames)))
+    _, scenes = detect(frames)
     pieces = split_long(scenes, max(1, int(fps * max_seconds)))
     members = ordered_members(with_middle(pieces))
     return lower_middle(members).select("video_id", "scene_id", F.col("mid_frame").alias("frame_idx"), F.col("n").alias("pieces"))

@@ -4,6 +4,9 @@ A plain ``Window.partitionBy(video)`` puts a whole video in one task. The helper
 key into buckets (ranges of the ordering column), work inside each bucket, and carry what
 later buckets need through a table with one row per bucket. Keys, buckets and order columns
 must not be null.
+
+The input is planned twice, once for the bucket totals with only the key columns, so an input
+that is expensive to compute should be written first (``plans.storage.write_through``).
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK = 4096
+DEFAULT_BLOCK = 65_536  # rows per bucket; the table carried over has one row for each
 
 
 def _tag(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -59,7 +62,7 @@ def running(
 ) -> DataFrame:
     """Running ``sum``, ``max`` or ``last`` (non-null) up to each row, in ``order`` within keys.
 
-    ``block`` must be non-decreasing along ``order``, for instance ``line_no div 4096``.
+    ``block`` must be non-decreasing along ``order``, for instance ``line_no div 65536``.
     A spec is ``name=(kind, column)``; the kind ``sum_before``/``max_before`` leaves out the row itself.
     """
     keys = list(keys)

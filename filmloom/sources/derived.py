@@ -8,19 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows
+from filmloom.plans.ordering import number_rows
 
 SIDE = 8  # height and width of a derived frame
 FPS = 5  # frame rate of the derived videos
+BUCKET = 1024  # rows per numbering bucket; small, because frames are wide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def micros(ts: str | Column) -> Column:
+def micros(ts: str) -> Column:
     """Microseconds since 2024-01-01."""
-    ts = ts if isinstance(ts, str) else "ts"
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})")
 
 
@@ -42,7 +42,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("px"),
     )
     order = ["label", "vec_id"]
-    buckets = [F.col("label"), F.floor(F.col("vec_id") / DEFAULT_BLOCK)]
+    buckets = [F.col("label"), F.floor(F.col("vec_id") / BUCKET)]
     return number_rows(raw, ["video_id"], order, buckets, "frame_idx").select("video_id", "frame_idx", "h", "w", "px")
 
 
@@ -97,7 +97,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     numbered = number_rows(
         raw, ["video_id", "frame_idx"], ["l_linenumber", "l_partkey", "l_suppkey"],
-        [F.col("l_linenumber"), F.floor(F.col("l_partkey") / DEFAULT_BLOCK)], "det_no",
+        [F.col("l_linenumber"), F.floor(F.col("l_partkey") / BUCKET)], "det_no",
     )
     return numbered.select("video_id", "frame_idx", "det_no", "x1", "y1", "x2", "y2", "conf", "cls")
 
