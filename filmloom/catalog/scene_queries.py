@@ -91,7 +91,7 @@ def e7(spark, sf):
 
 
 @query("d7_names_per_scene", """
-SELECT video_id, scene_id, string_agg(printf('Scene-%03d', pos + 1), ',' ORDER BY pos) AS names FROM members GROUP BY 1, 2
+SELECT video_id, scene_id, pos // 1024 AS part, string_agg(printf('Scene-%03d', pos + 1), ',' ORDER BY pos) AS names FROM members GROUP BY 1, 2, 3
 """)
 def d7(spark, sf):
     return S.named_groups(members(scenes(spark, sf))).withColumn("names", F.array_join("names", ","))

@@ -92,15 +92,15 @@ def h7(spark, sf):
 
 
 @query("h9_telemetry_throttle", """
-SELECT node_id, ts_us // 3000000 * 3000000 AS window_us, min(line_no) AS seq, arg_min(value, line_no) AS value
+SELECT node_id, ts_us // 3000000 * 3000000 AS window_us, arg_min(line_no, (ts_us, line_no)) AS seq, arg_min(value, (ts_us, line_no)) AS value
 FROM (SELECT job_id % 8 AS node_id, ts_us, line_no, length(line) AS value FROM log) GROUP BY 1, 2
 """)
 def h9(spark, sf):
-    samples = ST.timed(log(spark, sf)).select(
+    samples = ST.timed(log(spark, sf), start_us=D.START_US).select(
         (F.col("job_id") % 8).alias("node_id"), "at", F.col("line_no").alias("seq"), F.length("line").alias("value")
     )
     table = sinks.drain(ST.throttled(samples, ["node_id"]), "samples", "update")
-    return sinks.latest(table, ["node_id", "window_us"])
+    return sinks.latest(table, ["node_id", "window_us"]).withColumn("window_us", F.col("window_us") - D.START_US)
 
 
 @query("h10_response_deadline", """
@@ -118,7 +118,7 @@ def h10(spark, sf):
 @query("h11_unique_outputs", "SELECT prompt_id, part || '.png' AS filename, resp_us FROM responses")
 def h11(spark, sf):
     given = D.responses_of(events(spark, sf)).select(
-        "prompt_id", "resp_us", F.timestamp_micros("resp_us").alias("resp_at"),
+        "prompt_id", "resp_us", F.timestamp_micros(F.col("resp_us") + D.START_US).alias("resp_at"),
         F.explode(F.array_repeat(F.concat("part", F.lit(".png")), 2)).alias("filename"),
     )
     table = sinks.drain(SR.unique_outputs(given, ["prompt_id", "filename"]), "outputs")

@@ -95,12 +95,15 @@ def pasted_crops(crop_cells: DataFrame, boxes: DataFrame, frame_cells: DataFrame
 
 
 def confidence_maps(cells: DataFrame, boxes: DataFrame, labels: Sequence[int]) -> DataFrame:
-    """Per label and pixel, the largest confidence of a box that covers it; 0 where there is none."""
-    grid = cells.select(*KEYS, "y", "x", F.explode(F.array(*[F.lit(c) for c in labels])).alias("cls"))
-    best = rasterized(boxes.filter(F.col("cls").isin(list(labels))), ["cls", "conf"]).groupBy(*KEYS, "cls", "y", "x").agg(
-        F.max("conf").alias("confidence")
-    )
-    return grid.join(best, [*KEYS, "cls", "y", "x"], "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    """Per label and pixel, the largest confidence of a box that covers it; 0 where there is none.
+
+    All labels of a pixel meet in one aggregate and one join; the rows per label are listed last.
+    """
+    covering = rasterized(boxes.filter(F.col("cls").isin(list(labels))), ["cls", "conf"])
+    best = covering.groupBy(*KEYS, "y", "x").agg(*[F.max(F.when(F.col("cls") == c, F.col("conf"))).alias(f"__{c}") for c in labels])
+    joined = cells.select(*KEYS, "y", "x").join(best, [*KEYS, "y", "x"], "left")
+    per_label = F.array(*[F.struct(F.lit(c).alias("cls"), F.coalesce(f"__{c}", F.lit(0.0)).alias("confidence")) for c in labels])
+    return joined.select(*KEYS, "y", "x", F.inline(per_label))
 
 
 def best_tokens(vectors: DataFrame, threshold: float = QUERY_LIMIT, text_threshold: float = QUERY_LIMIT) -> DataFrame:

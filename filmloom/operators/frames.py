@@ -7,7 +7,9 @@ unless masks of several instances have to be combined.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from filmloom.functions.color import to_byte
 from filmloom.functions.geometry import deflicker_size
 from filmloom.operators.scenes import SEGMENT
 from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows, running, with_halo
+from filmloom.plans.storage import write_through
 
 KEYS = ["video_id", "frame_idx"]
 
@@ -108,21 +111,32 @@ def masked_replace(source: DataFrame, target: DataFrame, masks: DataFrame) -> Da
     return both.select(*KEYS, F.when(F.col("mask").isNull(), F.col("target")).otherwise(picked).alias("px"))
 
 
-def alpha_blend(base: DataFrame, overlay: DataFrame, masks: DataFrame) -> DataFrame:
+def alpha_blend(base: DataFrame, overlay: DataFrame, masks: DataFrame, per_round: int = 256) -> DataFrame:
     """``m * new + (1 - m) * old``, cut to a whole number after each instance, in instance order.
 
     The steps do not commute, so the masks of one pixel are applied one after the other. Pixels
-    are the keys, and masks of 0 change nothing and are left out before the shuffle.
+    are the keys, and masks of 0 change nothing and are left out before the shuffle. ``inst``
+    numbers the instances of a frame from 0 or 1; frames with more than ``per_round`` of them take
+    further rounds, so no list grows with a crowded frame.
     """
+    last = masks.agg(F.max("inst")).first()[0]
     cells = explode_plane(masks, "mask", [*KEYS, "inst"], "m").filter("m > 0")
-    per_pixel = cells.groupBy(*KEYS, "pos").agg(F.array_sort(F.collect_list(F.struct("inst", "m"))).alias("steps"))
-    old, new = explode_plane(base, "px", name="old"), explode_plane(overlay, "px", name="new")
-    joined = old.join(new, [*KEYS, "pos"]).join(per_pixel, [*KEYS, "pos"], "left")
-    blended = F.aggregate(
-        "steps", F.col("old").cast("double"),
-        lambda v, s: F.floor(s["m"] * F.col("new") + (F.lit(1.0) - s["m"]) * v).cast("double"),
+    both = in_sync(base.select(*KEYS, F.col("px").alias("old")), overlay.select(*KEYS, F.col("px").alias("new")))
+    out = both.select(*KEYS, F.posexplode(F.arrays_zip("old", "new")).alias("pos", "c")).select(
+        *KEYS, "pos", F.col("c.new").alias("new"), F.col("c.old").cast("double").alias("v")
     )
-    return joined.select(*KEYS, "pos", F.coalesce(blended, F.col("old").cast("double")).cast("int").alias("v"))
+    rounds = 0 if last is None else last // per_round + 1
+    for i in range(rounds):
+        now = cells.filter(F.floor(F.col("inst") / per_round) == i)
+        steps = now.groupBy(*KEYS, "pos").agg(F.array_sort(F.collect_list(F.struct("inst", "m"))).alias("steps"))
+        blended = F.aggregate(
+            "steps", F.col("v"),
+            lambda v, s: F.floor(s["m"] * F.col("new") + (F.lit(1.0) - s["m"]) * v).cast("double"),
+        )
+        out = out.join(steps, [*KEYS, "pos"], "left").withColumn("v", F.coalesce(blended, "v")).drop("steps")
+        if i + 1 < rounds:
+            out = write_through(out, "blend")
+    return out.select(*KEYS, "pos", F.col("v").cast("int").alias("v"))
 
 
 # aggregates
@@ -241,9 +255,9 @@ def every_kth(frames: DataFrame, k: int) -> DataFrame:
 
 
 def time_range(frames: DataFrame, fps: float, start: float, end: float) -> DataFrame:
-    """Frames from ``start`` to before ``end``, as bounds on the frame index so they reach the scan."""
-    second = F.col("frame_idx") / F.lit(float(fps))
-    return frames.filter((second >= start) & (second < end))
+    """Frames from ``start`` to before ``end``, as whole bounds on the frame index so they reach the scan."""
+    first, after = (math.ceil(Fraction(second) * Fraction(fps)) for second in (start, end))
+    return frames.filter((F.col("frame_idx") >= first) & (F.col("frame_idx") < after))
 
 
 def time_chunks(frames: DataFrame, fps: float, seconds: float) -> DataFrame:

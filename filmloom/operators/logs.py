@@ -146,15 +146,15 @@ def messages(log: DataFrame) -> DataFrame:
 def snapshots_and_updates(subscribers: DataFrame, log: DataFrame) -> DataFrame:
     """What each subscriber is sent: the progress when joining, then each later change.
 
-    Subscribers have ``subscriber_id, job_id, joined_us``.
+    Subscribers have ``subscriber_id, job_id, joined_us``. The log side is joined inner, so Spark
+    can split a job that owns most of the lines.
     """
     moves = log.select("job_id", "line_no", "ts_us", PR.first_percent(F.col("line")).alias("progress")).filter("progress IS NOT NULL")
-    seen = subscribers.join(moves, "job_id", "left")
+    seen = moves.join(subscribers, "job_id")
     keys = ["subscriber_id", "job_id"]
-    before = F.col("ts_us") <= F.col("joined_us")
-    hello = seen.groupBy(*keys).agg(
-        F.lit("hello").alias("type"), F.lit(-1).cast("bigint").alias("line_no"),
-        F.coalesce(F.max_by(F.when(before, F.col("progress")), F.when(before, F.col("line_no"))), F.lit(0)).alias("progress"),
+    known = seen.filter("ts_us <= joined_us").groupBy(*keys).agg(F.max_by("progress", "line_no").alias("progress"))
+    hello = subscribers.select(*keys).join(known, keys, "left").select(
+        *keys, F.lit("hello").alias("type"), F.lit(-1).cast("bigint").alias("line_no"), F.coalesce("progress", F.lit(0)).alias("progress")
     )
     later = seen.filter("ts_us > joined_us").select(*keys, F.lit("progress").alias("type"), "line_no", "progress")
     return hello.unionByName(later)

@@ -143,13 +143,12 @@ def representatives(frames: DataFrame, fps: int, max_seconds: float = 1.0) -> Da
     return lower_middle(members).select("video_id", "scene_id", F.col("mid_frame").alias("frame_idx"), F.col("n").alias("pieces"))
 
 
-def named_groups(members: DataFrame) -> DataFrame:
-    """Piece names per scene in order. Names are short; a scene's list holds one name per piece."""
+def named_groups(members: DataFrame, per_row: int = 1024) -> DataFrame:
+    """Piece names of a scene in order, as lists of at most ``per_row`` names numbered by ``part``."""
     name = F.format_string("Scene-%03d", F.col("pos") + 1)
-    return members.groupBy("video_id", "scene_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", name.alias("name")))), lambda m: m["name"]
-        ).alias("names")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", name.alias("name"))))
+    return members.groupBy("video_id", "scene_id", F.floor(F.col("pos") / per_row).alias("part")).agg(
+        F.transform(ordered, lambda m: m["name"]).alias("names")
     )
 
 

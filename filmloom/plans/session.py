@@ -9,6 +9,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Start shuffles wide and let the runtime merge small partitions: 128 MB ones fit any executor.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4096",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Keyed streaming state off the heap.

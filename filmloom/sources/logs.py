@@ -22,9 +22,11 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("job_id", (F.col("line_no") + 1).alias("line_no"), "line")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """A folder's parquet files of one table as a stream."""
+def stream_table(
+    spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None, bytes_per_trigger: int = 16 * 2**30
+) -> DataFrame:
+    """A folder's parquet files of one table as a stream; a backlog is taken in bounded micro-batches."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
     if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+        return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder)

@@ -22,7 +22,7 @@ def with_deadline(requests: DataFrame, responses: DataFrame, seconds: int = SHOR
     in_time = (
         (F.col("prompt_id") == F.col("__id"))
         & (F.col("resp_at") >= F.col("req_at"))
-        & (F.col("resp_at") <= F.col("req_at") + F.make_dt_interval(secs=F.lit(seconds)))
+        & (F.col("resp_at") <= F.col("req_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
     )
     return asked.join(given, in_time, "left_outer").withColumn("timed_out", F.col("__id").isNull()).drop("__id")
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 DEFAULT_DELAY = "1 minute"
 
 
-def timed(log: DataFrame, column: str = "ts_us") -> DataFrame:
-    """Add the event time ``at`` for a column of microseconds."""
-    return log.withColumn("at", F.timestamp_micros(F.col(column)))
+def timed(log: DataFrame, column: str = "ts_us", start_us: int = 0) -> DataFrame:
+    """Add the event time ``at`` for a column of microseconds since ``start_us``."""
+    return log.withColumn("at", F.timestamp_micros(F.col(column) + start_us))
 
 
 def throttled(samples: DataFrame, keys: list[str], every: str = "3 seconds", delay: str = DEFAULT_DELAY) -> DataFrame:

@@ -120,9 +120,10 @@ def test_late_sample_is_dropped_and_windows_keep_the_first(spark):
 def test_deadline_on_two_streams(spark):
     asks = "prompt_id bigint, req_us bigint"
     answers = "prompt_id bigint, resp_us bigint, filename string"
+    day = 86_400 * SECOND  # a stream starts with its watermark at the epoch
     # The last rows only move the watermark past the deadlines.
-    a = feed(spark, [[(1, 0), (2, 0), (3, 0)], [(99, 5000 * SECOND)], [(100, 5001 * SECOND)]], asks)
-    b = feed(spark, [[(1, 600 * SECOND, "x"), (2, 601 * SECOND, "late")], [(98, 5000 * SECOND, "y")], [(97, 5001 * SECOND, "z")]], answers)
+    a = feed(spark, [[(1, day), (2, day), (3, day)], [(99, day + 5000 * SECOND)], [(100, day + 5001 * SECOND)]], asks)
+    b = feed(spark, [[(1, day + 600 * SECOND, "x"), (2, day + 601 * SECOND, "late")], [(98, day + 5000 * SECOND, "y")], [(97, day + 5001 * SECOND, "z")]], answers)
     asked = stream(spark, a, asks).withColumn("req_at", F.timestamp_micros("req_us"))
     given = stream(spark, b, answers).withColumn("resp_at", F.timestamp_micros("resp_us"))
     out = sinks.drain(SR.with_deadline(asked, given), "deadline").filter("prompt_id < 90")
