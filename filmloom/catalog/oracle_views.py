@@ -75,13 +75,12 @@ FROM placed
 """
 
 VIEWS["detections"] = """
-SELECT l_orderkey % 4 AS video_id, l_orderkey // 4 AS frame_idx,
-       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS det_no,
-       CAST(l_partkey % 6 AS INTEGER) AS x1, CAST(l_suppkey % 6 AS INTEGER) AS y1,
+SELECT l_orderkey % 4 AS video_id, l_orderkey // 4 AS frame_idx, l_partkey * 8 + l_linenumber AS det_no,
+       CAST(l_partkey % 6 AS INTEGER) AS x1, CAST(s % 6 AS INTEGER) AS y1,
        CAST(l_partkey % 6 + 1 + l_linenumber % 3 AS INTEGER) AS x2,
-       CAST(l_suppkey % 6 + 1 + CAST(q AS INTEGER) % 3 AS INTEGER) AS y2,
+       CAST(s % 6 + 1 + CAST(q AS INTEGER) % 3 AS INTEGER) AS y2,
        q / 50 AS conf, CAST(l_partkey % 3 AS INTEGER) AS cls
-FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, max(l_quantity) AS q, max(l_suppkey) AS s FROM lineitem GROUP BY ALL)
 """
 
 VIEWS["manifest_local"] = """

@@ -26,11 +26,16 @@ def _number(line: Column, pattern: str, group: int = 1) -> Column:
 
 
 def percent(line: Column, cap: int | None = RUNNING_CAP) -> Column:
-    """``Progress: n%``, else ``Task i/n`` as a percentage; capped while the job runs."""
-    task = r"(?i)Task\s+(\d+)\s*/\s*(\d+)"
+    """``Progress: n%``, else ``Task i/n`` as a percentage; capped while the job runs.
+
+    A plain text search comes first, so most lines meet no pattern.
+    """
+    task, low = r"(?i)Task\s+(\d+)\s*/\s*(\d+)", F.lower(line)
     share = F.floor(F.try_divide(_number(line, task).cast("double"), _number(line, task, 2).cast("double")) * 100)
-    found = F.coalesce(_number(line, r"(?i)Progress:\s*(\d+)%"), share)
-    return found if cap is None else F.when(found.isNotNull(), F.least(found, F.lit(cap)))
+    found = F.coalesce(
+        F.when(low.contains("progress:"), _number(line, r"(?i)Progress:\s*(\d+)%")), F.when(low.contains("task"), share)
+    )
+    return found if cap is None else F.when(found > cap, F.lit(cap).cast("bigint")).otherwise(found)
 
 
 def _held(value: Column) -> Column:

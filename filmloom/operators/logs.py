@@ -114,17 +114,20 @@ def stages(log: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
 def latest_states(log: DataFrame) -> DataFrame:
     """Last line, progress, stage and output of each job."""
     line = F.col("line")
+    parsed = log.select(
+        "job_id", "line_no", "ts_us", "line", PR.percent(line).alias("p"), PR.stage(line).alias("s"), PR.live_output(line).alias("o")
+    )
 
-    def last(value: Column) -> Column:
-        return F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no")))
 
-    return log.groupBy("job_id").agg(
+    return parsed.groupBy("job_id").agg(
         F.max("line_no").alias("line_no"),
         F.max_by("ts_us", "line_no").alias("updated_us"),
         F.max_by("line", "line_no").alias("last_line"),
-        F.coalesce(last(PR.percent(line)), F.lit(0)).alias("progress"),
-        F.coalesce(last(PR.stage(line)), F.lit(FIRST_STAGE)).alias("stage"),
-        last(PR.live_output(line)).alias("output"),
+        F.coalesce(last("p"), F.lit(0)).alias("progress"),
+        F.coalesce(last("s"), F.lit(FIRST_STAGE)).alias("stage"),
+        last("o").alias("output"),
     )
 
 

@@ -67,19 +67,25 @@ def without_empty(cells: DataFrame, masks: Sequence[str]) -> DataFrame:
 # regions
 
 
-def _label(mask: np.ndarray) -> np.ndarray:
-    """Smallest position in each 8-connected region, plus 1; 0 outside. Repeats until nothing changes."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
+def _label(masks: np.ndarray) -> np.ndarray:
+    """Per picture of a stack: the smallest position of each 8-connected region, plus 1; 0 outside.
+
+    Every pixel takes the smallest label around it, then its label's own label, until nothing changes.
+    """
+    n, h, w = masks.shape
     far = h * w + 1
+    label = np.where(masks, np.arange(1, far).reshape(h, w), far)
     while True:
-        around = np.pad(np.where(label > 0, label, far), 1, constant_values=far)
-        best = np.min([around[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
-        new = np.where(mask, best, 0)
-        # A label is a position, so its own label is at least as small: jump there.
-        new = np.where(mask, np.minimum(new, new.ravel()[np.maximum(new, 1) - 1]), 0)
+        padded = np.pad(label, ((0, 0), (1, 1), (1, 1)), constant_values=far)
+        best = label
+        for dy in range(3):
+            for dx in range(3):
+                best = np.minimum(best, padded[:, dy : dy + h, dx : dx + w])
+        best = np.where(masks, best, far).reshape(n, -1)
+        own = np.concatenate([best, np.full((n, 1), far)], axis=1)
+        new = np.take_along_axis(own, best - 1, axis=1).reshape(n, h, w)
         if np.array_equal(new, label):
-            return new
+            return np.where(masks, label, 0)
         label = new
 
 
@@ -87,14 +93,22 @@ def connected_regions(frames: DataFrame, mask: str = "mask") -> DataFrame:
     """Add ``labels``: per pixel the number of its 8-neighbour region, 0 outside the mask.
 
     A frame is one row, so a region never crosses rows: no shuffle, no rounds of joins. The
-    loop needs a fixed point, which column expressions cannot state, hence an Arrow UDF.
+    loop needs a fixed point, which column expressions cannot state, hence an Arrow UDF. Frames
+    of one size are labelled together, a few million pixels at a time.
     """
 
     @F.pandas_udf("array<int>")
     def label(masks: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_label(np.asarray(m).reshape(h, w) > 0).ravel().astype("int32") for m, h, w in zip(masks, heights, widths)]
-        )
+        out = pd.Series([None] * len(masks), dtype=object)
+        sizes = pd.DataFrame({"h": heights, "w": widths}).groupby(["h", "w"]).indices
+        for (h, w), where in sizes.items():
+            step = max(1, 4_000_000 // max(1, h * w))
+            for start in range(0, len(where), step):
+                part = where[start : start + step]
+                stack = np.stack([np.asarray(masks.iloc[i]) for i in part]).reshape(-1, h, w) > 0
+                for i, labels in zip(part, _label(stack).reshape(len(part), -1).astype("int32")):
+                    out.iloc[i] = labels
+        return out
 
     return frames.withColumn("labels", label(F.col(mask), F.col("h"), F.col("w")))
 

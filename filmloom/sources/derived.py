@@ -79,28 +79,24 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One frame per order, one box per line; equal confidences occur on purpose."""
-    lines = (
+    """One frame per order, one box per line and part; equal confidences occur on purpose."""
+    boxes = (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        .agg(F.max("l_quantity").alias("q"))
+        .groupBy("l_orderkey", "l_linenumber", "l_partkey")
+        .agg(F.max("l_quantity").alias("q"), F.max("l_suppkey").alias("s"))
     )
-    raw = lines.select(
+    x1, y1 = F.col("l_partkey") % 6, F.col("s") % 6
+    return boxes.select(
         (F.col("l_orderkey") % 4).alias("video_id"),
         F.floor(F.col("l_orderkey") / 4).alias("frame_idx"),
-        "l_linenumber", "l_partkey", "l_suppkey",
-        (F.col("l_partkey") % 6).cast("int").alias("x1"),
-        (F.col("l_suppkey") % 6).cast("int").alias("y1"),
-        (F.col("l_partkey") % 6 + 1 + F.col("l_linenumber") % 3).cast("int").alias("x2"),
-        (F.col("l_suppkey") % 6 + 1 + F.col("q").cast("int") % 3).cast("int").alias("y2"),
+        (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("det_no"),
+        x1.cast("int").alias("x1"),
+        y1.cast("int").alias("y1"),
+        (x1 + 1 + F.col("l_linenumber") % 3).cast("int").alias("x2"),
+        (y1 + 1 + F.col("q").cast("int") % 3).cast("int").alias("y2"),
         (F.col("q") / 50).alias("conf"),
         (F.col("l_partkey") % 3).cast("int").alias("cls"),
     )
-    numbered = number_rows(
-        raw, ["video_id", "frame_idx"], ["l_linenumber", "l_partkey", "l_suppkey"],
-        [F.col("l_linenumber"), F.floor(F.col("l_partkey") / BUCKET)], "det_no",
-    )
-    return numbered.select("video_id", "frame_idx", "det_no", "x1", "y1", "x2", "y2", "conf", "cls")
 
 
 # manifests and jobs

@@ -68,17 +68,18 @@ def track(events: DataFrame, stall_seconds: int = STALL_SECONDS) -> DataFrame:
     stall_us = stall_seconds * 1_000_000
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks)).sort_values(["ts_us", "line_no"], kind="stable")
-        now = tuple(state.get) if state.exists else None
+        columns = ["ts_us", "line_no", "kind", "progress", "code"]
+        rows = sorted(
+            (r for chunk in chunks for r in zip(*[chunk[c].tolist() for c in columns])), key=lambda r: (r[0], r[1])
+        )
+        now = tuple(state.get) if state.exists else ("running", FIRST_PROGRESS, rows[0][0])
         out = []
-        for e in rows.itertuples():
-            if now is None:
-                now = ("running", FIRST_PROGRESS, int(e.ts_us))
-            progress = None if pd.isna(e.progress) else int(e.progress)
-            now, refused = advance(now, e.kind, int(e.ts_us), progress, int(e.code), stall_us)
-            out.append((key[0], int(e.line_no), now[0], now[1], refused))
+        for ts_us, line_no, kind, progress, code in rows:
+            known = None if progress is None or progress != progress else int(progress)
+            now, refused = advance(now, kind, ts_us, known, code, stall_us)
+            out.append((key[0], line_no, now[0], now[1], refused))
         state.update(now)
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+        yield pd.DataFrame(dict(zip(OUTPUT.names, zip(*out))))
 
     return events.groupBy("job_id").applyInPandasWithState(
         follow, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
