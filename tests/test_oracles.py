@@ -36,6 +36,8 @@ def canonical(columns, records):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     cursor = duck.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
