@@ -141,10 +141,9 @@ def b23(spark, sf):
     )
 
 
-def patched(spark, sf, change):
-    """The inputs of the templates after a patch, as rows and as text read back."""
-    df = D.templates(spark, sf).withColumn("body", TP.to_text(change(TP.nodes_of(F.col("body")))))
-    return TP.scan(df).select("template_id", "node_id", "input", "value")
+def patched(spark, sf, *patches):
+    """The inputs of the templates after the patches, read back from their text."""
+    return TP.scan(TP.patched(D.templates(spark, sf), *patches)).select("template_id", "node_id", "input", "value")
 
 
 @query("b30_patch_first_nodes", """
@@ -153,7 +152,7 @@ SELECT template_id, node_id, input, CASE WHEN node_id = '78' AND input = 'image'
 FROM template_inputs
 """)
 def b30(spark, sf):
-    return patched(spark, sf, lambda nodes: TP.with_image(TP.with_prompt(nodes, "Recolor"), "new.png"))
+    return patched(spark, sf, lambda n: TP.with_prompt(n, "Recolor"), lambda n: TP.with_image(n, "new.png"))
 
 
 @query("b31_patch_knobs", """
@@ -166,10 +165,8 @@ def b31(spark, sf):
     knobs = {"seed": 2 ^ 24, "steps": 10, "width": 512}
     by_class = {"cfg": ("ksampler", 1.25), "guidance": ("fluxguidance", 3.5)}
 
-    def change(nodes):
-        return TP.with_node_inputs(TP.with_knobs(nodes, knobs, by_class), {"76": {"text": "clothes", "threshold": 0.3}})
-
-    return patched(spark, sf, change)
+    by_id = {"76": {"text": "clothes", "threshold": 0.3}}
+    return patched(spark, sf, lambda n: TP.with_knobs(n, knobs, by_class), lambda n: TP.with_node_inputs(n, by_id))
 
 
 @query("c7_missing_outputs", "SELECT file_id, name FROM files WHERE NOT is_done")

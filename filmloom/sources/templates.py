@@ -1,9 +1,13 @@
-"""Node graphs stored as JSON text: scan and patch, row by row, with input values kept as they are."""
+"""Node graphs stored as JSON text: scan and patch, row by row, with input values kept as they are.
+
+Patches take and return the parsed graph. Keep it in a column between patches (:func:`patched`),
+so each row is parsed once.
+"""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,5 +112,9 @@ def with_node_inputs(nodes: Column, by_id: Mapping[str, Mapping[str, object]]) -
     return F.transform_values(nodes, patched)
 
 
-def to_text(nodes: Column) -> Column:
-    return F.to_json(nodes)
+def patched(templates: DataFrame, *patches: Callable[[Column], Column], body: str = "body") -> DataFrame:
+    """Apply patches one after the other and write the graph back as text."""
+    out = templates.withColumn("__nodes", nodes_of(F.col(body)))
+    for patch in patches:
+        out = out.withColumn("__nodes", patch(F.col("__nodes")))
+    return out.withColumn(body, F.to_json("__nodes")).drop("__nodes")

@@ -215,7 +215,7 @@ def test_reset_strips_the_key(spark):
 def test_first_node_in_document_order(spark):
     body = '{"9":{"inputs":{"prompt":"p"},"class_type":"X"},"1":{"inputs":{"text":"t","seed":1},"class_type":"LoadImage"}}'
     df = spark.createDataFrame([(1, body)], "template_id int, body string")
-    patched = df.withColumn("body", TP.to_text(TP.with_image(TP.with_prompt(TP.nodes_of(F.col("body")), "new"), "i.png")))
+    patched = TP.patched(df, lambda n: TP.with_prompt(n, "new"), lambda n: TP.with_image(n, "i.png"))
     got = rows(TP.scan(patched), "node_id", "input", "value")
     assert got == [("1", "image", '"i.png"'), ("1", "seed", "1"), ("1", "text", '"t"'), ("9", "prompt", '"new"')]
 
