@@ -64,7 +64,7 @@ def with_scene(cuts: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """The scene number of every frame."""
     found = running(
         cuts.select(*KEYS, "is_cut"), ["video_id"], "frame_idx", F.floor(F.col("frame_idx") / block),
-        scene_id=("sum", F.col("is_cut").cast("bigint")),
+        scene_id=("sum", F.when(F.col("is_cut"), F.lit(1).cast("bigint"))),
     )
     return found.select(*KEYS, (F.col("scene_id") + 1).alias("scene_id"))
 

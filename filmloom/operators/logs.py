@@ -32,7 +32,7 @@ def sessions(log: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     lines = log.withColumn("text", T.strip(F.col("line"))).filter("text <> ''")
     opened = running(
         lines, ["job_id"], "line_no", _block(block),
-        session_no=("sum", F.col("text").contains(SESSION_MARK).cast("bigint")),
+        session_no=("sum", F.when(F.col("text").contains(SESSION_MARK), F.lit(1).cast("bigint"))),
     )
     return opened.filter("session_no > 0")
 

@@ -59,7 +59,7 @@ def scene_intervals(cuts: DataFrame, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``[start, end)`` per scene, numbered from 1. Without a cut the whole video is one scene."""
     numbered = running(
         cuts.select("video_id", "frame_idx", "is_cut"), ["video_id"], "frame_idx",
-        F.floor(F.col("frame_idx") / block), cuts_so_far=("sum", F.col("is_cut").cast("bigint")),
+        F.floor(F.col("frame_idx") / block), cuts_so_far=("sum", F.when(F.col("is_cut"), F.lit(1).cast("bigint"))),
     )
     return numbered.groupBy("video_id", (F.col("cuts_so_far") + 1).alias("scene_id")).agg(
         F.min("frame_idx").alias("start_frame"), (F.max("frame_idx") + 1).alias("end_frame")

@@ -12,6 +12,8 @@ that is expensive to compute should be written first (``plans.storage.write_thro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,7 @@ def running(
 
     ``block`` must be non-decreasing along ``order``, for instance ``line_no div 65536``.
     A spec is ``name=(kind, column)``; the kind ``sum_before``/``max_before`` leaves out the row itself.
+    Rows with nothing to add should be null rather than 0: they are then left out of the totals.
     """
     keys = list(keys)
     tagged = df.select(
@@ -76,9 +79,12 @@ def running(
             return F.max_by(v, F.when(v.isNotNull(), F.col(order)))
         return F.sum(v) if kind.startswith("sum") else F.max(v)
 
-    blocks = tagged.groupBy(*keys, "__block").agg(
+    # Null values add nothing, so only rows with a value are aggregated; every block is still listed.
+    has_value = reduce(or_, [F.col(f"__v_{n}").isNotNull() for n in specs])
+    totals = tagged.filter(has_value).groupBy(*keys, "__block").agg(
         *[total(k, n).alias(f"__t_{n}") for n, (k, _) in specs.items()]
     )
+    blocks = tagged.select(*keys, "__block").distinct().join(totals, [*keys, "__block"], "left")
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
 
     def fold(kind: str, col: str, w) -> Column:
