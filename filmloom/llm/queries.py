@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
-from filmloom.llm import minhash_dedup
+from pyspark.sql import functions as F
+
+from filmloom.llm import decontamination, line_dedup, minhash_dedup, mixing
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
 @query("op5_minhash_near_dedup")
 def op5(spark, sf):
     return minhash_dedup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark, sf):
+    found = decontamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query("op9_source_mixing")
+def op9(spark, sf):
+    drawn = mixing.draws(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return drawn.select(
+        "doc_id", "size", "source_size", "target",
+        F.aggregate("draws", F.lit(0).cast("bigint"), lambda n, d: n + d["words"]).alias("taken"), F.size("draws").alias("n_draws"),
+    )
+
+
+@query("op10_line_dedup", """
+WITH line AS (SELECT doc_id, row_number() OVER () AS line_no, pos, l, lower_key AS key FROM (
+    SELECT doc_id, pos, l, trim(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS lower_key
+    FROM (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))),
+repeated AS (SELECT key, max(doc_id) AS last FROM line WHERE length(key) >= 20 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.*, coalesce(l.doc_id < r.last, false) AS gone FROM line l LEFT JOIN repeated r ON l.key = r.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op10(spark, sf):
+    done = line_dedup.with_kept_lines(table(spark, sf, "documents").select("doc_id", "text"), "kept", "lines")
+    n_lines, n_kept = F.size("lines").cast("bigint"), F.size("kept").cast("bigint")
+    return done.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
