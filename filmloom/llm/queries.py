@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, line_dedup, minhash_dedup, mixing
+from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -46,3 +46,33 @@ def op10(spark, sf):
     done = line_dedup.with_kept_lines(table(spark, sf, "documents").select("doc_id", "text"), "kept", "lines")
     n_lines, n_kept = F.size("lines").cast("bigint"), F.size("kept").cast("bigint")
     return done.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
+@query("op4_exact_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score FROM v q JOIN v r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""")
+def op4(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vector_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query("op1_stupid_backoff", """
+WITH word AS (SELECT doc_id, pos, w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS w_next FROM (
+    SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL))),
+one AS (SELECT w, count(*) AS c FROM word GROUP BY w),
+two AS (SELECT w, w_next, count(*) AS c FROM word WHERE w_next IS NOT NULL GROUP BY w, w_next HAVING count(*) >= 2),
+prior AS (SELECT doc_id, pos + 1 AS pos, w AS before FROM word),
+scored AS (SELECT word.doc_id, p.before IS NOT NULL AND two.c IS NULL AS backed,
+    CASE WHEN p.before IS NULL THEN ln(one.c / (SELECT count(*) FROM word)) WHEN two.c IS NULL THEN ln(0.4) + ln(one.c / (SELECT count(*) FROM word)) ELSE ln(two.c / h.c) END AS s
+  FROM word JOIN one ON one.w = word.w LEFT JOIN prior p ON p.doc_id = word.doc_id AND p.pos = word.pos
+  LEFT JOIN one h ON h.w = p.before LEFT JOIN two ON two.w = p.before AND two.w_next = word.w)
+SELECT d.doc_id, count(s.s) AS n_words, CAST(coalesce(sum(CAST(s.backed AS INTEGER)), 0) AS BIGINT) AS n_backoff, coalesce(round(sum(s.s), 4), 0) AS log_score
+FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+""")
+def op1(spark, sf):
+    return lm_scoring.scores(table(spark, sf, "documents").select("doc_id", "text")).withColumn("log_score", F.round("log_score", 4))
