@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, vector_search
+from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, quality_lm, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -76,3 +76,9 @@ FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """)
 def op1(spark, sf):
     return lm_scoring.scores(table(spark, sf, "documents").select("doc_id", "text")).withColumn("log_score", F.round("log_score", 4))
+
+
+@query("op7_quality_perplexity")
+def op7(spark, sf):
+    judged = quality_lm.classify(table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
