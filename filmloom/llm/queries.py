@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, quality_lm, vector_search
+from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, pii, quality_lm, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -82,3 +82,19 @@ def op1(spark, sf):
 def op7(spark, sf):
     judged = quality_lm.classify(table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "labels"))
     return judged.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+
+
+@query("op2_disclosure_sanitisation")
+def op2(spark, sf):
+    found = pii.found_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
+    def count(i):
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{pii.KINDS[i]}")
+
+    counts = [count(i) for i in range(4)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
