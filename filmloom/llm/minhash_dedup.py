@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,39 @@ from filmloom.plans.storage import write_through
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
-ROWS, BANDS = 4, 32  # a pair at 0.75 misses all bands once in 190,000
 BITS = 2  # kept of each minimum
-#: Pairs below this estimate are not compared: 5.4 standard deviations under 0.75 with 128 minima of 2 bits.
-LEAST_ESTIMATE = 0.5
 
-_RNG = np.random.default_rng(5)
-_FACTORS = _RNG.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SHIFTS = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
-_ROW_FACTORS = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND_SALTS = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
+
+@dataclass(frozen=True)
+class Scheme:
+    """Bands of minima, and the filters before whole sets are compared."""
+
+    rows: int
+    bands: int
+    parity_bits: int  # of a set's bitmap; two sets differ in at least as many members as their bitmaps in bits
+    least_estimate: float | None  # pairs estimated below it are not compared; None: no estimate is made
+    factors: np.ndarray = field(init=False)
+    shifts: np.ndarray = field(init=False)
+    row_factors: np.ndarray = field(init=False)
+    salts: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        rng, n = np.random.default_rng(5), self.rows * self.bands
+        for name, value in (
+            ("factors", rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)),
+            ("shifts", rng.integers(0, 2**32, n, dtype=np.uint32)),
+            ("row_factors", rng.integers(0, 2**63, self.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)),
+            ("salts", rng.integers(0, 2**63, self.bands, dtype=np.uint64)),
+        ):
+            object.__setattr__(self, name, value)
+
+    @property
+    def signature_longs(self) -> int:
+        return self.rows * self.bands * BITS // 64
+
+
+#: A pair at 0.75 misses all bands once in 190,000; 0.5 is 5.4 standard deviations of the estimate below 0.75.
+DOCUMENTS = Scheme(rows=4, bands=32, parity_bits=1024, least_estimate=0.5)
 
 
 def shingle_sets(texts: W.Texts) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -44,21 +68,32 @@ def shingle_sets(texts: W.Texts) -> Iterator[tuple[bytes, np.ndarray]]:
             yield key, np.zeros(0, np.uint64)
 
 
-def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits of the minima and the band hashes of non-empty sets."""
+def minima(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Packed low bits of the minima, and the band hashes, of non-empty sets."""
     offsets = np.cumsum([0, *[len(s) for s in sets[:-1]]])
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    minima = np.empty((len(sets), ROWS * BANDS), np.uint32)
-    for k in range(ROWS * BANDS):
-        minima[:, k] = np.minimum.reduceat(flat * _FACTORS[k] + _SHIFTS[k], offsets)
-    bands = W.mix((minima.reshape(len(sets), BANDS, ROWS).astype(np.uint64) * _ROW_FACTORS).sum(axis=2, dtype=np.uint64) + _BAND_SALTS)
-    low = W.mix(minima.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
+    least = np.empty((len(sets), scheme.rows * scheme.bands), np.uint32)
+    for k in range(least.shape[1]):
+        least[:, k] = np.minimum.reduceat(flat * scheme.factors[k] + scheme.shifts[k], offsets)
+    by_band = least.reshape(len(sets), scheme.bands, scheme.rows).astype(np.uint64)
+    bands = W.mix((by_band * scheme.row_factors).sum(axis=2, dtype=np.uint64) + scheme.salts)
+    low = W.mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
     lanes = 64 // BITS
-    packed = (low.reshape(len(sets), -1, lanes) << (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
+    low = low[:, :scheme.signature_longs * lanes].reshape(len(sets), -1, lanes)
+    packed = (low << (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
     return packed, bands
 
 
-def _longs(rows: np.ndarray) -> pa.Array:
+def parities(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    """For each set a bitmap in which every member flips the bit that its hash names."""
+    size = scheme.parity_bits
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = (np.concatenate(sets) & np.uint64(size - 1)).astype(np.int64)
+    flipped = np.bincount(rows * size + bits, minlength=len(sets) * size) & 1
+    return np.packbits(flipped.astype(np.uint8).reshape(len(sets), size), axis=1).view(np.uint64)
+
+
+def longs(rows: np.ndarray) -> pa.Array:
     flat = np.ascontiguousarray(rows).view(np.int64)
     return pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), flat.reshape(-1))
 
@@ -68,31 +103,33 @@ def _sign(batches):
         for start, texts in W.slices(batch.column(1)):
             keys, sets = zip(*shingle_sets(texts))
             full = [i for i, s in enumerate(sets) if len(s)]
-            packed = np.zeros((len(sets), ROWS * BANDS * BITS // 64), np.uint64)
-            bands = np.zeros((len(sets), BANDS), np.uint64)
+            packed = np.zeros((len(sets), DOCUMENTS.signature_longs), np.uint64)
+            bands = np.zeros((len(sets), DOCUMENTS.bands), np.uint64)
+            parity = np.zeros((len(sets), DOCUMENTS.parity_bits // 64), np.uint64)
             if full:
-                packed[full], bands[full] = _signatures([sets[i] for i in full])
+                some = [sets[i] for i in full]
+                (packed[full], bands[full]), parity[full] = minima(some, DOCUMENTS), parities(some, DOCUMENTS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, len(texts)), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _longs(packed), _longs(bands)],
-                ["doc_id", "key", "n_shingles", "signature", "bands"],
+                [batch.column(0).slice(start, len(texts)), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), longs(packed), longs(parity), longs(bands)],
+                ["doc_id", "key", "n_shingles", "signature", "parity", "bands"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``key`` (equal for equal word sequences), ``n_shingles``, ``signature``, ``bands``."""
+    """Per row: ``doc_id``, ``key`` (equal for equal word sequences), ``n_shingles``, ``signature``, ``parity``, ``bands``."""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        _sign, "doc_id bigint, key binary, n_shingles bigint, signature array<bigint>, bands array<bigint>"
+        _sign, "doc_id bigint, key binary, n_shingles bigint, signature array<bigint>, parity array<bigint>, bands array<bigint>"
     )
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: str, b: str, scheme: Scheme) -> Column:
     """Similarity estimated from two packed signatures, corrected for bits that agree by chance."""
     agree = F.lit(0)
-    for i in range(ROWS * BANDS * BITS // 64):
+    for i in range(scheme.signature_longs):
         differ = F.col(a)[i].bitwiseXOR(F.col(b)[i])
         agree = agree + (64 // BITS - F.bit_count((differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(F.lit(0x5555555555555555))))
     chance = 1 / (1 << BITS)
-    return (agree / F.lit(float(ROWS * BANDS)) - chance) / (1 - chance)
+    return (agree / F.lit(float(scheme.signature_longs * 64 // BITS)) - chance) / (1 - chance)
 
 
 def _packed_sets(batches):
@@ -144,9 +181,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = write_through(signatures(docs), "minhash")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = write_through(
-        known.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "signature", "bands")]), "classes"
+        known.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("n_shingles", "signature", "parity", "bands")]), "classes"
     )
-    joined = _class_components(docs, classes)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
+        sets = texts.select("text", "wanted").mapInArrow(_packed_sets, "wanted binary, key binary, shingles binary")
+        return sets.filter("wanted = key").select("key", "shingles")
+
+    joined = class_components(classes, sets_of, DOCUMENTS)
     # The smallest doc_id of each component of classes, then of each row.
     smallest = joined.join(classes.select(F.col("key").alias("node"), "rep"), "node")
     smallest = smallest.join(smallest.groupBy("component").agg(F.min("rep").alias("least")), "component")
@@ -158,25 +201,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Components of the classes that have a link: ``node`` and ``component``, both keys."""
+def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], scheme: Scheme) -> DataFrame:
+    """Components of the classes that have a link: ``node`` and ``component``, both keys.
+
+    ``classes`` has ``key``, ``rep``, ``n_shingles``, ``signature``, ``parity`` and ``bands``; ``sets_of`` gives ``key`` and ``shingles``
+    for a table of ``rep`` and ``wanted`` (a key).
+    """
     rows = classes.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = write_through(rows.join(shared, "bucket"), "buckets")
     hubs = members.groupBy("key").agg(F.sum("size").alias("hub"))
     members = write_through(members.join(hubs, "key").select("bucket", "key", "hub"), "members")
-    facts = classes.select("key", "n_shingles", "signature")
+    facts = classes.select("key", "n_shingles", "signature", "parity")
 
     # Whole shingle sets, only for classes that share a bucket.
     wanted = members.select("key").distinct().join(classes.select("key", "rep"), "key").select("rep", F.col("key").alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
-    sets = texts.select("text", "wanted").mapInArrow(_packed_sets, "wanted binary, key binary, shingles binary")
-    sets = write_through(sets.filter("wanted = key").select("key", "shingles").dropDuplicates(["key"]), "sets")
+    sets = write_through(sets_of(wanted).dropDuplicates(["key"]), "sets")
 
     # First round: every member against the best connected member of its bucket.
     best = members.groupBy("bucket").agg(F.max(F.struct("hub", "key")).alias("best"))
     star = members.join(best, "bucket").select(F.col("best.key").alias("a"), F.col("key").alias("b")).filter("a <> b").distinct()
-    first = write_through(_confirmed(_promising(star, facts), sets), "links")
+    first = write_through(_confirmed(_with_facts(star, facts, scheme), sets), "links")
     labels = components(first)
 
     # Second round: exactly the pairs that share a bucket but no component yet.
@@ -193,20 +238,24 @@ def _class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
         every,
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.key") > F.col("y.key")))
-        & _same_size("x.n_shingles", "y.n_shingles") & (estimate("x.signature", "y.signature") >= LEAST_ESTIMATE),
+        & _promising("x", "y", scheme),
     ).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
     done = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = write_through(_confirmed(apart.join(done, ["a", "b"], "left_anti"), sets), "links")
     return components(first.unionByName(second))
 
 
-def _same_size(a: str, b: str) -> Column:
-    """Sets whose sizes are further apart cannot be similar enough."""
-    return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+def _promising(x: str, y: str, scheme: Scheme) -> Column:
+    """Pairs worth a comparison of whole sets: by size and by bitmap, which exclude no link, and by estimate."""
+    n_x, n_y = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    differ = F.lit(0)
+    for i in range(scheme.parity_bits // 64):
+        differ = differ + F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i]))
+    safe = (100 * F.least(n_x, n_y) >= SIMILARITY * F.greatest(n_x, n_y)) & ((100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (n_x + n_y))
+    return safe if scheme.least_estimate is None else safe & (estimate(f"{x}.signature", f"{y}.signature", scheme) >= scheme.least_estimate)
 
 
-def _promising(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    x, y = (facts.select(F.col("key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"s_{k}")) for k in "ab")
-    return pairs.join(x, "a").join(y, "b").filter(
-        _same_size("n_a", "n_b") & (estimate("s_a", "s_b") >= LEAST_ESTIMATE)
-    ).select("a", "b")
+def _with_facts(pairs: DataFrame, facts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (a, b) that are worth a comparison."""
+    x, y = facts.alias("x"), facts.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.key")).join(y, F.col("b") == F.col("y.key")).filter(_promising("x", "y", scheme)).select("a", "b")
