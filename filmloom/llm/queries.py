@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, line_dedup, lm_scoring, minhash_dedup, mixing, pii, quality_lm, vector_search
+from filmloom.llm import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -98,3 +98,31 @@ def op2(spark, sf):
 
     counts = [count(i) for i in range(4)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op6_license_scan")
+def op6(spark, sf):
+    found = license_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_paragraphs", F.array_join("licences", ",").alias("licences"), "unknown")
+
+
+@query("op8_paragraph_dedup")
+def op8(spark, sf):
+    found = paragraph_dedup.repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+    at = F.transform("passages", lambda p: p["at"])
+    size = paragraph_dedup.LEAST_WORDS
+    covered = F.aggregate(at, F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to")), lambda s, a: F.struct(
+        (s["n"] + a + size - F.greatest(a, s["to"])).alias("n"), (a + size).alias("to")))["n"]
+    return found.select(
+        "doc_id", "n_words", covered.alias("n_repeated_words"), (covered > 0).alias("repeats"),
+        F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["first_doc"]))).alias("first_docs"),
+        "n_paragraphs", F.size("removed").cast("bigint").alias("n_removed"), F.transform("removed", lambda r: r["like"]).alias("removed_like"),
+    )
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    # Imported here: the pipeline is built from this folder's operators.
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
