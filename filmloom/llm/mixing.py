@@ -62,7 +62,7 @@ def _hypergeometric(items: Column, marked: Column, drawn: Column, u: Column) ->
     Sums the probabilities within eight standard deviations of the mean, which is the whole support when
     numbers are small; the work grows with the square root of the numbers, not with the numbers.
     """
-    n, k, d = items.cast("double"), marked.cast("double"), drawn.cast("double")
+    n, k, d = F.greatest(items, F.lit(1).cast("bigint")).cast("double"), marked.cast("double"), drawn.cast("double")
     mean = d * k / n
     spread = 8 * F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / n) * (n - d) / F.greatest(n - 1, F.lit(1.0)))) + 1
     low = F.greatest(F.lit(0).cast("bigint"), drawn - (items - marked), F.floor(mean - spread).cast("bigint"))
