@@ -63,7 +63,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: list[list[np.ndarray]]  # per family, trigram hashes of each template
-    notices: np.ndarray  # word pairs of all templates and unknown forms
+    notices: np.ndarray  # trigram hashes of all templates and unknown forms
 
 
 def _features(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +149,8 @@ def train(lines: list[str]) -> Model:
     full = np.zeros((1 << BITS, len(CLASSES)), np.float32)
     full[used] = weights
     fixed = [piece for form in UNKNOWN_FORMS for piece in form.split("{}")] + [t for family in TEMPLATES.values() for t in family]
-    pairs = np.unique(np.concatenate(_sets([t for t in fixed if len(t.split()) > 1], 2)))
-    return Model(full, bias, float(min(losses, key=losses.get)), [_sets(family) for family in TEMPLATES.values()], pairs)
+    notices = np.unique(np.concatenate(_sets([t for t in fixed if len(t.split()) >= 3])))
+    return Model(full, bias, float(min(losses, key=losses.get)), [_sets(family) for family in TEMPLATES.values()], notices)
 
 
 def judge(texts: W.Texts, model: Model) -> tuple[np.ndarray, list[list[str]]]:
@@ -181,7 +181,7 @@ def judge(texts: W.Texts, model: Model) -> tuple[np.ndarray, list[list[str]]]:
         own = W.grams(piece, min(3, len(piece)))
         if best[i] > 1 and max(np.isin(t, own).mean() for t in model.templates[best[i] - 2]) >= LEAST_SHARE:
             found[rows[a[i]]].append(CLASSES[best[i]])
-        elif np.isin(W.grams(piece, 2), model.notices).any():
+        elif np.isin(own, model.notices).any():
             found[rows[a[i]]].append("unknown")
     return paragraphs, found
 
@@ -207,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
     multinomial logistic regression on hashed word one- to three-grams. It is fitted on variants of the templates, on made-up notices
     (class ``unknown``) and on at most 1500 lines of the corpus (class ``none``), chosen by hash. A family counts if its calibrated
     probability is at least one half and the piece holds 60 % of the trigrams of one of its templates; a piece that fails
-    the comparison is ``unknown`` if at least a pair of its words stands in some notice.
+    the comparison is ``unknown`` if at least three of its words in a row stand in some notice.
 
     A null or empty text has no paragraphs. Repeated rows and null ids are rows like any other; other columns are not read. An
     empty table gives an empty table.
