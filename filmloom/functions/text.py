@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
-from functools import lru_cache
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The words the manifest accepts.
 NULL_WORDS = ["", "nan", "na"]
@@ -18,6 +16,7 @@ FALSE_WORDS = ["false", "0", "no", "n", "f"]
 LENIENT_TRUE_WORDS = ["true", "1", "yes", "y"]
 VIDEO_HOSTS = ["youtube.com", "youtu.be"]
 DECIMAL_NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+NOT_IN_ARCHIVE_NAME = "[^A-Za-z0-9._-]+"
 WHITESPACE = " \t\n\r\f\u000b"
 
 
@@ -86,34 +85,28 @@ def number_in(col: Column, pattern: str, default: int) -> Column:
 
 def safe_archive_name(url: Column, name: Column, limit: int = 80) -> Column:
     base = F.coalesce(F.nullif(url, F.lit("")), F.nullif(name, F.lit("")), F.lit("video"))
-    slug = F.btrim(F.regexp_replace(base, "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
+    slug = F.btrim(F.regexp_replace(base, NOT_IN_ARCHIVE_NAME, "_"), F.lit("_"))
     slug = F.when(slug == "", "video").otherwise(F.left(slug, F.lit(limit)))
     return F.concat(slug, F.lit("_"), name)
 
 
-def _latin_name(name: str, stamp: str, limit: int) -> str:
-    name = unicodedata.normalize("NFKC", name.rsplit("/", 1)[-1])
-    kept = islice((c for c in name if _is_kept(c)), limit)
-    digest = hashlib.sha1(name.encode("utf-8")).hexdigest()[:8]
-    return f"{''.join(kept)}_{stamp}_{digest}"
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@lru_cache(maxsize=4096)
-def _is_kept(c: str) -> bool:
-    letter_or_number = unicodedata.category(c)[0] in "LN"
-    return c in "_-." or (letter_or_number and ("LATIN" in unicodedata.name(c, "") or c.isdigit()))
+# Whatever is neither a Latin letter nor a decimal digit nor one of ``_-.``.
+NOT_IN_LATIN_NAME = r"(?s)(?![_.\-]|\p{Nd}|(?=\p{IsLatin})\p{L})."
 
 
 def latin_file_name(col: Column, stamp: str, limit: int = 32) -> Column:
     """Latin letters, digits and ``_-.`` of the NFKC base name, a stamp, and a short hash.
 
-    Spark has no Unicode normalization, so this is an Arrow UDF.
+    Spark has no Unicode normalization: that step alone is an Arrow UDF, and it is given only
+    the rows that are not plain ASCII, which no normal form changes.
     """
-
-    @F.pandas_udf("string")
-    def convert(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: None if n is None else _latin_name(n, stamp, limit))
-
-    return convert(col)
-
-
+    base = F.substring_index(col, "/", -1)
+    other = F.when(F.length(base) < F.octet_length(base), base)
+    name = F.coalesce(_nfkc(other), base)
+    kept = F.left(F.regexp_replace(name, NOT_IN_LATIN_NAME, ""), F.lit(limit))
+    return F.concat(kept, F.lit(f"_{stamp}_"), F.left(F.sha1(name.cast("binary")), F.lit(8)))

@@ -278,11 +278,17 @@ def _draw(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]).cast("binary"))
 
 
+def _draw_bucket(drawn: DataFrame) -> Column:
+    """As many leading digits of the draw as leave about ``DEFAULT_BLOCK`` rows to each value."""
+    buckets = drawn.count() // DEFAULT_BLOCK
+    return F.substring("__draw", 1, max(1, -(-buckets.bit_length() // 4)))
+
+
 def random_split(frames: DataFrame, seed: int, ratio: float = 0.95) -> DataFrame:
     """Mark ``floor(n * (1 - ratio))`` frames of each video as validation, drawn by hash order."""
     drawn = frames.withColumn("__draw", _draw(seed, *KEYS))
     ranked = number_rows(
-        drawn, ["video_id"], ["__draw", "frame_idx"], [F.substring("__draw", 1, 3)], "__rank", total="__n"
+        drawn, ["video_id"], ["__draw", "frame_idx"], [_draw_bucket(drawn)], "__rank", total="__n"
     )
     return ranked.withColumn("is_validation", F.col("__rank") < F.floor(F.col("__n") * (1.0 - ratio))).drop("__draw", "__rank", "__n")
 
@@ -290,7 +296,7 @@ def random_split(frames: DataFrame, seed: int, ratio: float = 0.95) -> DataFrame
 def shuffled_batches(batches: DataFrame, seed: int) -> DataFrame:
     """A new position for every batch by hash order; what is in a batch stays."""
     drawn = batches.withColumn("__draw", _draw(seed, "video_id", "batch_no"))
-    return number_rows(drawn, ["video_id"], ["__draw", "batch_no"], [F.substring("__draw", 1, 3)], "new_pos").drop("__draw")
+    return number_rows(drawn, ["video_id"], ["__draw", "batch_no"], [_draw_bucket(drawn)], "new_pos").drop("__draw")
 
 
 def tone(px: Column, rule) -> Column:

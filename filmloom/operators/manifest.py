@@ -114,10 +114,15 @@ def update_at(df: DataFrame, key: str, value: object, values: Mapping[str, str])
     return df.withColumns({c: F.when(F.col(key) == value, F.lit(v)).otherwise(col(c)) for c, v in values.items()})
 
 
+# The texts of a notification.
+SUBJECTS = {"Yes": "✅ Pipeline Completed", "otherwise": "❌ Pipeline Failed"}
+BODY_LABELS = ["Video: ", "Start: ", "End: ", "Status: ", "Remarks: "]
+
+
 def notifications(finished: DataFrame) -> DataFrame:
     """Subject and body per finished row."""
-    subject = F.when(F.col("new_status") == "Yes", "✅ Pipeline Completed").otherwise("❌ Pipeline Failed")
-    fields = [("Video: ", KEY), ("Start: ", "new_start"), ("End: ", "new_end"), ("Status: ", "new_status"), ("Remarks: ", "new_remarks")]
+    subject = F.when(F.col("new_status") == "Yes", SUBJECTS["Yes"]).otherwise(SUBJECTS["otherwise"])
+    fields = list(zip(BODY_LABELS, [KEY, "new_start", "new_end", "new_status", "new_remarks"]))
     lines = [F.concat(F.lit(label), T.strip(F.coalesce(col(c), F.lit(""))) if c == KEY else col(c)) for label, c in fields]
     return finished.select("line_no", subject.alias("subject"), F.concat_ws("\n", *lines).alias("body"))
 

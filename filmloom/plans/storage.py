@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may do without: it gets a temporary folder. Executors of a cluster would each
+    write to a disk of their own, and what is read back would be incomplete.
+    """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
@@ -17,13 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not _is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
+    """A new, unused path in the shared folder, below ``filmloom/``; the deployment's retention removes it."""
     return f"{shared_dir(spark)}/filmloom/{label}-{uuid.uuid4().hex}"
 
 

@@ -13,7 +13,7 @@ from filmloom.plans.ordering import number_rows
 SIDE = 8  # height and width of a derived frame
 FPS = 5  # frame rate of the derived videos
 START_US = 1_704_067_200_000_000  # 2024-01-01, where derived times start; event times must lie after the epoch
-BUCKET = 1024  # rows per numbering bucket; small, because frames are wide
+BUCKET = 2**21  # ids per numbering bucket: spread over 4 videos and 10 labels, about 52,000 rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

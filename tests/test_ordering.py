@@ -73,3 +73,51 @@ def test_no_task_holds_a_whole_hot_key(skewed):
     assert tagged.groupBy("k", "bucket").count().agg(F.max("count")).first()[0] <= 50
     plan = number_rows(skewed, ["k"], ["t"], [F.floor(F.col("t") / 50)])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+@pytest.fixture(scope="module")
+def holes(spark):
+    """Null keys, null orders and both, with orders that do not repeat inside a key."""
+    data = [(i % 4 if i % 11 else None, i if i % 97 else None, i % 7 if i % 3 else None) for i in range(1, 800)]
+    kept, seen = [], set()
+    for k, t, v in data:
+        if t is not None or k not in seen:
+            kept.append((k, t, v))
+        if t is None:
+            seen.add(k)
+    return spark.createDataFrame(kept, "k bigint, t bigint, v bigint")
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_nulls_keep_their_rows_and_places(holes, keys):
+    order = ["t"] if keys else ["t", "k"]
+    got = number_rows(holes, keys, order, [F.floor(F.col("t") / 10)], "pos", total="n")
+    w = Window.partitionBy(*keys)
+    want = holes.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count(F.lit(1)).over(w)})
+    assert rows(got, "k", "t", "pos", "n") == rows(want, "k", "t", "pos", "n")
+
+
+def test_running_with_nulls(holes):
+    got = running(holes, ["k"], "t", F.floor(F.col("t") / 10), total=("sum", F.col("v")), before=("max_before", F.col("v")), kept=("last", F.col("v")))
+    w = Window.partitionBy("k").orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = holes.select(
+        "k", "t", F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("total"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.last("v", True).over(upto).alias("kept"),
+    )
+    assert rows(got, "k", "t", "total", "before", "kept") == rows(want, "k", "t", "total", "before", "kept")
+
+
+def test_a_hundred_thousand_buckets(spark):
+    base = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") * 3).alias("t"))
+    numbered = number_rows(base, ["k"], ["t"], [F.floor(F.col("t") / 6)], "pos", total="n")
+    assert numbered.filter("pos <> t / 3 OR n <> 200000").count() == 0 and numbered.count() == 200_000
+    # The tables that windows see hold a thousandth of the buckets each.
+    named = base.select("k", "t", F.hex("t").alias("name"))
+    by_name = number_rows(named, [], ["name"], [F.substring("name", 1, 3)], "pos")
+    assert [r.pos for r in by_name.orderBy("name").collect()] == list(range(200_000))
+
+
+def test_halo_refuses_a_null_index(spark):
+    with pytest.raises(Exception, match="dense index"):
+        with_halo(spark.sql("SELECT CAST(NULL AS BIGINT) AS i"), "i", 4, before=1).collect()
