@@ -99,13 +99,13 @@ def c10(spark, sf):
 
 
 @query("c12_masked_replace", """
-SELECT video_id, frame_idx, CAST(i AS INTEGER) AS pos, CASE WHEN (px[i + 1] + 37) % 4 = 0 OR (px[i + 1] + 74) % 4 = 0 THEN px[(i + 5) % 64 + 1] ELSE px[i + 1] END AS v
+SELECT video_id, frame_idx, CAST(i AS INTEGER) AS pos, CASE WHEN (px[i + 1] + 37) % 11 = 0 OR (px[i + 1] + 74) % 11 = 0 OR (px[i + 1] + 111) % 11 = 0 OR (px[i + 1] + 148) % 11 = 0 THEN px[(i + 5) % 64 + 1] ELSE px[i + 1] END AS v
 FROM frames CROSS JOIN range(64) t(i)
 """)
 def c12(spark, sf):
     target = D.frames(spark, sf)
     source = target.withColumn("px", D.rotated(F.col("px"), 5))
-    out = FR.masked_replace(source, target, D.masks(spark, sf).filter("inst <= 2"))
+    out = FR.masked_replace(source, target, D.masks(spark, sf))
     return FR.explode_plane(out, "px")
 
 
@@ -234,6 +234,21 @@ def e18(spark, sf):
     return FR.deflicker(D.frames(spark, sf)).select("video_id", "frame_idx", *[F.round(c, 6).alias(c) for c in ("level", "gain")])
 
 
+GAINED_SQL = """
+WITH luma AS (SELECT video_id, frame_idx, px, list_sum(px) / CAST(64 AS DOUBLE) AS luma, least(greatest(count(*) OVER (PARTITION BY video_id) // 4, 4), 16) AS size FROM frames),
+gain AS (SELECT f.video_id, f.frame_idx, any_value(f.px) AS px, CASE WHEN any_value(f.luma) > 0 THEN pow(avg(pow(g.luma, 3)), 1 / CAST(3 AS DOUBLE)) / any_value(f.luma) ELSE 1 END AS gain
+  FROM luma f JOIN luma g ON g.video_id = f.video_id AND g.frame_idx >= f.frame_idx AND g.frame_idx < f.frame_idx + f.size GROUP BY 1, 2)
+SELECT video_id, frame_idx, CAST(list_sum(list_transform(px, lambda v: floor(least(greatest(v * gain + 1e-6, 0), 255)))) AS BIGINT) AS px_sum FROM gain
+"""
+
+
+@query("e18_gained_frames", GAINED_SQL)
+def e18_frames(spark, sf):
+    frames = D.frames(spark, sf)
+    gained = FR.apply_gain(frames, FR.deflicker(frames))
+    return gained.select("video_id", "frame_idx", FR.plane_sum("px").alias("px_sum"))
+
+
 @query("e20_every_kth_frame", f"SELECT video_id, frame_idx, {PX_SUM_SQL} FROM frames WHERE (frame_idx + 1) % 3 = 0")
 def e20(spark, sf):
     return summed(FR.every_kth(D.frames(spark, sf), 3))

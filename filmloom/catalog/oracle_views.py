@@ -25,7 +25,7 @@ FROM frames CROSS JOIN range(64) t(i)
 
 VIEWS["masks"] = """
 SELECT video_id, frame_idx, h, w, CAST(k AS INTEGER) AS inst,
-       list_transform(px, lambda v: CAST((v + 37 * k) % 4 = 0 AS INTEGER)) AS mask
+       list_transform(px, lambda v: CAST((v + 37 * k) % 11 = 0 AS INTEGER)) AS mask
 FROM frames CROSS JOIN range(1, 5) t(k)
 """
 

@@ -201,20 +201,21 @@ def i5(spark, sf):
 
 # masks and regions
 
-NAMED_SQL = "SELECT video_id, frame_idx, y, x, b, g, r, (b + 37) % 4 = 0 AS m1, (b + 74) % 4 = 0 AS m2, (b + 111) % 4 = 0 AS m3, (b + 148) % 4 = 0 AS m4 FROM pixels"
+ANY_MASK = "((b + 37) % 11 = 0 OR (b + 74) % 11 = 0 OR (b + 111) % 11 = 0 OR (b + 148) % 11 = 0)"
+NAMED_SQL = "SELECT video_id, frame_idx, y, x, b, g, r, (b + 37) % 11 = 0 AS m1, (b + 74) % 11 = 0 AS m2, (b + 111) % 11 = 0 AS m3, (b + 148) % 11 = 0 AS m4 FROM pixels"
 AB_SQL = f"SELECT video_id, frame_idx, y, x, m1 AND NOT (m2 OR m3 OR m4) AS mask_a, (m2 OR m3) AND NOT (m1 OR m4) AS mask_b FROM ({NAMED_SQL})"
 BOXED_SQL = f"""SELECT q.video_id, q.frame_idx, q.y, q.x, mask_a AND k AS mask_a, mask_b AND k AS mask_b FROM (SELECT p.*, EXISTS (SELECT 1 FROM detections d
   WHERE d.video_id = p.video_id AND d.frame_idx = p.frame_idx AND p.x >= d.x1 AND p.x < d.x2 AND p.y >= d.y1 AND p.y < d.y2) AS k FROM ({AB_SQL}) p) q"""
 
 
-@query("d11_mask_union", "SELECT video_id, frame_idx, y, x, (b + 37) % 4 = 0 OR (b + 74) % 4 = 0 AS m FROM pixels")
+@query("d11_mask_union", f"SELECT video_id, frame_idx, y, x, {ANY_MASK} AS m FROM pixels")
 def d11(spark, sf):
-    return PX.mask_union(mask_cells(spark, sf).filter("inst <= 2"))
+    return PX.mask_union(mask_cells(spark, sf))
 
 
 def boxed_masks(spark, sf):
     exclusive = PX.exclusive_masks(PX.pivoted_masks(mask_cells(spark, sf))).select(*CELL, "mask_a", "mask_b")
-    covered = DT.covered(DT.clamped(D.detections(spark, sf), SIDE, SIDE))
+    covered = DT.covered(DT.on_frames(DT.clamped(D.detections(spark, sf), SIDE, SIDE), exclusive))
     return PX.restricted(exclusive, covered, ["mask_a", "mask_b"])
 
 
@@ -236,7 +237,7 @@ def d13(spark, sf):
     return PX.without_empty(boxed_masks(spark, sf), ["mask_a", "mask_b"])
 
 
-REGION_SQL = """WITH RECURSIVE cell AS (SELECT video_id, frame_idx, y, x, CAST(y * 8 + x + 1 AS INTEGER) AS id FROM pixels WHERE (b + 37) % 4 = 0),
+REGION_SQL = "WITH RECURSIVE cell AS (SELECT video_id, frame_idx, y, x, CAST(y * 8 + x + 1 AS INTEGER) AS id FROM pixels WHERE " + ANY_MASK + """),
 reach AS (SELECT video_id, frame_idx, id AS root, y, x FROM cell
   UNION SELECT r.video_id, r.frame_idx, r.root, c.y, c.x FROM reach r JOIN cell c ON c.video_id = r.video_id AND c.frame_idx = r.frame_idx AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1),
 region AS (SELECT video_id, frame_idx, y, x, min(root) AS region FROM reach GROUP BY 1, 2, 3, 4)
@@ -244,7 +245,7 @@ region AS (SELECT video_id, frame_idx, y, x, min(root) AS region FROM reach GROU
 
 
 def labelled(spark, sf):
-    frames = D.frames(spark, sf).withColumn("mask", D.mask_of(F.col("px"), 1))
+    frames = D.frames(spark, sf).withColumn("mask", F.transform("px", lambda v: F.greatest(*[((v + 37 * k) % 11 == 0).cast("int") for k in (1, 2, 3, 4)])))
     return PX.connected_regions(frames)
 
 
@@ -275,7 +276,7 @@ def d15(spark, sf):
     return PX.region_color_transfer(region_cells(spark, sf)).select(*CELL, "region", "a", "b")
 
 
-@query("d15_region_color_fixed", "SELECT video_id, frame_idx, y, x, CASE WHEN (b + 37) % 4 = 0 THEN 128 ELSE g END AS a, CASE WHEN (b + 37) % 4 = 0 THEN 115 ELSE r END AS b FROM pixels")
+@query("d15_region_color_fixed", f"SELECT video_id, frame_idx, y, x, CASE WHEN {ANY_MASK} THEN 128 ELSE g END AS a, CASE WHEN {ANY_MASK} THEN 115 ELSE r END AS b FROM pixels")
 def d15_fixed(spark, sf):
     # The neutral a and the cool b of the fixed form.
     return PX.region_color_transfer(region_cells(spark, sf), fixed=(128, 115)).select(*CELL, "a", "b")

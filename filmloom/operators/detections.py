@@ -46,6 +46,11 @@ def clamped(detections: DataFrame, width: int, height: int, enlarge: float = 0.0
     return detections.withColumns({c: v.cast("int") for c, v in grown.items()}).filter("x2 > x1 AND y2 > y1")
 
 
+def on_frames(boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Boxes of frames that ``cells`` has, so that no other box is ever spread over pixels."""
+    return boxes.join(cells.select(*KEYS).distinct(), KEYS, "left_semi")
+
+
 def rasterized(boxes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per pixel a box covers."""
     rows = boxes.select(*KEYS, *keep, "x1", "x2", F.explode(F.sequence("y1", F.col("y2") - 1)).alias("y"))
@@ -59,7 +64,7 @@ def covered(boxes: DataFrame) -> DataFrame:
 
 def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pixels under at least one box, by equality on frame and position."""
-    return pixels.join(covered(boxes), [*KEYS, "y", "x"], "left_semi")
+    return pixels.join(covered(on_frames(boxes, pixels)), [*KEYS, "y", "x"], "left_semi")
 
 
 def split_by_detection(frames: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +86,7 @@ def pasted_crops(crop_cells: DataFrame, boxes: DataFrame, frame_cells: DataFrame
     ``crop_cells``: video_id, frame_idx, det_no, cls, crop_h, crop_w, cy, cx, m. A box of another
     size takes the nearest crop cell. Pixels of ``frame_cells`` (with ``cls``) without any mask are 0.
     """
-    bx = boxes.select(*KEYS, "det_no", "x1", "y1", "x2", "y2")
+    bx = on_frames(boxes.select(*KEYS, "det_no", "x1", "y1", "x2", "y2"), frame_cells)
     target = rasterized(bx.withColumns({"bx1": F.col("x1"), "bx2": F.col("x2")}), ["det_no", "y1", "y2", "bx1", "bx2"])
     sizes = crop_cells.select(*KEYS, "det_no", "cls", "crop_h", "crop_w").distinct()
     wanted = target.join(sizes, [*KEYS, "det_no"]).select(
@@ -99,7 +104,7 @@ def confidence_maps(cells: DataFrame, boxes: DataFrame, labels: Sequence[int]) -
 
     All labels of a pixel meet in one aggregate and one join; the rows per label are listed last.
     """
-    covering = rasterized(boxes.filter(F.col("cls").isin(list(labels))), ["cls", "conf"])
+    covering = rasterized(on_frames(boxes.filter(F.col("cls").isin(list(labels))), cells), ["cls", "conf"])
     best = covering.groupBy(*KEYS, "y", "x").agg(*[F.max(F.when(F.col("cls") == c, F.col("conf"))).alias(f"__{c}") for c in labels])
     joined = cells.select(*KEYS, "y", "x").join(best, [*KEYS, "y", "x"], "left")
     per_label = F.array(*[F.struct(F.lit(c).alias("cls"), F.coalesce(f"__{c}", F.lit(0.0)).alias("confidence")) for c in labels])
@@ -142,20 +147,23 @@ def best_frames(detections: DataFrame, sharpness: DataFrame, seconds_frames: int
 def cache_detections(detections: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     """Write detections once, nested per frame and part, and read them back flat.
 
-    A frame's list is split into parts of bounded size, so no row grows with a crowded frame.
+    A frame's list is split into parts of bounded size, so no row grows with a crowded frame. What a
+    failed first write left behind is written over.
     """
     spark = detections.sparkSession
-    if not _exists(spark, path):
+    if not _is_written(spark, path):
         box = F.struct("det_no", "x1", "y1", "x2", "y2", "conf", "cls")
         nested = detections.groupBy(*KEYS, F.floor(F.col("det_no") / 1024).alias("part")).agg(F.collect_list(box).alias("boxes"))
-        nested.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")).write.partitionBy("bucket").parquet(path)
+        nested.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(path)
     return spark.read.parquet(path).select(*KEYS, F.inline("boxes"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _is_written(spark: SparkSession, path: str) -> bool:
+    """Whether the folder holds a table; a write that failed leaves none, since its committer shows all files at the end."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return False
     return True
-

@@ -18,7 +18,6 @@ from filmloom.functions.color import to_byte
 from filmloom.functions.geometry import deflicker_size
 from filmloom.operators.scenes import SEGMENT
 from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows, running, with_halo
-from filmloom.plans.storage import write_through
 
 KEYS = ["video_id", "frame_idx"]
 
@@ -111,31 +110,26 @@ def masked_replace(source: DataFrame, target: DataFrame, masks: DataFrame) -> Da
     return both.select(*KEYS, F.when(F.col("mask").isNull(), F.col("target")).otherwise(picked).alias("px"))
 
 
-def alpha_blend(base: DataFrame, overlay: DataFrame, masks: DataFrame, per_round: int = 256) -> DataFrame:
+def alpha_blend(base: DataFrame, overlay: DataFrame, masks: DataFrame) -> DataFrame:
     """``m * new + (1 - m) * old``, cut to a whole number after each instance, in instance order.
 
     The steps do not commute, so the masks of one pixel are applied one after the other. Pixels
-    are the keys, and masks of 0 change nothing and are left out before the shuffle. ``inst``
-    numbers the instances of a frame from 0 or 1; frames with more than ``per_round`` of them take
-    further rounds, so no list grows with a crowded frame.
+    are the keys, and masks of 0 change nothing and are left out before the shuffle. ``inst`` may be any
+    whole number; a null one fails the query. A pixel's list holds the instances that cover that pixel.
     """
-    last = masks.agg(F.max("inst")).first()[0]
+    numbered = F.coalesce("inst", F.raise_error(F.lit("a mask without an instance")).cast("bigint"))
+    masks = masks.withColumn("inst", numbered)
     cells = explode_plane(masks, "mask", [*KEYS, "inst"], "m").filter("m > 0")
     both = in_sync(base.select(*KEYS, F.col("px").alias("old")), overlay.select(*KEYS, F.col("px").alias("new")))
     out = both.select(*KEYS, F.posexplode(F.arrays_zip("old", "new")).alias("pos", "c")).select(
         *KEYS, "pos", F.col("c.new").alias("new"), F.col("c.old").cast("double").alias("v")
     )
-    rounds = 0 if last is None else last // per_round + 1
-    for i in range(rounds):
-        now = cells.filter(F.floor(F.col("inst") / per_round) == i)
-        steps = now.groupBy(*KEYS, "pos").agg(F.array_sort(F.collect_list(F.struct("inst", "m"))).alias("steps"))
-        blended = F.aggregate(
-            "steps", F.col("v"),
-            lambda v, s: F.floor(s["m"] * F.col("new") + (F.lit(1.0) - s["m"]) * v).cast("double"),
-        )
-        out = out.join(steps, [*KEYS, "pos"], "left").withColumn("v", F.coalesce(blended, "v")).drop("steps")
-        if i + 1 < rounds:
-            out = write_through(out, "blend")
+    steps = cells.groupBy(*KEYS, "pos").agg(F.array_sort(F.collect_list(F.struct("inst", "m"))).alias("steps"))
+    blended = F.aggregate(
+        "steps", F.col("v"),
+        lambda v, s: F.floor(s["m"] * F.col("new") + (F.lit(1.0) - s["m"]) * v).cast("double"),
+    )
+    out = out.join(steps, [*KEYS, "pos"], "left").withColumn("v", F.coalesce(blended, "v"))
     return out.select(*KEYS, "pos", F.col("v").cast("int").alias("v"))
 
 

@@ -31,8 +31,9 @@ def fold_in_order(
 ) -> DataFrame:
     """``step(previous, row) -> (next, output)`` along ``order`` within a key; keys run in parallel.
 
-    The chain of one key is sequential by nature. Rows stream through in Arrow batches with only
-    the previous result held, so a long key takes time but not memory.
+    The chain of one key is sequential by nature: a video without cuts is one task. Rows stream through in
+    Arrow batches with only the previous result held, so a long key takes time but not memory. Keep the rows
+    narrow; a picture belongs in a join afterwards.
     """
     keys = list(keys)
     names = rows.columns
@@ -77,11 +78,11 @@ def map_grids(
             stack[: len(cells)] = [np.asarray(c).reshape(h, w) for c in cells]
             canvas = stack.reshape(rows_of_grid, columns, h, w).swapaxes(1, 2).reshape(rows_of_grid * h, columns * w)
             done = np.asarray(function(canvas)).reshape(rows_of_grid, h, columns, w).swapaxes(1, 2)
-            return [list(map(int, p.ravel())) for p in done.reshape(-1, h, w)[: len(cells)]]
+            return list(done.reshape(-1, h * w)[: len(cells)].astype("int32"))
 
         return pd.Series([one(c, h, w) for c, h, w in zip(pictures, heights, widths)])
 
-    called = grids.withColumn("out", call(F.transform("cells", lambda c: c["px"]), "h", "w"))
+    called = grids.withColumn("out", call.asNondeterministic()(F.transform("cells", lambda c: c["px"]), "h", "w"))  # called once per grid
     apart = called.select(*keys, "batch_no", "h", "w", F.explode(F.arrays_zip("cells", "out")).alias("c"))
     return without_fill(
         apart.select(*keys, "batch_no", F.col("c.cells.pos").alias("pos"), "h", "w", F.col("c.cells.is_fill").alias("is_fill"), F.col("c.out").alias("px"))

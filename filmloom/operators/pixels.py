@@ -110,7 +110,8 @@ def connected_regions(frames: DataFrame, mask: str = "mask") -> DataFrame:
                     out.iloc[i] = labels
         return out
 
-    return frames.withColumn("labels", label(F.col(mask), F.col("h"), F.col("w")))
+    # Not repeatable in Spark's eyes, so no filter that Spark derives from the result calls it a second time.
+    return frames.withColumn("labels", label.asNondeterministic()(F.col(mask), F.col("h"), F.col("w")))
 
 
 def region_color_transfer(
@@ -120,13 +121,16 @@ def region_color_transfer(
 
     ``cells`` has ``region`` (0 outside), lightness and both pairs of planes.
     """
+    names = cells.columns
     inside = F.col("region") > 0
     if fixed is not None:
         values = [F.lit(v) for v in fixed]
     else:
-        w = Window.partitionBy(*KEYS, "region")
-        values = [F.floor(F.avg(d).over(w)).cast("int") for d in donors]
-    return cells.withColumns({p: F.when(inside, v).otherwise(F.col(p)) for p, v in zip(planes, values)})
+        # Aggregates of regions only: the background, most of a frame, is no group.
+        means = cells.filter(inside).groupBy(*KEYS, "region").agg(*[F.floor(F.avg(d)).cast("int").alias(f"__{d}") for d in donors])
+        cells = cells.join(means, [*KEYS, "region"], "left")
+        values = [F.col(f"__{d}") for d in donors]
+    return cells.withColumns({p: F.when(inside, v).otherwise(F.col(p)) for p, v in zip(planes, values)}).select(*names)
 
 
 # color
@@ -239,10 +243,20 @@ def map_tiles(frames: DataFrame, tile: int, stride: int, function: Callable[[np.
     A tile is cut out of its own row, so nothing is shuffled before the function; the tiles of
     an Arrow batch are handed over together.
     """
-    tiles = tile_grid(frames, tile, stride, keep=("px",))
-    rows = F.sequence("ty", F.col("ty") + F.col("th") - 1)
-    crop = F.flatten(F.transform(rows, lambda y: F.slice("px", y * F.col("w") + F.col("tx") + 1, F.col("tw"))))
-    tiles = tiles.withColumn("crop", crop)
+    per_row = F.ceil(F.col("w") / stride)
+
+    def cut(ty: Column, tx: Column) -> Column:
+        th, tw = F.least(F.lit(tile), F.col("h") - ty), F.least(F.lit(tile), F.col("w") - tx)
+        crop = F.flatten(F.transform(F.sequence(ty, ty + th - 1), lambda y: F.slice("px", y * F.col("w") + tx + 1, tw)))
+        number = F.floor(ty / stride) * per_row + F.floor(tx / stride)
+        return F.struct(number.alias("tile_no"), ty.alias("ty"), tx.alias("tx"), th.alias("th"), tw.alias("tw"), crop.alias("crop"))
+
+    def starts(side: str) -> Column:
+        return F.sequence(F.lit(0), F.col(side) - 1, F.lit(stride))
+
+    # The crops are made before the rows are spread, so a row carries its crop and never the whole picture.
+    cuts = F.flatten(F.transform(starts("h"), lambda ty: F.transform(starts("w"), lambda tx: cut(ty, tx))))
+    tiles = frames.select(*KEYS, F.inline(cuts))
 
     @F.pandas_udf("array<double>")
     def call(crops: pd.Series, heights: pd.Series, widths: pd.Series) -> pd.Series:
@@ -250,7 +264,7 @@ def map_tiles(frames: DataFrame, tile: int, stride: int, function: Callable[[np.
             [np.asarray(function(np.asarray(c, dtype="float64").reshape(h, w))).ravel() for c, h, w in zip(crops, heights, widths)]
         )
 
-    called = tiles.withColumn("out", call("crop", "th", "tw"))
+    called = tiles.withColumn("out", call.asNondeterministic()("crop", "th", "tw"))  # called once per tile, see connected_regions
     cells = called.select(*KEYS, "tile_no", "ty", "tx", "tw", F.posexplode("out").alias("i", "v"))
     return cells.select(
         *KEYS, "tile_no", "ty", "tx", (F.col("ty") + F.floor(F.col("i") / F.col("tw"))).cast("int").alias("y"),
@@ -304,14 +318,26 @@ def local_contrast(frames: DataFrame, grid: tuple[int, int] = (8, 8), clip_limit
     """Locally equalized contrast: clipped tile histograms, lookup tables, blend of the four nearest tiles.
 
     Only histograms are shuffled (at most 256 rows per tile); a frame's tables come back to it as
-    one array per tile and the picture stays packed. Sides must divide by the grid.
+    one array per tile and the picture stays packed. If a side does not divide by the grid, both sides are
+    mirrored on, without the edge, up to the next whole number of tiles, for the histograms only.
     """
     gy, gx = grid
-    th, tw = F.floor(F.col("h") / gy), F.floor(F.col("w") / gx)
-    cells = frames.select(*KEYS, (th * tw).alias("area"), F.posexplode("px").alias("i", "v"), "h", "w")
-    tile = F.floor(F.floor(F.col("i") / F.col("w")) / F.floor(F.col("h") / gy)) * gx + F.floor(
-        F.col("i") % F.col("w") / F.floor(F.col("w") / gx)
+    whole = (F.col("h") % gy == 0) & (F.col("w") % gx == 0)
+    full_h = F.when(whole, F.col("h")).otherwise(F.col("h") + gy - F.col("h") % gy)
+    full_w = F.when(whole, F.col("w")).otherwise(F.col("w") + gx - F.col("w") % gx)
+    th, tw = F.floor(full_h / gy), F.floor(full_w / gx)
+
+    def mirrored(p: Column, side: str) -> Column:
+        round_trip = F.greatest(2 * (F.col(side) - 1), F.lit(1))
+        p = p % round_trip
+        return F.when(p < F.col(side), p).otherwise(round_trip - p)
+
+    padded = F.transform(
+        F.sequence(F.lit(0), full_h * full_w - 1),
+        lambda i: F.get("px", (mirrored(F.floor(i / full_w).cast("int"), "h") * F.col("w") + mirrored(i % full_w, "w")).cast("int")),
     )
+    cells = frames.select(*KEYS, (th * tw).alias("area"), F.posexplode(F.when(whole, F.col("px")).otherwise(padded)).alias("i", "v"), full_w.alias("w"), th.alias("th"), tw.alias("tw"))
+    tile = F.floor(F.floor(F.col("i") / F.col("w")) / F.col("th")) * gx + F.floor(F.col("i") % F.col("w") / F.col("tw"))
     limit = F.greatest(F.floor(F.lit(clip_limit) * F.col("area") / 256), F.lit(1))
     # After the histogram everything is grouped inside a frame, so one shuffle by frame serves it all.
     counts = cells.groupBy(*KEYS, "area", tile.alias("tile_no"), "v").agg(F.count(F.lit(1)).alias("c")).repartition(*KEYS)

@@ -90,7 +90,10 @@ def numpy_equalized(px, grid, clip):
     """The published algorithm, step by step."""
     h, w = px.shape
     gy, gx = grid
-    th, tw = h // gy, w // gx
+    picture = px
+    if h % gy or w % gx:
+        px = np.pad(px, ((0, gy - h % gy), (0, gx - w % gx)), mode="reflect")
+    th, tw = px.shape[0] // gy, px.shape[1] // gx
     limit = max(int(clip * th * tw / 256), 1)
     tables = {}
     for ty in range(gy):
@@ -102,6 +105,7 @@ def numpy_equalized(px, grid, clip):
             if rest:
                 hist[:: max(256 // rest, 1)][:rest] += 1
             tables[ty, tx] = np.minimum(np.rint(np.cumsum(hist) * (255.0 / (th * tw))), 255)
+    px = picture
     out = np.zeros_like(px)
     for y in range(h):
         for x in range(w):
@@ -118,12 +122,12 @@ def numpy_equalized(px, grid, clip):
     return out
 
 
-@pytest.mark.parametrize(("side", "grid", "clip"), [(16, (2, 2), 2.0), (64, (2, 4), 2.0), (64, (1, 1), 40.0)])
-def test_local_contrast_against_the_published_steps(spark, side, grid, clip):
-    px = np.random.default_rng(side).integers(0, 256, (side, side)) // 3
-    data = [(1, 0, side, side, px.ravel().tolist())]
+@pytest.mark.parametrize(("sides", "grid", "clip"), [((16, 16), (2, 2), 2.0), ((64, 64), (2, 4), 2.0), ((64, 64), (1, 1), 40.0), ((5, 7), (2, 2), 2.0), ((33, 40), (4, 8), 2.0), ((9, 12), (4, 3), 3.0)])
+def test_local_contrast_against_the_published_steps(spark, sides, grid, clip):
+    px = np.random.default_rng(sum(sides)).integers(0, 256, sides) // 3
+    data = [(1, 0, *sides, px.ravel().tolist())]
     frames = spark.createDataFrame(data, "video_id bigint, frame_idx bigint, h int, w int, px array<int>")
-    got = np.asarray(PX.local_contrast(frames, grid, clip).first().px).reshape(side, side)
+    got = np.asarray(PX.local_contrast(frames, grid, clip).first().px).reshape(sides)
     assert np.array_equal(got, numpy_equalized(px, grid, clip))
 
 
