@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+RAW_SQL: dict[str, str] = {}  # before the views are put in, for a query that another form shares
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,6 +23,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
+            RAW_SQL[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
 

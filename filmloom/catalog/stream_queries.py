@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filmloom.catalog.registry import RAW_SQL as ORACLES
 from filmloom.catalog.registry import query
 from filmloom.operators import logs as L
 from filmloom.sources import derived as D
@@ -12,7 +13,7 @@ from filmloom.streaming import jobs as SJ
 from filmloom.streaming import requests as SR
 from filmloom.streaming import sinks
 from filmloom.streaming import telemetry as ST
-from filmloom.catalog.log_queries import PERCENT_SQL
+from filmloom.catalog.log_queries import PERCENT_SQL, STAGE_SQL
 
 
 def events(spark, sf):
@@ -91,6 +92,24 @@ def h7(spark, sf):
     return sinks.latest(sinks.drain(ST.growing_logs(log(spark, sf)), "growth", "update"), ["job_id"])
 
 
+@query("e22_latest_state_stream", ORACLES["e22_latest_state"])
+def e22_stream(spark, sf):
+    """Stage, progress, output and last line of each job, kept up to date; one row of state per job, in any order of arrival."""
+    return sinks.latest(sinks.drain(L.latest_states(log(spark, sf)), "latest", "update"), ["job_id"])
+
+
+@query("h3_stage_stream", """SELECT job_id, stage FROM (SELECT job_id, line_no, stage, max(line_no) OVER (PARTITION BY job_id) AS last FROM (
+  SELECT job_id, line_no, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'starting') AS stage
+  FROM (SELECT *, """ + STAGE_SQL + """ AS s FROM log))) WHERE line_no = last""")
+def h3_stream(spark, sf):
+    return sinks.latest(sinks.drain(L.latest_states(log(spark, sf)), "stage", "update"), ["job_id"]).select("job_id", "stage")
+
+
+@query("h12_live_output_stream", ORACLES["h12_live_output"])
+def h12_stream(spark, sf):
+    return sinks.latest(sinks.drain(L.live_outputs(log(spark, sf)), "outputs", "update"), ["job_id"])
+
+
 @query("h9_telemetry_throttle", """
 SELECT node_id, ts_us // 3000000 * 3000000 AS window_us, arg_min(line_no, (ts_us, line_no)) AS seq, arg_min(value, (ts_us, line_no)) AS value
 FROM (SELECT job_id % 8 AS node_id, ts_us, line_no, length(line) AS value FROM log) GROUP BY 1, 2

@@ -146,18 +146,27 @@ def messages(log: DataFrame) -> DataFrame:
     return log.select("job_id", "line_no", F.posexplode(out).alias("part", "message"))
 
 
-def snapshots_and_updates(subscribers: DataFrame, log: DataFrame) -> DataFrame:
+def snapshots_and_updates(subscribers: DataFrame, log: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
     """What each subscriber is sent: the progress when joining, then each later change.
 
-    Subscribers have ``subscriber_id, job_id, joined_us``. The log side is joined inner, so Spark
-    can split a job that owns most of the lines.
+    Subscribers have ``subscriber_id, job_id, joined_us``. The progress when joining is carried from hour to hour,
+    one row per job and hour, so a subscriber meets only the lines of the hour it joins in. The later changes
+    are the result itself, one row for each subscriber and change.
     """
-    moves = log.select("job_id", "line_no", "ts_us", PR.first_percent(F.col("line")).alias("progress")).filter("progress IS NOT NULL")
-    seen = moves.join(subscribers, "job_id")
+    moves = log.select(
+        "job_id", "line_no", "ts_us", PR.first_percent(F.col("line")).alias("progress"), F.floor(F.col("ts_us") / bucket_us).alias("hour")
+    ).filter("progress IS NOT NULL")
+    joins = subscribers.select("subscriber_id", "job_id", "joined_us", F.floor(F.col("joined_us") / bucket_us).alias("hour"))
     keys = ["subscriber_id", "job_id"]
-    known = seen.filter("ts_us <= joined_us").groupBy(*keys).agg(F.max_by("progress", "line_no").alias("progress"))
-    hello = subscribers.select(*keys).join(known, keys, "left").select(
-        *keys, F.lit("hello").alias("type"), F.lit(-1).cast("bigint").alias("line_no"), F.coalesce("progress", F.lit(0)).alias("progress")
+    newest = F.struct("line_no", "progress")
+    hours = moves.select("job_id", "hour", newest.alias("m")).unionByName(joins.select("job_id", "hour"), allowMissingColumns=True)
+    hours = hours.groupBy("job_id", "hour").agg(F.max("m").alias("m"))
+    carried = running(hours, ["job_id"], "hour", F.floor(F.col("hour") / DEFAULT_BLOCK), before=("max_before", F.col("m")))
+    this_hour = moves.join(joins, ["job_id", "hour"]).filter("ts_us <= joined_us").groupBy(*keys).agg(F.max(newest).alias("m"))
+    known = joins.join(carried.select("job_id", "hour", "before"), ["job_id", "hour"]).join(this_hour, keys, "left")
+    hello = known.select(
+        *keys, F.lit("hello").alias("type"), F.lit(-1).cast("bigint").alias("line_no"),
+        F.coalesce(F.greatest("before", "m")["progress"], F.lit(0)).alias("progress"),
     )
-    later = seen.filter("ts_us > joined_us").select(*keys, F.lit("progress").alias("type"), "line_no", "progress")
+    later = moves.join(subscribers, "job_id").filter("ts_us > joined_us").select(*keys, F.lit("progress").alias("type"), "line_no", "progress")
     return hello.unionByName(later)

@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from filmloom.operators import logs as L
 from filmloom.plans.storage import scratch_path
 from filmloom.sources import logs as SL
 from filmloom.streaming import jobs as SJ
@@ -144,3 +145,24 @@ def test_completeness(spark, present):
     row = SR.completeness(df).first()
     assert row.is_complete == (len(present) == 4)
     assert row.missing == ",".join(sorted(set(SR.PARTS) - set(present)))
+
+
+@pytest.mark.parametrize("files", [1, 3, 20])
+def test_latest_state_does_not_depend_on_micro_batches(spark, files):
+    texts = ["a", "[INFO] Running restoration...", "Progress: 37%", "[INFO] Starting scene detection for: x", "final video at: out.mp4", "b"]
+    lines = [(job, n, n * SECOND, texts[(n + job) % 6]) for job in (1, 2, 3) for n in range(20)]
+    mixed = [lines[(i * 37) % 60] for i in range(60)]
+    parts = [mixed[i::files] for i in range(files)]
+    batch = spark.createDataFrame(lines, LOG)
+    got = sinks.latest(sinks.drain(L.latest_states(stream(spark, feed(spark, parts, LOG), LOG)), "states", "update"), ["job_id"])
+    want = L.latest_states(batch)
+    assert rows(got, *want.columns) == rows(want)
+
+
+def test_snapshot_is_carried_over_hours(spark):
+    hour = 3600 * SECOND
+    log = spark.createDataFrame([(1, 0, 0, "5%"), (1, 1, 3 * hour, "20%"), (1, 2, 3 * hour + 5, "x"), (1, 3, 9 * hour, "50%"), (2, 4, 1, "7%")], LOG)
+    joined = [(10, 1, 5 * hour), (11, 1, 3 * hour), (12, 1, 3 * hour - 1), (13, 1, 9 * hour + 1), (14, 3, 0), (15, 2, 0)]
+    got = L.snapshots_and_updates(spark.createDataFrame(joined, "subscriber_id bigint, job_id bigint, joined_us bigint"), log)
+    want = [(10, "hello", 20), (10, "progress", 50), (11, "hello", 20), (11, "progress", 50), (12, "hello", 5), (12, "progress", 20), (12, "progress", 50), (13, "hello", 50), (14, "hello", 0), (15, "hello", 0), (15, "progress", 7)]
+    assert rows(got, "subscriber_id", "type", "progress") == sorted(want, key=repr)
