@@ -28,6 +28,7 @@ class Scheme:
     bands: int
     parity_bits: int  # of a set's bitmap; two sets differ in at least as many members as their bitmaps in bits
     least_estimate: float | None  # pairs estimated below it are not compared; None: no estimate is made
+    closer: int = 0  # second bands by which members that a star leaves apart are tried once more, see class_components
     factors: np.ndarray = field(init=False)
     shifts: np.ndarray = field(init=False)
     row_factors: np.ndarray = field(init=False)
@@ -207,42 +208,54 @@ def class_components(classes: DataFrame, sets_of: Callable[[DataFrame], DataFram
     ``classes`` has ``key``, ``rep``, ``n_shingles``, ``signature``, ``parity`` and ``bands``; ``sets_of`` gives ``key`` and ``shingles``
     for a table of ``rep`` and ``wanted`` (a key).
     """
-    rows = classes.select("key", F.explode("bands").alias("bucket"))
+    rows = classes.select("key", F.posexplode("bands").alias("band", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = write_through(rows.join(shared, "bucket"), "buckets")
-    hubs = members.groupBy("key").agg(F.sum("size").alias("hub"))
-    members = write_through(members.join(hubs, "key").select("bucket", "key", "hub"), "members")
-    facts = classes.select("key", "n_shingles", "signature", "parity")
+    facts = classes.select("key", "n_shingles", "signature", "parity", "bands")
 
     # Whole shingle sets, only for classes that share a bucket.
     wanted = members.select("key").distinct().join(classes.select("key", "rep"), "key").select("rep", F.col("key").alias("wanted"))
     sets = write_through(sets_of(wanted).dropDuplicates(["key"]), "sets")
 
     # First round: every member against the best connected member of its bucket.
-    best = members.groupBy("bucket").agg(F.max(F.struct("hub", "key")).alias("best"))
+    hubs = members.groupBy("key").agg(F.sum("size").alias("hub"))
+    best = members.join(hubs, "key").groupBy("bucket").agg(F.max(F.struct("hub", "key")).alias("best"))
     star = members.join(best, "bucket").select(F.col("best.key").alias("a"), F.col("key").alias("b")).filter("a <> b").distinct()
-    first = write_through(_confirmed(_with_facts(star, facts, scheme), sets), "links")
-    labels = components(first)
-
-    # Second round: exactly the pairs that share a bucket but no component yet.
-    placed = members.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", F.coalesce("component", "key").alias("component")
-    ).join(facts, "key")
-    per_part = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = per_part.groupBy("bucket").agg(
-        F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
-    ).filter("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    placed = write_through(placed.join(largest, "bucket"), "placed")
+    links = write_through(_confirmed(_with_facts(star, facts, scheme), sets), "links")
+
+    if scheme.closer:
+        # Members of one bucket that also share a second band, against one of them: closer to each other than to the hub.
+        apart = _apart(members, links, facts).select("bucket", "key", "component", F.explode(F.slice("bands", 1, scheme.closer)).alias("second"))
+        chosen = apart.groupBy("bucket", "second").agg(F.min_by(F.struct("key", "component"), F.xxhash64("key")).alias("one"))
+        tried = apart.join(chosen, ["bucket", "second"]).filter(F.col("component") != F.col("one.component"))
+        tried = tried.select(F.col("one.key").alias("a"), F.col("key").alias("b")).distinct()
+        links = links.unionByName(write_through(_confirmed(_with_facts(tried, facts, scheme), sets), "links"))
+
+    # Last round: exactly the pairs that share a bucket but no component yet, each in the first band that it shares.
+    placed = write_through(_apart(members, links, facts), "placed")
     minor, every = placed.filter("component <> main").alias("x"), placed.alias("y")
-    apart = minor.join(
+    earlier = F.lit(True)
+    for i in range(scheme.bands - 1):
+        earlier = earlier & ((F.col("x.band") <= i) | (F.col("x.bands")[i] != F.col("y.bands")[i]))
+    pairs = minor.join(
         every,
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.key") > F.col("y.key")))
-        & _promising("x", "y", scheme),
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.key") > F.col("y.key"))) & earlier & _promising("x", "y", scheme),
     ).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
     done = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = write_through(_confirmed(apart.join(done, ["a", "b"], "left_anti"), sets), "links")
-    return components(first.unionByName(second))
+    last = write_through(_confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets), "links")
+    return components(links.unionByName(last))
+
+
+def _apart(members: DataFrame, links: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their ``component`` and the bucket's largest, ``main``."""
+    labels = components(links)
+    placed = members.select("bucket", "band", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
+    per_part = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = per_part.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return placed.join(largest.select("bucket", F.col("top.component").alias("main")), "bucket").join(facts, "key")
 
 
 def _promising(x: str, y: str, scheme: Scheme) -> Column:

@@ -24,7 +24,7 @@ SURE_WORDS = 50  # a shared run of this many words always shares a piece
 CHOICE = SURE_WORDS - LEAST_WORDS + 1
 ANCHOR = 5
 #: Two rows per band: a pair at 0.75 misses all eight bands once in 750.
-PARAGRAPHS = Scheme(rows=2, bands=8, parity_bits=256, least_estimate=None)
+PARAGRAPHS = Scheme(rows=2, bands=8, parity_bits=512, least_estimate=None, closer=8)
 
 _PARTS = (
     "doc_id bigint, row bigint, n_words bigint, piece_at array<bigint>, piece array<bigint>, n_paragraphs bigint, "
