@@ -133,13 +133,6 @@ def _term_counter(seen: Broadcast):
     return count
 
 
-def _bits(batches):
-    bits = np.zeros(1 << SEEN_BITS, np.uint8)
-    for batch in batches:
-        bits[np.asarray(batch.column(0)).view(np.uint64) >> np.uint64(64 - SEEN_BITS)] = 1
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """``term`` (hash of a lower-cased word) and ``removed`` for terms that reveal a protected entity.
 
@@ -161,10 +154,11 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("together")
     ).filter(F.col("contexts") >= LEAST_CONTEXTS)
     pairs = write_through(pairs, "term-pairs")
+    # At most 2^23 numbers, whatever the number of terms.
+    set_bits = pairs.select(F.shiftrightunsigned("term", 64 - SEEN_BITS).alias("bit")).distinct().toArrow().column(0).to_numpy()
     bits = np.zeros(1 << SEEN_BITS, bool)
-    for row in pairs.select("term").mapInArrow(_bits, "bits binary").toLocalIterator():  # 1 MB per task, one at a time
-        bits |= np.unpackbits(np.frombuffer(row["bits"], np.uint8)).view(bool)
-    if not bits.any():
+    bits[set_bits] = True
+    if not len(set_bits):
         return pairs.select("term", F.lit(True).alias("removed"))
     spread = texts.mapInArrow(_term_counter(spark.sparkContext.broadcast(bits)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
     per_entity = places.groupBy("entity").agg(F.sum("docs").alias("n_entity"))
