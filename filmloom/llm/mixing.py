@@ -195,8 +195,8 @@ def draws(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw, with ``shard``, ``pass`` and ``position`` added.
 
-    The text of the one cut document per source ends after its drawn words. Each shard is sorted by position,
-    which is random. If ``docs`` has columns of these three names, theirs give way to the new ones.
+    The text of the one cut document per source ends after its drawn words. The order inside a
+    shard is that of position, which is random; rows come sorted by it in pieces of a shard. If ``docs`` has columns of these three names, theirs give way to the new ones.
     """
     names = [c for c in docs.columns if c not in ("shard", "pass", "position")]
     row, source = F.xxhash64("text"), F.col("source").cast("string")
@@ -212,4 +212,5 @@ def mixed(docs: DataFrame) -> DataFrame:
     placed = joined.select(
         *[cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], F.col("__draw.shard").alias("shard"), F.col("__draw.pass").alias("pass"), F.col("__draw.position").alias("position")
     )
-    return placed.repartition("shard").sortWithinPartitions("shard", "position")
+    # A shard is written in eight pieces, each a range of positions, so that no task holds a whole one.
+    return placed.repartition("shard", F.shiftright("position", 61)).sortWithinPartitions("shard", "position")
