@@ -213,7 +213,10 @@ def scan(docs: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).filter(F.length("line") > 0)
-    sample = lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
+    # Four times the sample by a share of the hashes first: what reaches the driver does not grow with the partitions.
+    share = min(1.0, 4 * NEGATIVES / max(1, lines.count()))
+    drawn = lines.filter(F.shiftrightunsigned(F.xxhash64("line"), 11) < int(share * (1 << 53))).distinct()
+    sample = drawn.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()
     model = docs.sparkSession.sparkContext.broadcast(train([r["line"] for r in sample]))
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
         _scanner(model), "doc_id bigint, n_paragraphs bigint, licences array<string>, unknown boolean"
