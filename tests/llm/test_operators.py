@@ -359,6 +359,22 @@ def test_quality_keeps_the_good_and_drops_junk(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
 
 
+def test_quality_limit_is_the_quantile_of_trusted_documents(spark):
+    scored = spark.createDataFrame([("en", i / 100) for i in range(1, 10_001)] + [("de", i / 10) for i in range(1, 31)], "__lang string, __p double")
+    # 9800 + 1.645 * 14 of 10,000, and all of 30.
+    assert dict(of(quality_lm.limits(scored, "__lang"), "__lang", "limit")) == {"en": 98.24, "de": 3.0}
+
+
+def test_quality_drops_bad_and_toxic_documents_apart(spark):
+    judged = by_id(of(QUERIES["op7_quality_perplexity"](spark, "/root/testdata/sf0.1"), "doc_id", "kept"))
+    labels = of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id", "quality", "toxic")
+
+    def kept(quality, toxic):
+        return np.mean([judged[d][0][0] for d, q, t in labels if (q, t) == (quality, toxic)])
+
+    assert kept(1, 0) >= 0.98 and kept(0, 0) < 0.06 and kept(0, 1) < 0.03 and kept(1, 1) < 0.5
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (8, 0, 0), (10, None, 0), (None, 1, 0), (2, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
     judged = quality_lm.classify(odd, labels)
