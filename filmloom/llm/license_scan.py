@@ -27,8 +27,14 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3", "Released under the GNU General Public License version 2",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
-    "lgpl": ["Licensed under the GNU Lesser General Public License", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 2.1"],
-    "agpl": ["Licensed under the GNU Affero General Public License version 3", "Released under the terms of the GNU Affero General Public License"],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License version 3", "Released under the terms of the GNU Affero General Public License",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
     "bsd": [
         "Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -54,6 +60,7 @@ NEGATIVES = 1500  # lines of the corpus that teach the class none: the bound of
 VARIANTS = 60  # training rows per template
 LEAST_CONFIDENCE = 0.5
 LEAST_SHARE = 0.6  # of a template's trigrams that a piece must hold
+JOINED_STEP = 10  # words from one piece of a paragraph of several lines to the next
 EPOCHS, RATE, DECAY = 80, 10.0, 1e-4
 
 
@@ -63,6 +70,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: list[list[np.ndarray]]  # per family, trigram hashes of each template
+    own: list[np.ndarray]  # per family, trigram hashes that no other family's template has
     notices: np.ndarray  # trigram hashes of all templates and unknown forms
 
 
@@ -150,7 +158,47 @@ def train(lines: list[str]) -> Model:
     full[used] = weights
     fixed = [piece for form in UNKNOWN_FORMS for piece in form.split("{}")] + [t for family in TEMPLATES.values() for t in family]
     notices = np.unique(np.concatenate(_sets([t for t in fixed if len(t.split()) >= 3])))
-    return Model(full, bias, float(min(losses, key=losses.get)), [_sets(family) for family in TEMPLATES.values()], notices)
+    templates = [_sets(family) for family in TEMPLATES.values()]
+    every = [np.unique(np.concatenate(sets)) for sets in templates]
+    own = [np.setdiff1d(mine, np.concatenate([s for j, s in enumerate(every) if j != i])) for i, mine in enumerate(every)]
+    return Model(full, bias, float(min(losses, key=losses.get)), templates, own, notices)
+
+
+def _holds(own: np.ndarray, family: int, model: Model) -> bool:
+    """Whether a piece's trigrams hold enough of a template of the family, and something that tells it from the others."""
+    return max(np.isin(t, own).mean() for t in model.templates[family]) >= LEAST_SHARE and bool(np.isin(model.own[family], own).any())
+
+
+def _reserved(words: np.ndarray, block: np.ndarray) -> list[int]:
+    """Where "All rights reserved" stands with "Copyright" or its sign among the words before it, in one block of lines."""
+    phrase, marks = _sets(["all rights reserved"])[0], np.concatenate(_sets(["copyright", "©"], 1))
+    marked = np.flatnonzero(np.isin(W.grams(words, 1), marks))
+    at = np.flatnonzero(np.isin(W.grams(words, 3), phrase)) if len(marked) else marked
+    at = at[block[at] == block[at + 2]]
+    before = np.searchsorted(marked, at) - 1
+    return [int(i) for i, m in zip(at, before) if m >= 0 and i - marked[m] < PIECE and block[i] == block[marked[m]]]
+
+
+def _joined(words: np.ndarray, begin: np.ndarray, end: np.ndarray, new: np.ndarray, model: Model) -> list[tuple[int, str]]:
+    """Place and family of the templates that stand in blocks of several lines, read as one; ``new``: first line of each."""
+    last = np.append(new[1:], len(begin)) - 1
+    several = last > new
+    a0, b0 = begin[new[several]], end[last[several]]
+    if not len(a0):
+        return []
+    known = np.unique(np.concatenate([t for family in model.templates for t in family]))
+    runs = W.grams(words, 3)
+    held = np.concatenate([[0], np.cumsum(np.isin(runs, known)), np.zeros(0, np.int64)])
+    pieces = 1 + np.maximum(0, -(-(b0 - a0 - PIECE) // JOINED_STEP))
+    a = np.repeat(a0, pieces) + JOINED_STEP * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    b = np.minimum(a + PIECE, np.repeat(b0, pieces))
+    top = len(held) - 1
+    some = held[np.clip(b - 2, a, None).clip(max=top)] - held[a.clip(max=top)] >= 2  # no template has less than three
+    out = []
+    for i in np.flatnonzero(some):
+        own = runs[a[i]:b[i] - 2]
+        out += [(int(a[i]), name) for f, name in enumerate(TEMPLATES) if _holds(own, f, model)]
+    return out
 
 
 def judge(texts: W.Texts, model: Model) -> tuple[np.ndarray, list[list[str]]]:
@@ -174,15 +222,23 @@ def judge(texts: W.Texts, model: Model) -> tuple[np.ndarray, list[list[str]]]:
     n = np.maximum(1, upto[b] - upto[a])
     z = (sums[b] - sums[a]) / np.sqrt(n)[:, None] + model.bias
     best = z.argmax(axis=1)
+    line_no = np.searchsorted(np.flatnonzero(texts.data == 10), starts[begin])
+    new = np.flatnonzero((np.diff(rows[begin], prepend=-1) != 0) | (np.diff(line_no, prepend=-2) > 1))
+    block = np.repeat(np.arange(len(new)), np.diff(np.append(begin[new], len(words))))
+    named = _joined(words, begin, end, new, model)
     for i in np.flatnonzero(best > 0):
         if _softmax(z[i:i + 1] / model.temperature)[0, best[i]] < LEAST_CONFIDENCE:
             continue
         piece = words[a[i]:b[i]]
         own = W.grams(piece, min(3, len(piece)))
-        if best[i] > 1 and max(np.isin(t, own).mean() for t in model.templates[best[i] - 2]) >= LEAST_SHARE:
-            found[rows[a[i]]].append(CLASSES[best[i]])
+        if best[i] > 1 and _holds(own, best[i] - 2, model):
+            named.append((int(a[i]), CLASSES[best[i]]))
         elif np.isin(own, model.notices).any():
             found[rows[a[i]]].append("unknown")
+    licensed = {block[at] for at, _ in named}
+    named += [(at, "proprietary") for at in _reserved(words, block) if block[at] not in licensed]
+    for at, name in named:
+        found[rows[at]].append(name)
     return paragraphs, found
 
 
@@ -203,10 +259,13 @@ def _scanner(model: Broadcast):
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_paragraphs``, confirmed ``licences`` in order, and whether an ``unknown`` one was found.
 
-    Each line is a paragraph; longer ones are judged in overlapping pieces of 40 words. The classifier is a
+    Each line is a paragraph; longer ones are judged in overlapping pieces of 40 words. Lines up to a blank one are also
+    joined, and pieces of them compared with the templates, so that wrapped notices count. The classifier is a
     multinomial logistic regression on hashed word one- to three-grams. It is fitted on variants of the templates, on made-up notices
     (class ``unknown``) and on at most 1500 lines of the corpus (class ``none``), chosen by hash. A family counts if its calibrated
-    probability is at least one half and the piece holds 60 % of the trigrams of one of its templates; a piece that fails
+    probability is at least one half (or its lines are joined) and the piece holds 60 % of the trigrams of one of its
+    templates, among them one that no other family's has; "Copyright ... All rights reserved" is ``proprietary`` unless its lines
+    name a family. A piece that fails
     the comparison is ``unknown`` if at least three of its words in a row stand in some notice.
 
     A null or empty text has no paragraphs. Repeated rows and null ids are rows like any other; other columns are not read. An

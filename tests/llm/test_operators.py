@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import defaultdict
 
 import numpy as np
@@ -296,6 +297,20 @@ def test_held_out_licence_notices():
     assert [sorted(set(f)) for f in found] == [["apache-2.0"], ["mit"], ["unknown"], [], [], ["cc-by-sa"]]
 
 
+def test_wrapped_notices_of_every_family():
+    model = license_scan.train(["The weather was fine and nobody said a word.", "Plain prose about rivers, boats and bread."] * 50)
+    for width in (30, 45, 72):
+        for name, templates in license_scan.TEMPLATES.items():
+            for template in templates:
+                wrapped = "\n".join("# " + x for x in textwrap.wrap(f"{template}.", width))
+                texts = W.Texts(pa.array([f"some words before\n{wrapped}\nand some after", wrapped], pa.string()))
+                assert [sorted(set(f) - {"unknown"}) for f in license_scan.judge(texts, model)[1]] == [[name]] * 2, template
+    texts = W.Texts(pa.array(["Copyright (c) 2024 Jane Doe.\nAll rights reserved.", "© 2024 X. All rights reserved.", "Copyright 2024 X. All rights reserved.\nReleased under the BSD 3-Clause License"], pa.string()))
+    assert [sorted(set(f) - {"unknown"}) for f in license_scan.judge(texts, model)[1]] == [["proprietary"], ["proprietary"], ["bsd"]]
+    apart = W.Texts(pa.array(["Permission is hereby granted\n\nfree of charge\n\nto any person"], pa.string()))
+    assert set(license_scan.judge(apart, model)[1][0]) <= {"unknown"}
+
+
 def test_licence_odd_rows(spark, odd, empty):
     got = by_id(of(license_scan.scan(odd), "doc_id", "n_paragraphs", "licences"))
     assert sum(map(len, got.values())) == len(ODD) and got[4] == got[5] == [(0, [])] and got[11] == [(3, [])]
