@@ -46,19 +46,34 @@ TEMPLATES: dict[str, list[str]] = {
     "cc0": ["Dedicated to the public domain under CC0 1.0 Universal", "This work is marked with CC0 1.0 Universal"],
     "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission", "Copyright the authors. All rights reserved"],
 }
+#: Names of the families; with the ways to put them below they make whole lines, and alone they follow an SPDX tag.
+NAMES: dict[str, list[str]] = {
+    "mit": ["MIT"], "apache-2.0": ["Apache-2.0", "Apache 2.0"], "mpl-2.0": ["MPL-2.0", "Mozilla Public License 2.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "gpl": [f"GPL-{v}{x}" for v in ("2.0", "3.0") for x in ("", "-only", "-or-later")], "lgpl": [f"LGPL-{v}{x}" for v in ("2.0", "2.1", "3.0") for x in ("", "-only", "-or-later")],
+    "agpl": [f"AGPL-{v}{x}" for v in ("3.0",) for x in ("", "-only", "-or-later")], "cc0": ["CC0-1.0"],
+    **{f"cc-{k}": [f"CC-{k.upper()}-{v}" for v in ("2.0", "2.5", "3.0", "4.0")] for k in ("by", "by-sa", "by-nc")},
+}
+WHOLE_LINES = ["{} License", "The {} License", "License: {}", "Licence: {}"]
+TITLES = {
+    "mit": ["The MIT License (MIT)"], "apache-2.0": ["Apache License", "Apache License, Version 2.0", "Version 2.0, January 2004"], "bsd": ["BSD License", "The BSD License"], "cc0": ["CC0 1.0 Universal"],
+    "gpl": ["GNU General Public License", "GNU GPL"], "lgpl": ["GNU Lesser General Public License", "GNU LGPL"], "agpl": ["GNU Affero General Public License", "GNU AGPL"], "mpl-2.0": ["Mozilla Public License"],
+}
 #: Notices of no known family: their names are made up while training.
 UNKNOWN_FORMS = [
     "Licensed under the {} License", "Released under the {} Public License, version {}", "This work is licensed under {} {}.0", "Distributed under the terms of the {} licence",
     "This software is provided under the {} community license agreement", "Usage is subject to the {} terms of use",
+    "Licensed under {} terms", "Use is governed by the {} agreement", "SPDX-License-Identifier: {}", "Lizenziert unter der {} Lizenz", "Dieses Werk steht unter der {} Lizenz", "Alle Rechte vorbehalten",
+    "Sous licence {}", "Publié sous la licence {}", "Tous droits réservés", "Bajo la licencia {}", "Publicado bajo la licencia {}", "Todos los derechos reservados",
 ]
 
 CLASSES = ["none", "unknown", *TEMPLATES]
 PIECE, STEP = 40, 20  # words of a piece of a long line, and words from one piece to the next
 SIZES = (1, 2, 3)  # word n-grams
 BITS = 16  # of a feature's hash
-NEGATIVES = 1500  # lines of the corpus that teach the class none: the bound of the labelled sample
+NEGATIVES = 4000  # lines of the corpus that teach the class none: the bound of the labelled sample
 VARIANTS = 60  # training rows per template
 LEAST_CONFIDENCE = 0.5
+ALONE = 0.9  # confidence from which a piece of three different words or more is a notice whatever its wording
 LEAST_SHARE = 0.6  # of a template's trigrams that a piece must hold
 JOINED_STEP = 10  # words from one piece of a paragraph of several lines to the next
 EPOCHS, RATE, DECAY = 80, 10.0, 1e-4
@@ -179,6 +194,37 @@ def _reserved(words: np.ndarray, block: np.ndarray) -> list[int]:
     return [int(i) for i, m in zip(at, before) if m >= 0 and i - marked[m] < PIECE and block[i] == block[marked[m]]]
 
 
+def _keys() -> dict[bytes, str]:
+    """Family by the hashes of the words of a name or a whole line."""
+    forms = [(form.format(x), family) for family, names in NAMES.items() for x in names for form in ["{}", *WHOLE_LINES]]
+    forms += [(x, family) for family, titles in TITLES.items() for x in titles]
+    part = W.Texts(pa.array([x for x, _ in forms], pa.string()))
+    starts, ends, first = W.spans(part, W.LETTERED)
+    words = W.word_hashes(part, starts, ends)
+    return {words[a:b].tobytes(): family for a, b, (_, family) in zip(first[:-1], first[1:], forms)}
+
+
+def _short_lines(words: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: dict[bytes, str]) -> list[tuple[int, int, str]]:
+    """Start, end and licence of the lines that are a family's name or title, or that have an SPDX tag."""
+    out = []
+    for size in {len(k) // 8 for k in keys}:
+        known = np.concatenate([W.grams(np.frombuffer(k, np.uint64), size) for k in keys if len(k) == 8 * size])
+        at = begin[end - begin == size]
+        if size > 1 and len(at):  # a name of one word says nothing without a tag
+            out += [(int(a), int(a) + size, keys[words[a:a + size].tobytes()]) for a in at[np.isin(W.grams(words, size)[at], known)]]
+    tag, joints, later = _sets(["SPDX-License-Identifier"])[0], np.concatenate(_sets(["or", "and", "with"], 1)), _sets(["later"], 1)[0]
+    for a in np.flatnonzero(np.isin(W.grams(words, 3), tag)):
+        stop = int(end[np.searchsorted(begin, a, "right") - 1])
+        rest = words[a + 3:stop]
+        single = W.grams(rest, 1)
+        joint = np.isin(single, joints) & ~np.isin(np.append(single[1:], np.uint64(0)), later)  # "or later" is part of a name
+        for i, name in enumerate(np.split(rest, np.flatnonzero(joint))):
+            name = name[1:] if i else name
+            if len(name):
+                out.append((int(a), stop, keys.get(name.tobytes(), "unknown")))
+    return out
+
+
 def _joined(words: np.ndarray, begin: np.ndarray, end: np.ndarray, new: np.ndarray, model: Model) -> list[tuple[int, str]]:
     """Place and family of the templates that stand in blocks of several lines, read as one; ``new``: first line of each."""
     last = np.append(new[1:], len(begin)) - 1
@@ -226,14 +272,28 @@ def judge(texts: W.Texts, model: Model) -> tuple[np.ndarray, list[list[str]]]:
     new = np.flatnonzero((np.diff(rows[begin], prepend=-1) != 0) | (np.diff(line_no, prepend=-2) > 1))
     block = np.repeat(np.arange(len(new)), np.diff(np.append(begin[new], len(words))))
     named = _joined(words, begin, end, new, model)
+    whole = set()
+    for at, _, name in _short_lines(words, begin, end, _keys()):
+        whole.add(line[at])
+        if name == "unknown":
+            found[rows[at]].append(name)
+        else:
+            named.append((at, name))
+    held = {}
+    for at, name in named:
+        held.setdefault(block[at], []).extend(model.templates[list(TEMPLATES).index(name)])
     for i in np.flatnonzero(best > 0):
-        if _softmax(z[i:i + 1] / model.temperature)[0, best[i]] < LEAST_CONFIDENCE:
+        chances = _softmax(z[i:i + 1] / model.temperature)[0]
+        sure = 1 - chances[0]
+        if chances[best[i]] < LEAST_CONFIDENCE and sure < ALONE:
             continue
         piece = words[a[i]:b[i]]
         own = W.grams(piece, min(3, len(piece)))
         if best[i] > 1 and _holds(own, best[i] - 2, model):
             named.append((int(a[i]), CLASSES[best[i]]))
-        elif np.isin(own, model.notices).any():
+        elif line[a[i]] in whole or (block[a[i]] in held and np.isin(own, np.concatenate(held[block[a[i]]])).mean() >= 0.5):
+            continue  # part of a notice that has its family
+        elif np.isin(own, model.notices).any() or (sure >= ALONE and len(np.unique(piece)) >= 3):
             found[rows[a[i]]].append("unknown")
     licensed = {block[at] for at, _ in named}
     named += [(at, "proprietary") for at in _reserved(words, block) if block[at] not in licensed]
@@ -262,11 +322,12 @@ def scan(docs: DataFrame) -> DataFrame:
     Each line is a paragraph; longer ones are judged in overlapping pieces of 40 words. Lines up to a blank one are also
     joined, and pieces of them compared with the templates, so that wrapped notices count. The classifier is a
     multinomial logistic regression on hashed word one- to three-grams. It is fitted on variants of the templates, on made-up notices
-    (class ``unknown``) and on at most 1500 lines of the corpus (class ``none``), chosen by hash. A family counts if its calibrated
+    (class ``unknown``) and on at most 4000 lines of the corpus (class ``none``), chosen by hash. A family counts if its calibrated
     probability is at least one half (or its lines are joined) and the piece holds 60 % of the trigrams of one of its
     templates, among them one that no other family's has; "Copyright ... All rights reserved" is ``proprietary`` unless its lines
-    name a family. A piece that fails
-    the comparison is ``unknown`` if at least three of its words in a row stand in some notice.
+    name a family. Lines that are a family's title, and SPDX tags, are compared as a whole. A piece that fails
+    the comparison is ``unknown`` if at least three of its words in a row stand in some notice, or if it has three different words
+    and the classifier is sure by 0.9 that it is a notice.
 
     A null or empty text has no paragraphs. Repeated rows and null ids are rows like any other; other columns are not read. An
     empty table gives an empty table.

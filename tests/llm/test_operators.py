@@ -311,6 +311,18 @@ def test_wrapped_notices_of_every_family():
     assert set(license_scan.judge(apart, model)[1][0]) <= {"unknown"}
 
 
+def test_licences_in_other_words_tags_and_short_lines():
+    model = license_scan.train(["The weather was fine and nobody said a word.", "Plain prose about rivers, boats and bread."] * 50)
+    cases = {
+        "Licensed under Quomble terms": ["unknown"], "Lizenziert unter der Quomble Lizenz": ["unknown"], "Publié sous la licence Quomble": ["unknown"],
+        "MIT License": ["mit"], "Apache License\nVersion 2.0, January 2004": ["apache-2.0"], "// SPDX-License-Identifier: MIT": ["mit"],
+        "# SPDX-License-Identifier: GPL-2.0-or-later OR CC-BY-SA-4.0": ["cc-by-sa", "gpl"], "SPDX-License-Identifier: Quomble-1.0": ["unknown"],
+        "MIT": [], "The weather was fine": [], "One Two One Two": [], "SPDX-License-Identifier: MIT-0": ["unknown"],
+    }
+    found = license_scan.judge(W.Texts(pa.array(list(cases), pa.string())), model)[1]
+    assert dict(zip(cases, (sorted(set(f)) for f in found))) == cases
+
+
 def test_licence_odd_rows(spark, odd, empty):
     got = by_id(of(license_scan.scan(odd), "doc_id", "n_paragraphs", "licences"))
     assert sum(map(len, got.values())) == len(ODD) and got[4] == got[5] == [(0, [])] and got[11] == [(3, [])]
