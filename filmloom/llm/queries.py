@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, vector_search
+from filmloom.llm import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, spelling_variants, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -120,6 +120,30 @@ def op8(spark, sf):
     )
 
 
+@query("op11_spelling_variants", """
+WITH RECURSIVE code AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+run AS (SELECT doc_id, r, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS r FROM documents) GROUP BY ALL),
+hashed AS (SELECT r, c, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), 128 + (unicode(x) & 63)] END))),
+    lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) AS h FROM run, code),
+word AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 97 <> 0 THEN r
+    ELSE substring(r, 1, CAST(h % length(r) AS BIGINT)) || substring(r, CAST(h % length(r) AS BIGINT) + 2) END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN word b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN word b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'less': -m, 'other': other}) AS top FROM near GROUP BY word),
+judged AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 2 * n THEN top.other END AS form,
+    CASE WHEN -top.less >= 2 * n THEN -top.less END AS form_n FROM word w LEFT JOIN best b ON b.word = w.word),
+chain AS (SELECT word, word AS root FROM judged UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.root AND j.form IS NOT NULL)
+SELECT j.word, j.n, j.n_near, j.form, j.form_n, c.root FROM judged j JOIN chain c ON c.word = j.word JOIN judged e ON e.word = c.root AND e.form IS NULL
+""")
+def op11(spark, sf):
+    return spelling_variants.variants(spelling_variants.corpus_words(table(spark, sf, "documents")))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     # Imported here: the pipeline is built from this folder's operators.
