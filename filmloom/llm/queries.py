@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, spelling_variants, vector_search
+from filmloom.llm import decontamination, lexical_search, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, spelling_variants, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -144,6 +144,23 @@ def op11(spark, sf):
     return spelling_variants.variants(spelling_variants.corpus_words(table(spark, sf, "documents")))
 
 
+@query("op12_ranked_lexical_search", """
+WITH term AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents) GROUP BY ALL),
+doc AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM term GROUP BY doc_id),
+size AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM doc),
+item AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM term GROUP BY t), size),
+scored AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (t) JOIN term USING (t) JOIN doc USING (doc_id), size GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+""")
+def op12(spark, sf):
+    return lexical_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     # Imported here: the pipeline is built from this folder's operators.

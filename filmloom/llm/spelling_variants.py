@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.llm.words import LOWER, SLICE_BYTES, Texts, slices
+from filmloom.llm.words import LOWER, Texts, cut_between, slices
 from filmloom.plans.storage import write_through
 
 LEAST_LENGTH = 5  # code points of a word
@@ -38,6 +38,7 @@ GROUP = 24  # words with one chunk that are paired directly
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3] = True  # 0xC3 begins U+00C0 to U+00FF
+_INSIDE = _LETTER | (np.arange(256) >= 0x80)  # where a long text isn't cut
 _CRC = np.arange(256, dtype=np.uint32)
 for _ in range(8):
     _CRC = np.where(_CRC & 1, np.uint32(0xEDB88320) ^ (_CRC >> np.uint32(1)), _CRC >> np.uint32(1))
@@ -50,21 +51,6 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return inside
 
 
-def _pieces(texts: Texts) -> Iterator[tuple[int, Texts]]:
-    """A slice as it is, or one long text cut between words: first row and texts."""
-    if len(texts) > 1 or len(texts.data) <= 2 * SLICE_BYTES:
-        yield texts
-        return
-    gaps, at = np.flatnonzero(~_letters(texts.data)), 0
-    while at < len(texts.data):
-        i = np.searchsorted(gaps, at + SLICE_BYTES)
-        to = int(gaps[i]) + 1 if i < len(gaps) else len(texts.data)
-        piece = Texts.__new__(Texts)
-        piece.data, piece.offsets = texts.data[at:to], np.array([0, to - at])
-        yield piece
-        at = to
-
-
 def _checksums(data: np.ndarray, starts: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
     """crc32 of each word, going on from the checksum before it."""
     out = before ^ np.uint32(0xFFFFFFFF)
@@ -130,7 +116,7 @@ def corpus_words(docs: DataFrame, slip: int = SLIP, least_count: int = LEAST_COU
             ids = batch.column(0).to_pylist()
             for first, texts in slices(batch.column(1)):
                 prefix = np.array([zlib.crc32(f"{'' if d is None else d}:".encode()) for d in ids[first:first + len(texts)]], np.uint32)
-                for piece in _pieces(texts):
+                for piece in cut_between(texts, _INSIDE):
                     if len(piece.data):
                         yield _count(piece, prefix, slip)
 

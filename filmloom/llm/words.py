@@ -83,6 +83,23 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Te
         start = stop
 
 
+def cut_between(texts: Texts, table: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[Texts]:
+    """Texts as they are, or one text of more than twice ``limit`` bytes in pieces that end between words."""
+    if len(texts) > 1 or len(texts.data) <= 2 * limit:
+        yield texts
+        return
+    at = 0
+    while at < len(texts.data):
+        to = min(at + limit, len(texts.data))
+        while to < len(texts.data) and table[texts.data[to]]:
+            gaps = np.flatnonzero(~table[texts.data[to:to + limit]])
+            to += int(gaps[0]) if len(gaps) else min(limit, len(texts.data) - to)
+        piece = Texts.__new__(Texts)
+        piece.data, piece.offsets = texts.data[at:to], np.array([0, to - at])
+        yield piece
+        at = to
+
+
 def spans(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each row the number of its first word (one more at the end)."""
     inside = table[texts.data]
