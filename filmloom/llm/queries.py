@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filmloom.llm import decontamination, lexical_search, license_scan, line_dedup, lm_scoring, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, spelling_variants, vector_search
+from filmloom.llm import decontamination, lexical_search, license_scan, line_dedup, lm_scoring, main_text, minhash_dedup, mixing, paragraph_dedup, pii, quality_lm, spelling_variants, vector_search
 from filmloom.llm.tables import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -161,6 +161,11 @@ def op12(spark, sf):
     return lexical_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op13_main_text")
+def op13(spark, sf):
+    return main_text.extracted(table(spark, sf, "pages"))
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     # Imported here: the pipeline is built from this folder's operators.
