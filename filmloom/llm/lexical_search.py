@@ -34,6 +34,7 @@ GROUP_WORDS = 500_000
 ITEM_WORDS = 16_384
 CELLS = 6 << 20
 LEAF = 64
+ROWS = 4096  # documents unpacked at once
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id, which comes last
 
 
@@ -201,7 +202,7 @@ def _searched(vectors: DataFrame, plan: Broadcast, k: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, total, words, blocks = plan.value
         best: dict[int, list[tuple[int, int]]] = {}
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
             n = batch.column(1).to_numpy()
             wide = 75 * total * int(n.max(initial=0)) >= 2**63

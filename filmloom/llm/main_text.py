@@ -30,7 +30,7 @@ LAYOUTS = 3  # new layouts for each of them
 WIDTH = 1 << 14  # hashed features
 EDGES = 5  # kinds of parent-child edges
 STEPS = 100
-PENALTY = 2e-4
+PENALTY = 3e-5
 TOGETHER = 2 << 20  # characters of pages labelled at once
 LEAVES = frozenset("p li h1 h2 h3 h4 td tr ul ol blockquote".split())
 
@@ -211,7 +211,7 @@ def training_set(sources: list[str], seed: int = 0, layouts: int = LAYOUTS) -> t
     rng = random.Random(seed)
     layout = Layout(rng, prose, short)
     for blocks in (texts or [layout.prose]):
-        for _ in range(layouts if texts else 60):
+        for _ in range(layouts if texts else 600):
             chosen = [b[:2000] for b in rng.sample(blocks, rng.randint(1, min(len(blocks), 12)))] if blocks else layout.prose[:1]
             if rng.random() < 0.08:  # a text may be very short
                 chosen = [" ".join(b.split(" ")[:rng.randint(1, 4)]) for b in chosen[:2]]

@@ -130,6 +130,8 @@ class Layout:
         rng = self.rng
         above = [p for p in ("notice", "header", "menu", "advert", "form", "side", "menu") if rng.random() < 0.45]
         below = [p for p in ("advert", "comments", "side", "form", "notice", "comments", "footer") if rng.random() < 0.45]
+        if rng.random() < 0.1:  # nothing but the text
+            above, below = [], []
         rng.shuffle(above)
         rng.shuffle(below)
         body = "".join(map(self.part, above)) + self.main(blocks) + "".join(map(self.part, below))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Fixed values of the markup language.
@@ -11,6 +12,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+WHOLE = frozenset("html head body".split())  # the page itself, named or not
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SILENT = frozenset("script style textarea title iframe noembed noframes noscript template svg math object canvas audio video select datalist button".split())
 CLOSES_P = frozenset(
@@ -19,10 +21,10 @@ CLOSES_P = frozenset(
 #: A start tag ends an open element of these, up to the element that bounds the search.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "body": ({"head"}, {"body"}),
+    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 LANDMARKS = frozenset("article main nav aside header footer form section".split())
-MOST_DEEP = 512  # elements below are put beside each other, as browsers do
+MOST_DEEP = 512  # tags of elements below are passed over, their text is kept
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S
@@ -81,6 +83,7 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones carry their block's node
     run: list[str] = []
+    held: Counter[str] = Counter()  # open elements by tag
     links = linked = at = silent = 0
 
     def flush() -> None:
@@ -95,6 +98,7 @@ def parse(source: str) -> Page:
     def close(i: int) -> None:
         nonlocal links, silent
         for tag, _ in stack[i:]:
+            held[tag] -= 1
             links -= tag == "a"
             silent -= tag in SILENT
         if any(tag not in INLINE for tag, _ in stack[i:]):
@@ -102,7 +106,7 @@ def parse(source: str) -> Page:
         del stack[i:]
 
     def innermost(wanted, bounds=frozenset()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1 if any(held[w] for w in wanted) else 0, 0, -1):
             if stack[i][0] in wanted:
                 return i
             if stack[i][0] in bounds:
@@ -121,12 +125,17 @@ def parse(source: str) -> Page:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in WHOLE:
+            flush()
+            continue
         if end:
             if tag in VOID:
                 continue
             i = innermost({tag}, frozenset() if tag not in INLINE else LANDMARKS | {"div", "td", "th", "table"})
             if i:
                 close(i)
+            elif tag == "p":  # stands for an empty paragraph
+                flush()
             continue
         if tag == "br":
             run.append(" ")
@@ -145,14 +154,16 @@ def parse(source: str) -> Page:
                 close(i)
         if tag == "a" and links and (i := innermost({"a"}, {"table", "td", "th"})):
             close(i)
-        if tag in INLINE or tag in SILENT or len(stack) > MOST_DEEP:
-            if tag not in INLINE:
-                flush()
+        if tag not in INLINE:
+            flush()
+        if len(stack) > MOST_DEEP and tag not in SILENT:
+            continue
+        held[tag] += 1
+        if tag in INLINE or tag in SILENT:
             stack.append((tag, stack[-1][1]))
             links += tag == "a"
             silent += tag in SILENT
             continue
-        flush()
         names, mark = _attributes(attributes)
         stack.append((tag, page.add(tag, stack[-1][1], names, mark)))
     if at < len(source) and not silent:
