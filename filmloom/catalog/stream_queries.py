@@ -13,7 +13,7 @@ from filmloom.streaming import jobs as SJ
 from filmloom.streaming import requests as SR
 from filmloom.streaming import sinks
 from filmloom.streaming import telemetry as ST
-from filmloom.catalog.log_queries import PERCENT_SQL, STAGE_SQL
+from filmloom.catalog.log_queries import PERCENT_SQL, RESULT_SQL, STAGE_SQL
 
 
 def events(spark, sf):
@@ -60,9 +60,14 @@ SELECT job_id, line_no, ts_us, {PERCENT_SQL} AS p, CASE WHEN line LIKE 'remarks:
   CASE WHEN line LIKE 'final video at: /workspace%' OR line LIKE 'remarks: code 9%' THEN 'exit' WHEN line = 'status: Error' THEN 'cancel' ELSE 'line' END AS kind FROM log"""
 
 
+def tracked(spark, events, label):
+    ticks = sinks.Ticks(spark)
+    return sinks.drain(SJ.track(events, ticks=ticks.stream()), label, ticks=ticks, at_once=True)
+
+
 @query("h4_stall_bump", STEPS_SQL.format(events=LINES_SQL) + "SELECT job_id, line_no, progress FROM st WHERE rn > 0")
 def h4(spark, sf):
-    return sinks.drain(SJ.track(SJ.events_of(log(spark, sf))), "stall").select("job_id", "line_no", "progress")
+    return tracked(spark, SJ.events_of(log(spark, sf)), "stall").select("job_id", "line_no", "progress")
 
 
 def kinds(lines):
@@ -74,7 +79,54 @@ def kinds(lines):
 
 @query("h5_job_states", STEPS_SQL.format(events=KINDS_SQL) + "SELECT job_id, line_no, status, progress FROM st WHERE rn > 0")
 def h5(spark, sf):
-    return sinks.drain(SJ.track(kinds(log(spark, sf))), "states").select("job_id", "line_no", "status", "progress")
+    return tracked(spark, kinds(log(spark, sf)), "states").select("job_id", "line_no", "status", "progress")
+
+
+# A job's first lines create and start it here, so that it waits before it runs.
+LIFE_SQL = KINDS_SQL.replace("ELSE 'line' END AS kind", "WHEN line_no % 3 = 1 THEN 'created' WHEN line_no % 5 = 1 THEN 'started' ELSE 'line' END AS kind")
+LIFE_STEPS_SQL = """
+WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts_us, line_no) AS rn FROM ({events})),
+st AS (
+  SELECT job_id, rn, line_no, ts_us, 'new' AS status, CAST(0 AS BIGINT) AS progress, ts_us AS moved, CAST(NULL AS VARCHAR) AS error FROM (SELECT job_id, 0 AS rn, CAST(-1 AS BIGINT) AS line_no, ts_us FROM ev WHERE rn = 1)
+  UNION ALL
+  SELECT job_id, rn, line_no, ts_us,
+    CASE WHEN waits AND kind = 'created' THEN 'pending' WHEN over THEN status WHEN kind = 'cancel' THEN 'cancelled'
+         WHEN kind = 'exit' THEN CASE WHEN code = 0 THEN 'completed' ELSE 'failed' END ELSE 'running' END,
+    CASE WHEN waits AND kind = 'created' OR over THEN progress WHEN kind = 'cancel' THEN 0 WHEN kind = 'exit' AND code = 0 THEN 100
+         WHEN kind = 'line' AND p IS NOT NULL THEN p WHEN kind = 'line' AND ts_us - since > 10000000 AND now < 90 THEN now + 1 ELSE now END,
+    CASE WHEN waits AND kind = 'created' AND status = 'pending' OR over THEN moved
+         WHEN kind = 'line' AND NOT (p IS NOT NULL OR ts_us - since > 10000000 AND now < 90) OR kind IN ('created', 'started') THEN since ELSE ts_us END,
+    CASE WHEN over THEN error WHEN kind = 'exit' AND code <> 0 THEN 'Pipeline failed with exit code ' || code END
+  FROM (SELECT e.*, s.status, s.progress, s.moved, s.error, s.status IN ('new', 'pending') AS waits, s.status IN ('completed', 'failed', 'cancelled') AS over,
+      CASE WHEN s.status IN ('new', 'pending') THEN 5 ELSE s.progress END AS now, CASE WHEN s.status IN ('new', 'pending') THEN e.ts_us ELSE s.moved END AS since
+    FROM st s JOIN ev e ON e.job_id = s.job_id AND e.rn = s.rn + 1))
+"""
+
+
+def lifecycle(spark, sf):
+    lines = log(spark, sf)
+    n = F.col("line_no")
+    line, told = F.col("line"), F.when(n % 3 == 1, "created").when(n % 5 == 1, "started").otherwise("line")
+    failed = line.startswith("remarks: code 9")
+    kind = F.when(line.startswith("final video at: /workspace") | failed, "exit").when(line == "status: Error", "cancel").otherwise(told)
+    return tracked(spark, SJ.events_of(lines, kind, failed.cast("int")), "lifecycle")
+
+
+@query("h5_job_lifecycle", LIFE_STEPS_SQL.format(events=LIFE_SQL) + "SELECT job_id, line_no, status, progress, error FROM st WHERE rn > 0")
+def h5_lifecycle(spark, sf):
+    """From pending to the end, with the error text."""
+    return lifecycle(spark, sf).select("job_id", "line_no", "status", "progress", "error")
+
+
+@query("h5_closing_record", LIFE_STEPS_SQL.format(events=LIFE_SQL) + f"""
+SELECT e.job_id, e.status, e.progress, e.error, CASE WHEN e.status = 'completed' THEN p.output_path END AS output_path, coalesce(r.n, 0) AS processed_count
+FROM (SELECT job_id, arg_min(status, rn) AS status, arg_min(progress, rn) AS progress, arg_min({{'e': error}}, rn)['e'] AS error FROM st WHERE status IN ('completed', 'failed', 'cancelled') GROUP BY job_id) e
+LEFT JOIN (SELECT job_id, count(*) AS n FROM ({RESULT_SQL}) GROUP BY job_id) r ON r.job_id = e.job_id
+LEFT JOIN ({ORACLES["e9_last_output_path"]}) p ON p.job_id = e.job_id
+""")
+def h5_record(spark, sf):
+    lines = D.log(spark, sf)
+    return SJ.closing_records(lifecycle(spark, sf), L.session_results(L.sessions(lines)), L.final_paths(lines))
 
 
 @query("h6_cancel_guard", STEPS_SQL.format(events=KINDS_SQL) + """
@@ -82,7 +134,7 @@ SELECT st.job_id, st.line_no, st.status, st.progress, refused FROM st JOIN ev ON
 """)
 def h6(spark, sf):
     """Commands are in the same stream as the lines; the answer to each is the state after it."""
-    done = sinks.drain(SJ.track(kinds(log(spark, sf))), "cancel")
+    done = tracked(spark, kinds(log(spark, sf)), "cancel").drop("error")
     commands = D.log(spark, sf).filter("line = 'status: Error'").select("job_id", "line_no")
     return done.join(commands, ["job_id", "line_no"], "left_semi")
 

@@ -1,6 +1,6 @@
-"""Job state over a stream of lines, exits and commands, one state per job.
+"""Job state over a stream of lines, exits and commands, one state per job, in the order of event time.
 
-Events: ``job_id, line_no, ts_us, kind, progress, code`` with kind ``line``, ``exit`` or
+Events: ``job_id, line_no, ts_us, kind, progress, code`` with kind ``created``, ``started``, ``line``, ``exit`` or
 ``cancel``. ``progress`` is parsed before the state function, in the JVM.
 """
 
@@ -8,27 +8,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from filmloom.functions import progress as PR
+from filmloom.streaming.telemetry import DEFAULT_DELAY
 
-# First progress, silence before a bump (single and batch jobs), bump ceiling.
+# First progress, silence before a bump (single and batch jobs), bump ceiling, text of a failure.
 FIRST_PROGRESS = 5
 STALL_SECONDS = 10
 BATCH_STALL_SECONDS = 15
 STALL_CEILING = 90
+FAILURE = "Pipeline failed with exit code "
+
+ENDED = ("completed", "failed", "cancelled")
+SLOT_SECONDS = 10  # events wait and are released by slots of event time
+FEW = 4096  # waiting events of a job that are kept as one value
+RETAIN_SECONDS = 86_400  # how long the state of an ended job is kept, in event time
+CLEAR_OF_EPOCH_US = 86_400_000_000  # a stream begins with its watermark at the epoch; times start a day later
+
+KINDS = ["line", "exit", "cancel", "created", "started"]
+EVENT = np.dtype([("ts_us", "i8"), ("line_no", "i8"), ("kind", "i1"), ("progress", "i8"), ("code", "i8")])
+NO_PROGRESS = -1
+TICK = "tick"
+NO_JOB = -(2**63)
 
-STATE = StructType(
-    [StructField("status", StringType()), StructField("progress", LongType()), StructField("moved_us", LongType())]
-)
 OUTPUT = StructType(
     [
         StructField("job_id", LongType()), StructField("line_no", LongType()), StructField("status", StringType()),
-        StructField("progress", LongType()), StructField("refused", BooleanType()),
+        StructField("progress", LongType()), StructField("refused", BooleanType()), StructField("error", StringType()),
     ]
 )
 
@@ -43,15 +55,26 @@ def events_of(log: DataFrame, kind: Column | None = None, code: Column | None =
     )
 
 
-def advance(state: tuple, kind: str, ts_us: int, progress: int | None, code: int, stall_us: int) -> tuple[tuple, bool]:
-    """One event. A finished job stays as it is; a cancel of it is refused."""
+def advance(state: tuple | None, kind: str, ts_us: int, progress: int | None, code: int, stall_us: int) -> tuple[tuple, bool]:
+    """One event. ``state`` is status, progress and the time it last moved; None before the first event.
+
+    A job is created once, as ``pending`` at 0, and started once; a line shows that it runs. A finished job stays as it is; a
+    cancel of it is refused.
+    """
+    if state is None or state[0] == "pending":
+        if kind == "created":
+            return state or ("pending", 0, ts_us), False
+        if kind != "cancel" or state is None:
+            state = ("running", FIRST_PROGRESS, ts_us)
     status, now, moved = state
-    if status in ("completed", "failed", "cancelled"):
+    if status in ENDED:
         return state, kind == "cancel"
     if kind == "cancel":
         return ("cancelled", 0, ts_us), False
     if kind == "exit":
         return (("completed", 100, ts_us) if code == 0 else ("failed", now, ts_us)), False
+    if kind in ("created", "started"):
+        return state, False
     if progress is not None:
         return ("running", progress, ts_us), False
     if ts_us - moved > stall_us and now < STALL_CEILING:
@@ -59,28 +82,134 @@ def advance(state: tuple, kind: str, ts_us: int, progress: int | None, code: int
     return ("running", now, moved), False
 
 
-def track(events: DataFrame, stall_seconds: int = STALL_SECONDS) -> DataFrame:
-    """State after every event of a stream.
+class _Tracker(StatefulProcessor):
+    """Events wait in the state until the watermark has passed their slot, then go through ``advance`` in order.
+
+    Few waiting events of a job are one packed value; more are packed by slot in a map, so a task holds one slot of one
+    job at a time. One timer per job wakes it at the end of its first slot. The state of an ended job
+    goes when ``retain`` has passed.
+    """
+
+    def __init__(self, stall_us: int, slot_us: int, retain_us: int):
+        self.stall_us, self.slot_us, self.retain_us = stall_us, slot_us, retain_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        packed = StructType([StructField("events", BinaryType())])
+        self.now = handle.getValueState("now", StructType([StructField("status", StringType()), StructField("progress", LongType()), StructField("moved_us", LongType()), StructField("error", StringType()), StructField("ended_us", LongType())]))
+        self.few = handle.getValueState("few", packed)
+        self.slots = handle.getMapState("slots", StructType([StructField("slot", LongType())]), packed)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        few, first, spilled = self._few(), None, False
+        for frame in rows:
+            frame = frame[frame["kind"] != TICK]
+            came = np.empty(len(frame), EVENT)
+            for name in ("ts_us", "line_no", "code"):
+                came[name] = frame[name]
+            came["kind"] = frame["kind"].map(KINDS.index)
+            came["progress"] = frame["progress"].fillna(NO_PROGRESS)
+            if len(came):
+                first = min(x for x in (first, int(came["ts_us"].min())) if x is not None)
+            few = np.concatenate([few, came])
+            if len(few) > FEW:
+                self._spill(few)
+                few, spilled = few[:0], True
+        if len(few) or spilled:
+            self.few.update((few.tobytes(),))
+        if first is not None:
+            self._wake(first // self.slot_us)
+        yield pd.DataFrame(columns=OUTPUT.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000 - CLEAR_OF_EPOCH_US
+        few, kept = self._few(), sorted(int(k[0]) for k in self.slots.keys())
+        few_slots = few["ts_us"] // self.slot_us
+        last = passed_us // self.slot_us  # slots before it have ended
+        due = sorted({*few_slots[few_slots < last].tolist(), *(s for s in kept if s < last)})
+        state = self.now.get() if self.now.exists() else None
+        now, error, ended = (tuple(state[:3]), state[3], state[4]) if state else (None, None, None)
+        for slot in due:
+            events = few[few_slots == slot]
+            if slot in kept:
+                events = np.concatenate([np.frombuffer(self.slots.getValue((slot,))[0], EVENT), events])
+                self.slots.removeKey((slot,))
+            out = []
+            for ts_us, line_no, kind, progress, code in np.sort(events, order=["ts_us", "line_no"], kind="stable").tolist():
+                was = now[0] if now else None
+                now, refused = advance(now, KINDS[kind], ts_us, None if progress == NO_PROGRESS else progress, code, self.stall_us)
+                if now[0] in ENDED and was != now[0]:
+                    ended, error = ts_us, f"{FAILURE}{code}" if now[0] == "failed" else None
+                out.append((key[0], line_no, now[0], now[1], refused, error))
+            yield pd.DataFrame(out, columns=OUTPUT.names)
+        rest = few[few_slots >= last]
+        waiting = [*((few_slots[few_slots >= last])[:1] if not len(rest) else [few_slots[few_slots >= last].min()]), *(s for s in kept if s >= last)]
+        if due:
+            self.few.update((rest.tobytes(),))
+        if waiting:
+            self._wake(int(min(waiting)))
+        elif ended is not None and passed_us >= ended + self.retain_us:
+            self.now.clear()
+            self.few.clear()
+            now = None
+        elif ended is not None:
+            self.handle.registerTimer((ended + self.retain_us + CLEAR_OF_EPOCH_US) // 1000 + 1)
+        if due and now is not None:
+            self.now.update((*now, error, ended))
+
+    def close(self) -> None:
+        pass
+
+    def _few(self) -> np.ndarray:
+        return np.frombuffer(self.few.get()[0], EVENT) if self.few.exists() else np.empty(0, EVENT)
+
+    def _spill(self, events: np.ndarray) -> None:
+        slots = events["ts_us"] // self.slot_us
+        for slot in np.unique(slots).tolist():
+            before = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else b""
+            self.slots.updateValue((slot,), (before + events[slots == slot].tobytes(),))
+
+    def _wake(self, slot: int) -> None:
+        self.handle.registerTimer(((slot + 1) * self.slot_us + CLEAR_OF_EPOCH_US) // 1000 + 1)
+
+
+def track(
+    events: DataFrame, stall_seconds: int = STALL_SECONDS, delay: str = DEFAULT_DELAY, ticks: DataFrame | None = None,
+    slot_seconds: int = SLOT_SECONDS, retain_seconds: int = RETAIN_SECONDS,
+) -> DataFrame:
+    """State after every event of a stream, and the error text of a failed job.
+
+    Events are taken in the order of ``(ts_us, line_no)`` whatever order and micro-batches they arrive in, as long as they are at
+    most ``delay`` late; later ones are dropped. An event's row appears when the watermark has passed its slot of
+    ``slot_seconds``. The state is status, progress, the time progress last moved and the events that wait, never the log
+    text. The silence before a bump is a gap in event time, seen when the next line comes. An ended job is forgotten after
+    ``retain_seconds``; until then it refuses a cancel.
+
+    ``ticks`` (a stream with ``at``, see ``sinks.Ticks``) moves the watermark where events pause. Needs the RocksDB state
+    store (``plans.session``).
+    """
+    timed = events.select("job_id", "line_no", "ts_us", "kind", "progress", "code", F.timestamp_micros(F.col("ts_us") + CLEAR_OF_EPOCH_US).alias("at"))
+    if ticks is not None:
+        timed = timed.unionByName(ticks.select("at", F.lit(TICK).alias("kind")), allowMissingColumns=True)
+    tracker = _Tracker(stall_seconds * 1_000_000, slot_seconds * 1_000_000, retain_seconds * 1_000_000)
+    # Ticks pass with the rows without a job: a filter would be pushed below the watermark. The state function takes no null key.
+    keyed = timed.withColumn("job_id", F.coalesce("job_id", F.lit(NO_JOB))).withWatermark("at", delay)
+    states = keyed.groupBy("job_id").transformWithStateInPandas(tracker, OUTPUT, "append", "eventTime")
+    return states.withColumn("job_id", F.nullif("job_id", F.lit(NO_JOB)))
 
-    The state is status, progress and the time progress last moved, never the log text. The
-    silence before a bump is a gap in event time, seen when the next line arrives.
+
+def closing_records(tracked: DataFrame, results: DataFrame, paths: DataFrame) -> DataFrame:
+    """One record per job that has ended: status, progress, error, output path and number of processed inputs.
+
+    ``tracked`` is the table of :func:`track`; ``results`` (session results) and ``paths`` (final paths) are those of the job's whole log.
+    A path belongs to completed jobs only.
     """
-    stall_us = stall_seconds * 1_000_000
-
-    def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["ts_us", "line_no", "kind", "progress", "code"]
-        rows = sorted(
-            (r for chunk in chunks for r in zip(*[chunk[c].tolist() for c in columns])), key=lambda r: (r[0], r[1])
-        )
-        now = tuple(state.get) if state.exists else ("running", FIRST_PROGRESS, rows[0][0])
-        out = []
-        for ts_us, line_no, kind, progress, code in rows:
-            known = None if progress is None or progress != progress else int(progress)
-            now, refused = advance(now, kind, ts_us, known, code, stall_us)
-            out.append((key[0], line_no, now[0], now[1], refused))
-        state.update(now)
-        yield pd.DataFrame(dict(zip(OUTPUT.names, zip(*out))))
-
-    return events.groupBy("job_id").applyInPandasWithState(
-        follow, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    last = tracked.filter(F.col("status").isin(*ENDED)).groupBy("job_id").agg(
+        F.min_by(F.struct("status", "progress", "error", "line_no"), "line_no").alias("v")
+    )
+    counts = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("processed_count"))
+    record = last.select("job_id", "v.*").join(counts, "job_id", "left").join(paths, "job_id", "left")
+    return record.select(
+        "job_id", "status", "progress", "error", F.when(F.col("status") == "completed", F.col("output_path")).alias("output_path"),
+        F.coalesce("processed_count", F.lit(0)).alias("processed_count"),
     )

@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
+from filmloom.plans.session import SETTINGS
 from filmloom.plans.storage import scratch_path
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+
+class Ticks:
+    """A stream of times beside the data: moves the watermark where the data pauses or has ended."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch_path(spark, 'ticks')}/at"
+        self._write([])
+
+    def _write(self, times: list[str]) -> None:
+        rows = self.spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("at"))
+        rows.coalesce(1).write.mode("append").parquet(self.folder)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(StructType([StructField("at", TimestampType())])).parquet(self.folder)
+
+    def close(self) -> None:
+        """A time far behind all data."""
+        self._write(["2200-01-01 00:00:00"])
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append", ticks: Ticks | None = None, at_once: bool = False) -> DataFrame:
     """Process all available input into a table and read it.
 
     ``append`` uses the file sink. ``update`` and ``complete`` write each micro-batch with its
-    ``batch_id``; see :func:`latest` for the current row per key. Restarts reuse the checkpoint.
+    ``batch_id``; see :func:`latest` for the current row per key. Restarts reuse the checkpoint. With ``ticks``, the
+    watermark is then moved behind all data, so that what waits for it comes out too. ``at_once`` says that the sources give all they have
+    in one micro-batch: the closing time may then come with it.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, label)
     out, checkpoint = f"{root}/table", f"{root}/checkpoint"
+    if ticks is not None and at_once:
+        ticks.close()
     start(stream, out, checkpoint, mode).awaitTermination()
+    if ticks is not None and not at_once:
+        ticks.close()
+        start(stream, out, checkpoint, mode).awaitTermination()
     schema = stream.schema if mode == "append" else StructType([*stream.schema.fields, StructField("batch_id", LongType())])
     return spark.read.schema(schema).parquet(out)
 
 
 def start(stream: DataFrame, out: str, checkpoint: str, mode: str = "append"):
+    """Start the query; its keyed state is in the store of ``plans.session`` whatever the session has."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    try:
+        return _start(stream, out, checkpoint, mode)
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
+
+
+def _start(stream: DataFrame, out: str, checkpoint: str, mode: str):
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         return writer.format("parquet").option("path", out).start()

@@ -15,6 +15,17 @@ from filmloom.streaming import sinks
 from filmloom.streaming import telemetry as ST
 
 SECOND = 1_000_000
+
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """Each partition of a keyed state starts a Python worker in each micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 LOG = "job_id bigint, line_no bigint, ts_us bigint, line string"
 
 
@@ -44,13 +55,18 @@ def stream(spark, folder, schema):
 def expected(events, stall=10):
     state, out = {}, []
     for job, line_no, ts, kind, progress, code in sorted(events, key=lambda e: (e[0], e[2], e[1])):
-        now = state.get(job, ("running", 5, ts))
-        now, refused = SJ.advance(now, kind, ts, progress, code, stall * SECOND)
+        now, refused = SJ.advance(state.get(job), kind, ts, progress, code, stall * SECOND)
         state[job] = now
         out.append((job, line_no, now[0], now[1], refused))
     return sorted(out, key=repr)
 
 
+def tracked(spark, events, error=False, **how):
+    ticks = sinks.Ticks(spark)
+    out = sinks.drain(SJ.track(events, ticks=ticks.stream(), **how), "replay", ticks=ticks)
+    return out if error else out.drop("error")
+
+
 LINES = [
     (1, 0, 0, "start"), (1, 1, 5 * SECOND, "Progress: 20%"), (1, 2, 12 * SECOND, "x"), (1, 3, 16 * SECOND, "x"),
     (1, 4, 17 * SECOND, "x"), (1, 5, 40 * SECOND, "Task 4/5"), (2, 6, 0, "Progress: 99%"), (2, 7, 30 * SECOND, "x"),
@@ -65,7 +81,7 @@ def as_events(lines):
 
 def test_stall_bump_over_micro_batches(spark):
     parts = [LINES[:3] + LINES[6:7], LINES[3:5] + LINES[8:9], LINES[5:6] + LINES[7:8] + LINES[9:]]
-    out = sinks.drain(SJ.track(SJ.events_of(stream(spark, feed(spark, parts, LOG), LOG))), "replay")
+    out = tracked(spark, SJ.events_of(stream(spark, feed(spark, parts, LOG), LOG)))
     assert rows(out) == expected(as_events(LINES))
     progress = {r.line_no: r.progress for r in out.collect()}
     assert [progress[i] for i in range(6)] == [5, 20, 20, 21, 21, 80]
@@ -74,7 +90,7 @@ def test_stall_bump_over_micro_batches(spark):
 
 def test_batch_jobs_wait_longer_before_a_bump(spark):
     lines = [(1, 0, 0, "a"), (1, 1, 12 * SECOND, "b"), (1, 2, 16 * SECOND, "c")]
-    out = sinks.drain(SJ.track(SJ.events_of(stream(spark, feed(spark, [lines], LOG), LOG)), SJ.BATCH_STALL_SECONDS), "wait")
+    out = tracked(spark, SJ.events_of(stream(spark, feed(spark, [lines], LOG), LOG)), stall_seconds=SJ.BATCH_STALL_SECONDS)
     assert rows(out, "line_no", "progress") == [(0, 5), (1, 5), (2, 6)]
 
 
@@ -89,17 +105,72 @@ def test_finished_jobs_stay_and_refuse_cancel():
     assert SJ.advance(("running", 90, 0), "line", 99 * SECOND, None, 0, stall)[0] == ("running", 90, 0)
 
 
+EVENTS = "job_id bigint, line_no bigint, ts_us bigint, kind string, progress bigint, code bigint"
+
+
+def life(n=120):
+    """Two jobs, one with nine tenths of the events: created, started, lines with pauses, exits and cancels."""
+    kinds = ["created", "started", "line", "line", "line", "line", "exit", "cancel"]
+    out = []
+    for i in range(n):
+        job = 1 if i % 10 else 2
+        kind = kinds[0] if i < 11 else kinds[2 + i * 7 % 4] if i < n - 12 else kinds[i * 5 % 8]
+        out.append((job, i, i * SECOND + (i // 20) * 11 * SECOND, kind, i % 90 if i % 9 == 4 else None, i % 2 * 3))
+    return out
+
+
+@pytest.mark.parametrize("files", [1, 3, 20])
+def test_job_states_do_not_depend_on_micro_batches(spark, files):
+    # Shuffled inside the watermark: each file's events come in any order, and neighbouring files overlap.
+    events = life()
+    late = sorted(events, key=lambda e: e[1] + e[1] * 7919 % 13)
+    size = -(-len(late) // files)
+    parts = [late[i:i + size][::-1] for i in range(0, len(late), size)]
+    out = tracked(spark, stream(spark, feed(spark, parts, EVENTS), EVENTS))
+    assert rows(out) == expected(events)
+
+
+def test_many_waiting_events_of_a_job_are_kept_by_slot(spark):
+    # More than one packed value holds; equal times are ordered by line number.
+    n = 3 * SJ.FEW
+    events = [(1, i, (i // 7) * 40_000, "line", i % 97 if i % 50 == 0 else None, 0) for i in range(n)]
+    parts = [events[n // 2:][::-1], events[: n // 2]]
+    out = tracked(spark, stream(spark, feed(spark, parts, EVENTS), EVENTS), delay="10 minutes")
+    assert rows(out) == expected(events)
+
+
+def test_pending_started_failed_and_forgotten(spark):
+    hour = 3600 * SECOND
+    events = [
+        (1, 0, 0, "created", None, 0), (1, 1, 1, "created", None, 0), (1, 2, 2, "started", None, 0), (1, 3, 3, "line", 40, 0), (1, 4, 4, "started", None, 0), (1, 5, 5, "exit", None, 3),
+        (1, 6, 6, "cancel", None, 0), (2, 7, 7, "created", None, 0), (2, 8, 8, "cancel", None, 0), (3, 9, 9, "created", None, 0), (3, 10, 10, "line", None, 0),
+    ]
+    later = [(1, 20, 30 * hour, "line", None, 0), (4, 21, 31 * hour, "line", 7, 0), (4, 22, 32 * hour, "line", 7, 0), (1, 23, 40 * hour, "cancel", None, 0)]
+    parts = [events, later[1:2], later[2:3], later[3:]]
+    out = tracked(spark, stream(spark, feed(spark, parts, EVENTS), EVENTS), error=True)
+    got = {r.line_no: (r.status, r.progress, r.refused, r.error) for r in out.collect()}
+    failed = f"{SJ.FAILURE}3"
+    assert [got[i] for i in range(7)] == [
+        ("pending", 0, False, None), ("pending", 0, False, None), ("running", 5, False, None), ("running", 40, False, None), ("running", 40, False, None),
+        ("failed", 40, False, failed), ("failed", 40, True, failed),
+    ]
+    assert [got[i][:2] for i in range(7, 11)] == [("pending", 0), ("cancelled", 0), ("pending", 0), ("running", 5)]
+    assert got[23] == ("cancelled", 0, False, None)  # a day after its end the job is not known any more
+
+
 def test_restart_continues_from_the_checkpoint(spark):
     folder = feed(spark, [LINES[:4]], LOG)
-    root = scratch_path(spark, "restart")
+    root, ticks = scratch_path(spark, "restart"), sinks.Ticks(spark)
 
     def run():
-        tracked = SJ.track(SJ.events_of(stream(spark, folder, LOG)))
-        sinks.start(tracked, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        states = SJ.track(SJ.events_of(stream(spark, folder, LOG)), ticks=ticks.stream()).drop("error")
+        sinks.start(states, f"{root}/out", f"{root}/checkpoint").awaitTermination()
 
     run()
     add(spark, folder, LINES[4:], LOG, 1)
     run()
+    ticks.close()
+    run()
     assert rows(spark.read.parquet(f"{root}/out")) == expected(as_events(LINES))
 
 
