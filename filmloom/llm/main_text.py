@@ -228,8 +228,9 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> tuple[np.ndarray, np.nda
         unary, pair = fit(*training_set(sources))
         yield pa.RecordBatch.from_arrays([pa.array([unary.tobytes()]), pa.array([pair.tobytes()])], ["unary", "pair"])
 
-    short = pages.select("html").filter(F.length("html").between(200, 100_000))
-    sample = short.select("html", F.xxhash64("html").alias("h")).distinct().orderBy("h", "html").limit(most).select("html")
+    short = pages.select("html", F.xxhash64("html").alias("h")).filter(F.length("html").between(200, 100_000))
+    first = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(most).collect()]  # numbers only, at most ``most``
+    sample = short.filter(F.col("h").isin(first)).groupBy("h").agg(F.min("html").alias("html")).select("html")
     row = sample.coalesce(1).mapInArrow(run, "unary binary, pair binary").first()
     if row is None:  # no page was in the sample's partition
         unary, pair = fit(*training_set([]))
