@@ -9,6 +9,7 @@ from filmloom.catalog.registry import query
 from filmloom.functions import color as C
 from filmloom.operators import detections as DT
 from filmloom.operators import frames as FR
+from filmloom.operators import packed as PK
 from filmloom.operators import pixels as PX
 from filmloom.plans.storage import scratch_path
 from filmloom.sources import derived as D
@@ -26,10 +27,6 @@ def cell_of(df):
     return df.withColumns({"y": F.floor(F.col("pos") / SIDE).cast("int"), "x": F.col("pos") % SIDE}).drop("pos")
 
 
-def mask_cells(spark, sf):
-    return cell_of(FR.explode_plane(D.masks(spark, sf), "mask", ["video_id", "frame_idx", "inst"], "m")).withColumn("m", F.col("m") == 1)
-
-
 # color
 
 LAB_COLS = "video_id, frame_idx, y, x, b, g, r"
@@ -210,18 +207,18 @@ BOXED_SQL = f"""SELECT q.video_id, q.frame_idx, q.y, q.x, mask_a AND k AS mask_a
 
 @query("d11_mask_union", f"SELECT video_id, frame_idx, y, x, {ANY_MASK} AS m FROM pixels")
 def d11(spark, sf):
-    return PX.mask_union(mask_cells(spark, sf))
+    return cell_of(PK.unpacked(PK.united(D.masks(spark, sf)).withColumnRenamed("bits", "m"), ["m"]))
 
 
 def boxed_masks(spark, sf):
-    exclusive = PX.exclusive_masks(PX.pivoted_masks(mask_cells(spark, sf))).select(*CELL, "mask_a", "mask_b")
-    covered = DT.covered(DT.on_frames(DT.clamped(D.detections(spark, sf), SIDE, SIDE), exclusive))
-    return PX.restricted(exclusive, covered, ["mask_a", "mask_b"])
+    exclusive = PX.exclusive_masks(PK.by_instance(D.masks(spark, sf)))
+    boxes = DT.on_frames(DT.clamped(D.detections(spark, sf), SIDE, SIDE), exclusive)
+    return PX.restricted(exclusive, PK.cover_words(boxes, SIDE), ["mask_a", "mask_b"])
 
 
 @query("d12_exclusive_masks", BOXED_SQL)
 def d12(spark, sf):
-    return boxed_masks(spark, sf)
+    return cell_of(PK.unpacked(boxed_masks(spark, sf), ["mask_a", "mask_b"]))
 
 
 @query("d12_gray_subtract", "SELECT video_id, frame_idx, y, x, greatest(b - (g | r | (255 - b)), 0) AS gray_a, g | r AS gray_b FROM pixels")

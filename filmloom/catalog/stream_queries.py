@@ -24,6 +24,15 @@ def log(spark, sf):
     return events(spark, sf).select(*D.log_columns())
 
 
+def whole(spark, sf, name="events"):
+    """A whole table as one micro-batch: its files are not in the order of event time."""
+    return SL.stream_table(spark, sf, name, D.table(spark, sf, name).schema, bytes_per_trigger=None)
+
+
+def whole_log(spark, sf):
+    return whole(spark, sf).select(*D.log_columns())
+
+
 @query("a6_log_stream", "SELECT * FROM log")
 def a6(spark, sf):
     return sinks.drain(log(spark, sf), "log-lines")
@@ -67,7 +76,7 @@ def tracked(spark, events, label):
 
 @query("h4_stall_bump", STEPS_SQL.format(events=LINES_SQL) + "SELECT job_id, line_no, progress FROM st WHERE rn > 0")
 def h4(spark, sf):
-    return tracked(spark, SJ.events_of(log(spark, sf)), "stall").select("job_id", "line_no", "progress")
+    return tracked(spark, SJ.events_of(whole_log(spark, sf)), "stall").select("job_id", "line_no", "progress")
 
 
 def kinds(lines):
@@ -79,7 +88,7 @@ def kinds(lines):
 
 @query("h5_job_states", STEPS_SQL.format(events=KINDS_SQL) + "SELECT job_id, line_no, status, progress FROM st WHERE rn > 0")
 def h5(spark, sf):
-    return tracked(spark, kinds(log(spark, sf)), "states").select("job_id", "line_no", "status", "progress")
+    return tracked(spark, kinds(whole_log(spark, sf)), "states").select("job_id", "line_no", "status", "progress")
 
 
 # A job's first lines create and start it here, so that it waits before it runs.
@@ -103,13 +112,16 @@ st AS (
 """
 
 
-def lifecycle(spark, sf):
-    lines = log(spark, sf)
+def told(lines):
     n = F.col("line_no")
-    line, told = F.col("line"), F.when(n % 3 == 1, "created").when(n % 5 == 1, "started").otherwise("line")
+    line, other = F.col("line"), F.when(n % 3 == 1, "created").when(n % 5 == 1, "started").otherwise("line")
     failed = line.startswith("remarks: code 9")
-    kind = F.when(line.startswith("final video at: /workspace") | failed, "exit").when(line == "status: Error", "cancel").otherwise(told)
-    return tracked(spark, SJ.events_of(lines, kind, failed.cast("int")), "lifecycle")
+    kind = F.when(line.startswith("final video at: /workspace") | failed, "exit").when(line == "status: Error", "cancel").otherwise(other)
+    return SJ.events_of(lines, kind, failed.cast("int"))
+
+
+def lifecycle(spark, sf):
+    return tracked(spark, told(whole_log(spark, sf)), "lifecycle")
 
 
 @query("h5_job_lifecycle", LIFE_STEPS_SQL.format(events=LIFE_SQL) + "SELECT job_id, line_no, status, progress, error FROM st WHERE rn > 0")
@@ -134,11 +146,45 @@ SELECT st.job_id, st.line_no, st.status, st.progress, refused FROM st JOIN ev ON
 """)
 def h6(spark, sf):
     """Commands are in the same stream as the lines; the answer to each is the state after it."""
-    done = tracked(spark, kinds(log(spark, sf)), "cancel").drop("error")
+    done = tracked(spark, kinds(whole_log(spark, sf)), "cancel").drop("error")
     commands = D.log(spark, sf).filter("line = 'status: Error'").select("job_id", "line_no")
     return done.join(commands, ["job_id", "line_no"], "left_semi")
 
 
+MESSAGES_SQL = LIFE_STEPS_SQL.format(events=LIFE_SQL) + """,
+subs AS (SELECT c_custkey AS subscriber_id, c_custkey % 200 AS job_id, c_custkey % 40 * 60000000 AS joined_us FROM customer),
+seen AS (SELECT subscriber_id, u.job_id, max(rn) AS rn FROM subs u JOIN st ON st.job_id = u.job_id AND st.rn > 0 AND ts_us <= joined_us GROUP BY ALL),
+told AS (SELECT subscriber_id, u.job_id, n.line_no, n.status, n.progress, n.error, n.progress <> o.progress OR n.rn = 1 AS moved, n.status <> o.status AS turned
+  FROM subs u JOIN st n ON n.job_id = u.job_id AND n.rn > 0 AND n.ts_us > joined_us JOIN st o ON o.job_id = n.job_id AND o.rn = n.rn - 1)
+SELECT u.job_id, u.subscriber_id, -1 AS line_no, 'hello' AS type, coalesce(st.status, 'pending') AS status, coalesce(st.progress, 0) AS progress, st.error
+FROM subs u LEFT JOIN seen USING (subscriber_id, job_id) LEFT JOIN st ON st.job_id = u.job_id AND st.rn = seen.rn
+UNION ALL SELECT job_id, subscriber_id, line_no, 'progress', status, progress, NULL FROM told WHERE moved
+UNION ALL SELECT job_id, subscriber_id, line_no, 'status', status, progress, NULL FROM told WHERE turned
+UNION ALL SELECT job_id, subscriber_id, line_no, 'error', status, progress, error FROM told WHERE turned AND error IS NOT NULL
+"""
+
+
+def messages(spark, sf):
+    key = F.col("c_custkey")
+    joins = whole(spark, sf, "customer").select(key.alias("subscriber_id"), (key % 200).alias("job_id"), (key % 40 * 60_000_000).alias("joined_us"))
+    ticks = sinks.Ticks(spark)
+    sent = SJ.broadcast_messages(told(whole_log(spark, sf)), joins, ticks=ticks.stream())
+    return sinks.drain(sent, "broadcast", ticks=ticks, at_once=True)
+
+
+@query("h8_push_stream", MESSAGES_SQL)
+def h8_stream(spark, sf):
+    """Both sides are streams: subscribers meet the state of their job when they join, then its changes."""
+    return messages(spark, sf)
+
+
+@query("a8_state_events", f"""SELECT job_id, subscriber_id, line_no, CASE WHEN type = 'error' THEN '{{"type":"error","message":"' || error || '"}}'
+  ELSE '{{"type":"' || type || '"' || CASE WHEN type <> 'progress' THEN ',"status":"' || status || '"' ELSE '' END || ',"progress":' || progress || '}}' END AS message FROM ({MESSAGES_SQL})""")
+def a8_states(spark, sf):
+    """Hello, status, progress and error events as the JSON that is sent."""
+    return SJ.as_json(messages(spark, sf))
+
+
 @query("h7_growing_log", "SELECT job_id, count(*) AS n_lines, max(ts_us) AS updated_us FROM log GROUP BY job_id")
 def h7(spark, sf):
     return sinks.latest(sinks.drain(ST.growing_logs(log(spark, sf)), "growth", "update"), ["job_id"])
@@ -186,6 +232,19 @@ def h10(spark, sf):
     return SR.with_deadline(asked, given).select("prompt_id", "req_us", "resp_us", "part", "timed_out")
 
 
+@query("h10_deadline_stream", ORACLES["h10_response_deadline"])
+def h10_stream(spark, sf):
+    """On two streams: a request's timeout row leaves when the watermark of both has passed its deadline."""
+    raw, ticks = whole(spark, sf), sinks.Ticks(spark)
+    nobody = F.lit(-1).cast("bigint").alias("prompt_id")  # a null id would be filtered out below the watermark
+    asked = raw.select(*D.request_columns()).withColumn("req_at", F.timestamp_micros(F.col("req_us") + D.START_US))
+    given = D.responses_of(raw).withColumn("resp_at", F.timestamp_micros(F.col("resp_us") + D.START_US))
+    asked = asked.unionByName(ticks.stream().select(nobody, F.col("at").alias("req_at")), allowMissingColumns=True)
+    given = given.unionByName(ticks.stream().select(nobody, F.col("at").alias("resp_at")), allowMissingColumns=True)
+    answered = SR.with_deadline(asked, given).select("prompt_id", "req_us", "resp_us", "part", "timed_out")
+    return sinks.drain(answered, "deadline", ticks=ticks, at_once=True).filter("prompt_id <> -1")
+
+
 @query("h11_unique_outputs", "SELECT prompt_id, part || '.png' AS filename, resp_us FROM responses")
 def h11(spark, sf):
     given = D.responses_of(events(spark, sf)).select(

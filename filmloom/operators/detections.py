@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filmloom.operators.packed import line_spans, lines_of
+
 KEYS = ["video_id", "frame_idx"]
 PERSON = 0
 # Boxes kept per frame, confidence limit, share a box grows on each side.
@@ -57,14 +59,11 @@ def rasterized(boxes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select(*KEYS, *keep, "y", F.explode(F.sequence("x1", F.col("x2") - 1)).alias("x"))
 
 
-def covered(boxes: DataFrame) -> DataFrame:
-    """Distinct pixels under any box; repeats are dropped before the shuffle."""
-    return rasterized(boxes).distinct()
-
-
 def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pixels under at least one box, by equality on frame and position."""
-    return pixels.join(covered(on_frames(boxes, pixels)), [*KEYS, "y", "x"], "left_semi")
+    """Pixels under at least one box: boxes become spans of lines, and each pixel meets its line once."""
+    spans = line_spans(on_frames(boxes, pixels))
+    inside = F.exists("spans", lambda s: (F.col("x") >= s["from"]) & (F.col("x") < s["to"]))
+    return pixels.join(spans, [*KEYS, "y"]).filter(inside).select(*pixels.columns)
 
 
 def split_by_detection(frames: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,28 +86,41 @@ def pasted_crops(crop_cells: DataFrame, boxes: DataFrame, frame_cells: DataFrame
     size takes the nearest crop cell. Pixels of ``frame_cells`` (with ``cls``) without any mask are 0.
     """
     bx = on_frames(boxes.select(*KEYS, "det_no", "x1", "y1", "x2", "y2"), frame_cells)
-    target = rasterized(bx.withColumns({"bx1": F.col("x1"), "bx2": F.col("x2")}), ["det_no", "y1", "y2", "bx1", "bx2"])
-    sizes = crop_cells.select(*KEYS, "det_no", "cls", "crop_h", "crop_w").distinct()
-    wanted = target.join(sizes, [*KEYS, "det_no"]).select(
-        *KEYS, "det_no", "cls", "y", "x",
-        F.floor((F.col("y") - F.col("y1")) * F.col("crop_h") / (F.col("y2") - F.col("y1"))).cast("int").alias("cy"),
-        F.floor((F.col("x") - F.col("bx1")) * F.col("crop_w") / (F.col("bx2") - F.col("bx1"))).cast("int").alias("cx"),
-    )
-    hit = wanted.join(crop_cells, [*KEYS, "det_no", "cls", "cy", "cx"])
-    union = hit.groupBy(*KEYS, "cls", "y", "x").agg(F.max("m").alias("m"))
-    return frame_cells.join(union, [*KEYS, "cls", "y", "x"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    # A crop's line is one row, and so is each line of a box; only they are joined.
+    crops = crop_cells.groupBy(*KEYS, "det_no", "cls", "crop_h", "crop_w", "cy").agg(F.array_sort(F.collect_list(F.struct("cx", "m"))).alias("line"))
+    sized = bx.join(crop_cells.select(*KEYS, "det_no", "cls", "crop_h", "crop_w").distinct(), [*KEYS, "det_no"])
+    lines = lines_of(sized.withColumns({"top": F.col("y1"), "high": F.col("y2") - F.col("y1")}), ["det_no", "cls", "crop_h", "crop_w", "top", "high"])
+    wanted = lines.withColumn("cy", F.floor((F.col("y") - F.col("top")) * F.col("crop_h") / F.col("high")).cast("int"))
+    hit = wanted.join(crops, [*KEYS, "det_no", "cls", "crop_h", "crop_w", "cy"])
+    held = hit.groupBy(*KEYS, "cls", "y").agg(F.collect_list(F.struct("x1", "x2", "crop_w", "line")).alias("held"))
+
+    def cell(b: Column) -> Column:
+        cx = F.floor((F.col("x") - b["x1"]) * b["crop_w"] / (b["x2"] - b["x1"])).cast("int")
+        found = F.array_max(F.transform(F.filter(b["line"], lambda c: c["cx"] == cx), lambda c: c["m"]))
+        return F.when(F.size(b["line"]) == b["crop_w"], F.get(b["line"], cx)["m"]).otherwise(found)
+
+    over = F.filter("held", lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]))
+    joined = frame_cells.join(held, [*KEYS, "cls", "y"], "left")
+    return joined.withColumn("m", F.coalesce(F.array_max(F.transform(over, cell)), F.lit(0))).drop("held")
 
 
 def confidence_maps(cells: DataFrame, boxes: DataFrame, labels: Sequence[int]) -> DataFrame:
     """Per label and pixel, the largest confidence of a box that covers it; 0 where there is none.
 
-    All labels of a pixel meet in one aggregate and one join; the rows per label are listed last.
+    Boxes become lines with the largest confidence of equal stretches; a pixel meets the stretches of its line once, strongest first.
     """
-    covering = rasterized(on_frames(boxes.filter(F.col("cls").isin(list(labels))), cells), ["cls", "conf"])
-    best = covering.groupBy(*KEYS, "y", "x").agg(*[F.max(F.when(F.col("cls") == c, F.col("conf"))).alias(f"__{c}") for c in labels])
-    joined = cells.select(*KEYS, "y", "x").join(best, [*KEYS, "y", "x"], "left")
-    per_label = F.array(*[F.struct(F.lit(c).alias("cls"), F.coalesce(f"__{c}", F.lit(0.0)).alias("confidence")) for c in labels])
-    return joined.select(*KEYS, "y", "x", F.inline(per_label))
+    lines = lines_of(on_frames(boxes.filter(F.col("cls").isin(list(labels))), cells), ["cls", "conf"])
+    best = lines.groupBy(*KEYS, "y", "cls", "x1", "x2").agg(F.max("conf").alias("conf"))
+    held = best.groupBy(*KEYS, "y").agg(F.sort_array(F.collect_list(F.struct("conf", "cls", "x1", "x2")), asc=False).alias("held"))
+    joined = cells.select(*KEYS, "y", "x").join(held, [*KEYS, "y"], "left")
+    over = F.filter("held", lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]))
+    found = joined.select(*KEYS, "y", "x", over.alias("over"))
+
+    def strongest(c: int) -> Column:
+        return F.coalesce(F.get(F.filter("over", lambda b: b["cls"] == c), F.lit(0))["conf"], F.lit(0.0))
+
+    per_label = F.array(*[F.struct(F.lit(c).alias("cls"), strongest(c).alias("confidence")) for c in labels])
+    return found.select(*KEYS, "y", "x", F.inline(per_label))
 
 
 def best_tokens(vectors: DataFrame, threshold: float = QUERY_LIMIT, text_threshold: float = QUERY_LIMIT) -> DataFrame:

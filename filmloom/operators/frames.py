@@ -1,8 +1,8 @@
 """Frame relations: sync joins, masked merges, blends, order and sampling.
 
 Columns: video_id, frame_idx (dense per video), h, w, px (row-major array). Work on one frame
-stays in its row through array functions, so only frames are shuffled, never single pixels,
-unless masks of several instances have to be combined.
+stays in its row through array functions, so only frames, strips of them or words of 64 mask cells are shuffled,
+never single pixels.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from filmloom.functions.color import to_byte
 from filmloom.functions.geometry import deflicker_size
+from filmloom.operators.packed import is_set, united
 from filmloom.operators.scenes import SEGMENT
 from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows, running, with_halo
 
 KEYS = ["video_id", "frame_idx"]
+STRIP = 4096  # cells of a picture in one row, where pictures meet several masks
 
 
 def plane_sum(px: str | Column) -> Column:
@@ -87,50 +89,52 @@ def pack_plane(cells: DataFrame, value: str, keys: Sequence[str] = KEYS, name: s
     return cells.groupBy(*keys).agg(F.transform(ordered, lambda c: c["v"]).alias(name))
 
 
-def mask_union(masks: DataFrame) -> DataFrame:
-    """Per pixel, whether any instance mask of the frame covers it."""
-    cells = explode_plane(masks, "mask", name="m")
-    return cells.groupBy(*KEYS, "pos").agg(F.max("m").alias("m"))
-
-
 def masked_replace(source: DataFrame, target: DataFrame, masks: DataFrame) -> DataFrame:
     """The source pixel where any mask of the frame is set, the target pixel elsewhere.
 
-    Frames without masks keep the target. Only masks are combined pixel by pixel; the two
-    pictures stay packed.
+    Frames without masks keep the target. Masks are united as words of 64 cells; the two pictures stay packed.
     """
-    union = pack_plane(mask_union(masks), "m", name="mask")
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    union = united(masks).groupBy(*KEYS).agg(F.transform(ordered, lambda w: w["bits"]).alias("mask"))
     both = in_sync(
         source.select(*KEYS, F.col("px").alias("source")), target.select(*KEYS, F.col("px").alias("target"))
     ).join(union, KEYS, "left")
     picked = F.transform(
-        F.arrays_zip("source", "target", "mask"),
-        lambda p: F.when(p["mask"] == 1, p["source"]).otherwise(p["target"]),
+        F.arrays_zip("source", "target"), lambda p, i: F.when(is_set(F.col("mask"), i), p["source"]).otherwise(p["target"])
     )
     return both.select(*KEYS, F.when(F.col("mask").isNull(), F.col("target")).otherwise(picked).alias("px"))
 
 
+def in_strips(df: DataFrame, planes: Sequence[str], keep: Sequence[str] = (), cells: int = STRIP) -> DataFrame:
+    """Planes cut into strips of ``cells``, one row for each ``strip``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(planes[0]) - 1, F.lit(0)), F.lit(cells))
+    cut = df.select(*KEYS, *keep, *planes, F.posexplode(starts).alias("strip", "__at"))
+    return cut.select(*KEYS, *keep, "strip", *[F.slice(p, F.col("__at") + 1, cells).alias(p) for p in planes])
+
+
 def alpha_blend(base: DataFrame, overlay: DataFrame, masks: DataFrame) -> DataFrame:
     """``m * new + (1 - m) * old``, cut to a whole number after each instance, in instance order.
 
-    The steps do not commute, so the masks of one pixel are applied one after the other. Pixels
-    are the keys, and masks of 0 change nothing and are left out before the shuffle. ``inst`` may be any
-    whole number; a null one fails the query. A pixel's list holds the instances that cover that pixel.
+    The steps do not commute, so the masks of one pixel are applied one after the other; masks of 0 change nothing. Pictures
+    and masks meet in strips of ``STRIP`` cells: a row holds that many cells of each instance of a frame. ``inst`` may be any
+    whole number; a null one fails the query.
     """
     numbered = F.coalesce("inst", F.raise_error(F.lit("a mask without an instance")).cast("bigint"))
-    masks = masks.withColumn("inst", numbered)
-    cells = explode_plane(masks, "mask", [*KEYS, "inst"], "m").filter("m > 0")
-    both = in_sync(base.select(*KEYS, F.col("px").alias("old")), overlay.select(*KEYS, F.col("px").alias("new")))
-    out = both.select(*KEYS, F.posexplode(F.arrays_zip("old", "new")).alias("pos", "c")).select(
-        *KEYS, "pos", F.col("c.new").alias("new"), F.col("c.old").cast("double").alias("v")
+    steps = in_strips(masks.withColumn("inst", numbered), ["mask"], ["inst"]).groupBy(*KEYS, "strip").agg(
+        F.array_sort(F.collect_list(F.struct("inst", "mask"))).alias("steps")
     )
-    steps = cells.groupBy(*KEYS, "pos").agg(F.array_sort(F.collect_list(F.struct("inst", "m"))).alias("steps"))
-    blended = F.aggregate(
-        "steps", F.col("v"),
-        lambda v, s: F.floor(s["m"] * F.col("new") + (F.lit(1.0) - s["m"]) * v).cast("double"),
-    )
-    out = out.join(steps, [*KEYS, "pos"], "left").withColumn("v", F.coalesce(blended, "v"))
-    return out.select(*KEYS, "pos", F.col("v").cast("int").alias("v"))
+    both = in_sync(base.select(*KEYS, F.col("px").alias("old")), overlay.select(*KEYS, F.col("px").alias("new")))
+    strips = in_strips(both, ["old", "new"]).join(steps, [*KEYS, "strip"], "left")
+
+    def blended(cell: Column, i: Column) -> Column:
+        def step(v: Column, s: Column) -> Column:
+            m = F.get(s["mask"], i)
+            return F.when(m > 0, F.floor(m * cell["new"] + (F.lit(1.0) - m) * v).cast("double")).otherwise(v)
+
+        return F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), cell["old"].cast("double"), step).cast("int")
+
+    out = strips.select(*KEYS, "strip", F.transform(F.arrays_zip("old", "new"), blended).alias("v"))
+    return out.select(*KEYS, "strip", F.posexplode("v").alias("__i", "v")).select(*KEYS, (F.col("strip") * STRIP + F.col("__i")).alias("pos"), "v")
 
 
 # aggregates

@@ -22,15 +22,11 @@ CELL = [*KEYS, "y", "x"]
 # masks
 
 
-def mask_union(masks: DataFrame) -> DataFrame:
-    """A pixel is set where any instance sets it."""
-    return masks.groupBy(*CELL).agg(F.bool_or("m").alias("m"))
-
-
-def exclusive_masks(named: DataFrame) -> DataFrame:
-    """From masks m1..m4: A is m1 alone; B is m2 or m3 without m1 and m4."""
+def exclusive_masks(words: DataFrame) -> DataFrame:
+    """From the words of masks m1..m4: A is m1 alone; B is m2 or m3 without m1 and m4."""
     m1, m2, m3, m4 = (F.col(f"m{i}") for i in range(1, 5))
-    return named.withColumns({"mask_a": m1 & ~(m2 | m3 | m4), "mask_b": (m2 | m3) & ~(m1 | m4)})
+    a = m1.bitwiseAND(F.bitwise_not(m2.bitwiseOR(m3).bitwiseOR(m4)))
+    return words.withColumns({"mask_a": a, "mask_b": m2.bitwiseOR(m3).bitwiseAND(F.bitwise_not(m1.bitwiseOR(m4)))})
 
 
 def gray_masks(named: DataFrame) -> DataFrame:
@@ -42,22 +38,15 @@ def gray_masks(named: DataFrame) -> DataFrame:
     )
 
 
-def pivoted_masks(masks: DataFrame, instances: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
-    """One boolean column per instance; an absent mask is empty."""
-    return masks.groupBy(*CELL).agg(
-        *[F.coalesce(F.bool_or(F.when(F.col("inst") == i, F.col("m"))), F.lit(False)).alias(f"m{i}") for i in instances]
-    )
-
-
-def restricted(cells: DataFrame, covered: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """Masks cleared outside the covered pixels."""
-    marked = cells.join(covered.withColumn("__in", F.lit(True)), CELL, "left")
-    return marked.withColumns({m: F.col(m) & F.coalesce("__in", F.lit(False)) for m in masks}).drop("__in")
+def restricted(words: DataFrame, cover: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """Masks cleared outside the covered cells (``packed.cover_words``)."""
+    marked = words.join(cover, [*KEYS, "word"], "left").withColumn("cover", F.coalesce("cover", F.lit(0).cast("bigint")))
+    return marked.withColumns({m: F.col(m).bitwiseAND(F.col("cover")) for m in masks}).drop("cover")
 
 
-def without_empty(cells: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """Set-pixel counts per frame and mask, and whether the frame's masks are all empty and discarded."""
-    counts = cells.groupBy(*KEYS).agg(*[F.count_if(F.col(m)).alias(f"n_{m}") for m in masks])
+def without_empty(words: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """Set-cell counts per frame and mask, and whether the frame's masks are all empty and discarded."""
+    counts = words.groupBy(*KEYS).agg(*[F.sum(F.bit_count(m).cast("bigint")).alias(f"n_{m}") for m in masks])
     empty = F.lit(True)
     for m in masks:
         empty = empty & (F.col(f"n_{m}") == 0)

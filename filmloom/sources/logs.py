@@ -23,10 +23,13 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_table(
-    spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None, bytes_per_trigger: int = 16 * 2**30
+    spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int | None = None, bytes_per_trigger: int | None = 16 * 2**30
 ) -> DataFrame:
-    """A folder's parquet files of one table as a stream; a backlog is taken in bounded micro-batches."""
+    """A folder's parquet files of one table as a stream; a backlog is taken in bounded micro-batches.
+
+    ``bytes_per_trigger=None`` takes all there is in one, as a table needs whose files are not in the order of event time.
+    """
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
     if files_per_trigger:
         return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder)
+    return (reader.option("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else reader).parquet(folder)

@@ -31,7 +31,7 @@ FEW = 4096  # waiting events of a job that are kept as one value
 RETAIN_SECONDS = 86_400  # how long the state of an ended job is kept, in event time
 CLEAR_OF_EPOCH_US = 86_400_000_000  # a stream begins with its watermark at the epoch; times start a day later
 
-KINDS = ["line", "exit", "cancel", "created", "started"]
+KINDS = ["line", "exit", "cancel", "created", "started", "join"]
 EVENT = np.dtype([("ts_us", "i8"), ("line_no", "i8"), ("kind", "i1"), ("progress", "i8"), ("code", "i8")])
 NO_PROGRESS = -1
 TICK = "tick"
@@ -83,13 +83,17 @@ def advance(state: tuple | None, kind: str, ts_us: int, progress: int | None, co
 
 
 class _Tracker(StatefulProcessor):
-    """Events wait in the state until the watermark has passed their slot, then go through ``advance`` in order.
+    """States of a job, one row for each event.
+
+    Events wait in the state until the watermark has passed their slot, then go through ``advance`` in order.
 
     Few waiting events of a job are one packed value; more are packed by slot in a map, so a task holds one slot of one
     job at a time. One timer per job wakes it at the end of its first slot. The state of an ended job
     goes when ``retain`` has passed.
     """
 
+    columns = OUTPUT.names
+
     def __init__(self, stall_us: int, slot_us: int, retain_us: int):
         self.stall_us, self.slot_us, self.retain_us = stall_us, slot_us, retain_us
 
@@ -119,7 +123,7 @@ class _Tracker(StatefulProcessor):
             self.few.update((few.tobytes(),))
         if first is not None:
             self._wake(first // self.slot_us)
-        yield pd.DataFrame(columns=OUTPUT.names)
+        yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000 - CLEAR_OF_EPOCH_US
@@ -136,12 +140,15 @@ class _Tracker(StatefulProcessor):
                 self.slots.removeKey((slot,))
             out = []
             for ts_us, line_no, kind, progress, code in np.sort(events, order=["ts_us", "line_no"], kind="stable").tolist():
-                was = now[0] if now else None
+                if KINDS[kind] == "join":
+                    out += self.joined(key[0], code, now, error)
+                    continue
+                was = now
                 now, refused = advance(now, KINDS[kind], ts_us, None if progress == NO_PROGRESS else progress, code, self.stall_us)
-                if now[0] in ENDED and was != now[0]:
+                if now[0] in ENDED and (not was or was[0] != now[0]):
                     ended, error = ts_us, f"{FAILURE}{code}" if now[0] == "failed" else None
-                out.append((key[0], line_no, now[0], now[1], refused, error))
-            yield pd.DataFrame(out, columns=OUTPUT.names)
+                out += self.rows(key[0], line_no, was, now, refused, error)
+            yield pd.DataFrame(out, columns=self.columns)
         rest = few[few_slots >= last]
         waiting = [*((few_slots[few_slots >= last])[:1] if not len(rest) else [few_slots[few_slots >= last].min()]), *(s for s in kept if s >= last)]
         if due:
@@ -151,12 +158,22 @@ class _Tracker(StatefulProcessor):
         elif ended is not None and passed_us >= ended + self.retain_us:
             self.now.clear()
             self.few.clear()
+            self.forget()
             now = None
         elif ended is not None:
             self.handle.registerTimer((ended + self.retain_us + CLEAR_OF_EPOCH_US) // 1000 + 1)
         if due and now is not None:
             self.now.update((*now, error, ended))
 
+    def rows(self, job: int, line_no: int, was: tuple | None, now: tuple, refused: bool, error: str | None) -> list[tuple]:
+        return [(job, line_no, now[0], now[1], refused, error)]
+
+    def joined(self, job: int, subscriber: int, now: tuple | None, error: str | None) -> list[tuple]:
+        return []
+
+    def forget(self) -> None:
+        pass
+
     def close(self) -> None:
         pass
 
@@ -173,6 +190,83 @@ class _Tracker(StatefulProcessor):
         self.handle.registerTimer(((slot + 1) * self.slot_us + CLEAR_OF_EPOCH_US) // 1000 + 1)
 
 
+MESSAGES = StructType(
+    [
+        StructField("job_id", LongType()), StructField("subscriber_id", LongType()), StructField("line_no", LongType()), StructField("type", StringType()),
+        StructField("status", StringType()), StructField("progress", LongType()), StructField("error", StringType()),
+    ]
+)
+
+
+class _Broadcaster(_Tracker):
+    """What the subscribers of a job are sent: the state when they join, then each change of it."""
+
+    columns = MESSAGES.names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        one = StructType([StructField("subscriber_id", LongType())])
+        self.subscribers = handle.getMapState("subscribers", one, one)
+        self.known: list[int] | None = None
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known = None  # read for each job when it is first needed
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def rows(self, job: int, line_no: int, was: tuple | None, now: tuple, refused: bool, error: str | None) -> list[tuple]:
+        if self.known is None:
+            self.known = [int(k[0]) for k in self.subscribers.keys()]
+        moved = was is None or was[1] != now[1]
+        turned = was is None or was[0] != now[0]
+        kinds = ["progress"] * moved + ["status"] * turned + ["error"] * bool(turned and error)
+        return [(job, s, line_no, kind, now[0], now[1], error if kind == "error" else None) for s in self.known for kind in kinds]
+
+    def joined(self, job: int, subscriber: int, now: tuple | None, error: str | None) -> list[tuple]:
+        self.subscribers.updateValue((subscriber,), (subscriber,))
+        if self.known is not None and subscriber not in self.known:
+            self.known.append(subscriber)
+        status, progress = now[:2] if now else ("pending", 0)
+        return [(job, subscriber, -1, "hello", status, progress, error)]
+
+    def forget(self) -> None:
+        self.subscribers.clear()
+
+
+def _followed(events: DataFrame, tracker: _Tracker, schema: StructType, delay: str, ticks: DataFrame | None) -> DataFrame:
+    timed = events.select("job_id", "line_no", "ts_us", "kind", "progress", "code", F.timestamp_micros(F.col("ts_us") + CLEAR_OF_EPOCH_US).alias("at"))
+    if ticks is not None:
+        timed = timed.unionByName(ticks.select("at", F.lit(TICK).alias("kind")), allowMissingColumns=True)
+    # Ticks pass with the rows without a job: a filter would be pushed below the watermark. The state function takes no null key.
+    keyed = timed.withColumn("job_id", F.coalesce("job_id", F.lit(NO_JOB))).withWatermark("at", delay)
+    states = keyed.groupBy("job_id").transformWithStateInPandas(tracker, schema, "append", "eventTime")
+    return states.withColumn("job_id", F.nullif("job_id", F.lit(NO_JOB)))
+
+
+def broadcast_messages(
+    events: DataFrame, joins: DataFrame, stall_seconds: int = STALL_SECONDS, delay: str = DEFAULT_DELAY, ticks: DataFrame | None = None,
+    slot_seconds: int = SLOT_SECONDS, retain_seconds: int = RETAIN_SECONDS,
+) -> DataFrame:
+    """Messages to each subscriber of a job, from a stream of events and one of subscribers (``subscriber_id, job_id, joined_us``).
+
+    The first is ``hello`` (``line_no`` -1) with status and progress as of ``joined_us``, events of that moment included; a job without events is
+    ``pending`` at 0. Later ones are ``progress``, ``status`` and ``error``, one for each change. Both streams may arrive in any order
+    and cut, as in :func:`track`. The state holds a job's last state and its subscribers; the messages are not kept.
+    """
+    hello = joins.select(
+        "job_id", F.lit(2**63 - 1).alias("line_no"), F.col("joined_us").alias("ts_us"), F.lit("join").alias("kind"),
+        F.lit(None).cast("bigint").alias("progress"), F.col("subscriber_id").cast("bigint").alias("code"),
+    )
+    both = events.select("job_id", "line_no", "ts_us", "kind", "progress", "code").unionByName(hello)
+    told = _Broadcaster(stall_seconds * 1_000_000, slot_seconds * 1_000_000, retain_seconds * 1_000_000)
+    return _followed(both, told, MESSAGES, delay, ticks)
+
+
+def as_json(messages: DataFrame) -> DataFrame:
+    """The messages as the JSON texts that are sent."""
+    body = F.struct("type", F.when(F.col("type").isin("hello", "status"), F.col("status")).alias("status"), F.when(F.col("type") != "error", F.col("progress")).alias("progress"), F.when(F.col("type") == "error", F.col("error")).alias("message"))
+    return messages.select("job_id", "subscriber_id", "line_no", F.to_json(body).alias("message"))
+
+
 def track(
     events: DataFrame, stall_seconds: int = STALL_SECONDS, delay: str = DEFAULT_DELAY, ticks: DataFrame | None = None,
     slot_seconds: int = SLOT_SECONDS, retain_seconds: int = RETAIN_SECONDS,
@@ -188,14 +282,7 @@ def track(
     ``ticks`` (a stream with ``at``, see ``sinks.Ticks``) moves the watermark where events pause. Needs the RocksDB state
     store (``plans.session``).
     """
-    timed = events.select("job_id", "line_no", "ts_us", "kind", "progress", "code", F.timestamp_micros(F.col("ts_us") + CLEAR_OF_EPOCH_US).alias("at"))
-    if ticks is not None:
-        timed = timed.unionByName(ticks.select("at", F.lit(TICK).alias("kind")), allowMissingColumns=True)
-    tracker = _Tracker(stall_seconds * 1_000_000, slot_seconds * 1_000_000, retain_seconds * 1_000_000)
-    # Ticks pass with the rows without a job: a filter would be pushed below the watermark. The state function takes no null key.
-    keyed = timed.withColumn("job_id", F.coalesce("job_id", F.lit(NO_JOB))).withWatermark("at", delay)
-    states = keyed.groupBy("job_id").transformWithStateInPandas(tracker, OUTPUT, "append", "eventTime")
-    return states.withColumn("job_id", F.nullif("job_id", F.lit(NO_JOB)))
+    return _followed(events, _Tracker(stall_seconds * 1_000_000, slot_seconds * 1_000_000, retain_seconds * 1_000_000), OUTPUT, delay, ticks)
 
 
 def closing_records(tracked: DataFrame, results: DataFrame, paths: DataFrame) -> DataFrame:

@@ -139,6 +139,35 @@ def test_many_waiting_events_of_a_job_are_kept_by_slot(spark):
     assert rows(out) == expected(events)
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_subscribers_and_jobs_as_two_streams(spark, files):
+    events = [(*e[:5], 3) if e[3] == "exit" else e for e in life(60)]
+    joins = [(10 + i, 1 if i % 3 else 2, i * 9 * SECOND) for i in range(12)] + [(90, 7, 5 * SECOND)]
+    want = []
+    for job in (1, 2, 7):
+        now, error, there = None, None, []
+        steps = [(e[2], 0, e[1], e) for e in events if e[0] == job] + [(at, 1, s, None) for s, j, at in joins if j == job]
+        for ts, _, n, event in sorted(steps, key=lambda x: x[:3]):
+            if event is None:
+                want.append((job, n, -1, "hello", *(now[:2] if now else ("pending", 0)), error))
+                there.append(n)
+                continue
+            was, (now, _) = now, SJ.advance(now, event[3], ts, event[4], event[5], 10 * SECOND)
+            turned = was is None or was[0] != now[0]
+            if turned and now[0] == "failed":
+                error = f"{SJ.FAILURE}{event[5]}"
+            kinds = ["progress"] * (was is None or was[1] != now[1]) + ["status"] * turned + ["error"] * (turned and error is not None)
+            want += [(job, s, n, k, now[0], now[1], error if k == "error" else None) for s in there for k in kinds]
+    ticks = sinks.Ticks(spark)
+    cut = [events[i::files] for i in range(files)]
+    told = stream(spark, feed(spark, cut, EVENTS), EVENTS)
+    asks = "subscriber_id bigint, job_id bigint, joined_us bigint"
+    asked = stream(spark, feed(spark, [joins[i::files][::-1] for i in range(files)], asks), asks)
+    out = sinks.drain(SJ.broadcast_messages(told, asked, delay="10 minutes", ticks=ticks.stream()), "told", ticks=ticks)
+    assert rows(out) == sorted(want, key=repr)
+    assert {"hello", "progress", "status", "error"} == {r[3] for r in want}
+
+
 def test_pending_started_failed_and_forgotten(spark):
     hour = 3600 * SECOND
     events = [
