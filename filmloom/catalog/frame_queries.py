@@ -68,15 +68,18 @@ def c5(spark, sf):
 
 
 @query("c6_frame_sync", """
-SELECT f.video_id, f.frame_idx, CAST(list_sum(f.px) AS BIGINT) AS a, CAST(list_sum(g.px) AS BIGINT) AS b, CAST(list_sum(m.mask) AS BIGINT) AS c
-FROM frames f JOIN (SELECT * FROM frames WHERE frame_idx < 100) g USING (video_id, frame_idx) JOIN (SELECT * FROM masks WHERE inst = 1) m USING (video_id, frame_idx)
+SELECT f.video_id, f.frame_idx, m.inst, CAST(list_sum(f.px) AS BIGINT) AS a, CAST(list_sum(g.px) AS BIGINT) AS b, CAST(list_sum(m.mask) AS BIGINT) AS c
+FROM frames f JOIN (SELECT * FROM frames WHERE 5 * frame_idx < 4 * (SELECT count(*) FROM frames n WHERE n.video_id = frames.video_id)) g USING (video_id, frame_idx)
+JOIN masks m USING (video_id, frame_idx)
 """)
 def c6(spark, sf):
+    """Whole videos against their first four fifths and all masks."""
     whole = D.frames(spark, sf)
-    shorter = FR.capped(whole, 100).select("video_id", "frame_idx", F.col("px").alias("other"))
-    mask = D.masks(spark, sf).filter("inst = 1").select("video_id", "frame_idx", "mask")
+    length = whole.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    shorter = whole.join(length, "video_id").filter(F.col("frame_idx") * 5 < F.col("n") * 4).select("video_id", "frame_idx", F.col("px").alias("other"))
+    mask = D.masks(spark, sf).select("video_id", "frame_idx", "inst", "mask")
     return FR.in_sync(whole, shorter, mask).select(
-        "video_id", "frame_idx", FR.plane_sum("px").alias("a"), FR.plane_sum("other").alias("b"), FR.plane_sum("mask").alias("c")
+        "video_id", "frame_idx", "inst", FR.plane_sum("px").alias("a"), FR.plane_sum("other").alias("b"), FR.plane_sum("mask").alias("c")
     )
 
 

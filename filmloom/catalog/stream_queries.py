@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from filmloom.catalog.registry import RAW_SQL as ORACLES
 from filmloom.catalog.registry import query
 from filmloom.operators import logs as L
+from filmloom.plans.storage import scratch_path
 from filmloom.sources import derived as D
 from filmloom.sources import logs as SL
+from filmloom.sources.growing_files import GrowingLines
 from filmloom.streaming import jobs as SJ
 from filmloom.streaming import requests as SR
 from filmloom.streaming import sinks
@@ -38,6 +40,19 @@ def a6(spark, sf):
     return sinks.drain(log(spark, sf), "log-lines")
 
 
+@query("a6_growing_files", "SELECT job_id, line_no, line FROM log")
+def a6_files(spark, sf):
+    """The log as text files, followed as files that grow."""
+    folder = scratch_path(spark, "text-logs")
+    lines = D.log(spark, sf).select(F.concat_ws("\t", "job_id", "line_no", "line").alias("value"))
+    lines.write.text(folder)
+    spark.dataSource.register(GrowingLines)
+    followed = spark.readStream.format("growing_lines").option("suffix", ".txt").load(folder)
+    parts = F.split("line", "\t", 3)
+    table = sinks.drain(followed, "followed")
+    return table.select(parts[0].cast("bigint").alias("job_id"), parts[1].cast("bigint").alias("line_no"), parts[2].alias("line"))
+
+
 @query("a8_json_events", """
 SELECT job_id, line_no, 0 AS part, CAST(to_json({'type': 'log', 'line': line}) AS VARCHAR) AS message FROM log
 UNION ALL SELECT job_id, line_no, 1, CAST(to_json({'type': 'progress', 'progress': least(CAST(f AS BIGINT), 100)}) AS VARCHAR)

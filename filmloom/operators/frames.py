@@ -18,7 +18,7 @@ from filmloom.functions.color import to_byte
 from filmloom.functions.geometry import deflicker_size
 from filmloom.operators.packed import is_set, united
 from filmloom.operators.scenes import SEGMENT
-from filmloom.plans.ordering import DEFAULT_BLOCK, number_rows, running, with_halo
+from filmloom.plans.ordering import DEFAULT_BLOCK, join_on, number_rows, running, with_halo
 
 KEYS = ["video_id", "frame_idx"]
 STRIP = 4096  # cells of a picture in one row, where pictures meet several masks
@@ -276,25 +276,35 @@ def _draw(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]).cast("binary"))
 
 
-def _draw_bucket(drawn: DataFrame) -> Column:
-    """As many leading digits of the draw as leave about ``DEFAULT_BLOCK`` rows to each value."""
-    buckets = drawn.count() // DEFAULT_BLOCK
-    return F.substring("__draw", 1, max(1, -(-buckets.bit_length() // 4)))
+def _draw_bucket() -> Column:
+    """One of 65,536 equal ranges of the draw, for a table of any size."""
+    return F.substring("__draw", 1, 4)
 
 
 def random_split(frames: DataFrame, seed: int, ratio: float = 0.95) -> DataFrame:
-    """Mark ``floor(n * (1 - ratio))`` frames of each video as validation, drawn by hash order."""
-    drawn = frames.withColumn("__draw", _draw(seed, *KEYS))
-    ranked = number_rows(
-        drawn, ["video_id"], ["__draw", "frame_idx"], [_draw_bucket(drawn)], "__rank", total="__n"
+    """Mark ``floor(n * (1 - ratio))`` frames of each video as validation, drawn by hash order.
+
+    The limit of a video is found in a histogram of draws: ranges below it are in, ranges above are out, and only the
+    frames of the one range that the limit falls into are ranked. Null videos are one video.
+    """
+    drawn = frames.withColumn("__draw", _draw(seed, *KEYS)).withColumn("__range", _draw_bucket())
+    counts = drawn.groupBy("video_id", "__range").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("video_id")
+    upto = counts.select("video_id", "__range", "n", F.sum("n").over(own.orderBy("__range")).alias("upto"), F.floor(F.sum("n").over(own) * (1.0 - ratio)).alias("__k"))
+    limit = upto.filter("upto >= __k").groupBy("video_id").agg(
+        F.min("__range").alias("__edge"), F.min_by(F.col("__k") - (F.col("upto") - F.col("n")), "__range").alias("__rest")
     )
-    return ranked.withColumn("is_validation", F.col("__rank") < F.floor(F.col("__n") * (1.0 - ratio))).drop("__draw", "__rank", "__n")
+    placed = join_on(drawn, limit, ["video_id"])
+    clear = placed.filter("__range <> __edge").withColumn("is_validation", F.col("__range") < F.col("__edge"))
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("__draw", "frame_idx"))
+    edge = placed.filter("__range = __edge").withColumn("is_validation", rank <= F.col("__rest"))
+    return clear.unionByName(edge).select(*frames.columns, "is_validation")
 
 
 def shuffled_batches(batches: DataFrame, seed: int) -> DataFrame:
     """A new position for every batch by hash order; what is in a batch stays."""
     drawn = batches.withColumn("__draw", _draw(seed, "video_id", "batch_no"))
-    return number_rows(drawn, ["video_id"], ["__draw", "batch_no"], [_draw_bucket(drawn)], "new_pos").drop("__draw")
+    return number_rows(drawn, ["video_id"], ["__draw", "batch_no"], [_draw_bucket()], "new_pos").drop("__draw")
 
 
 def tone(px: Column, rule) -> Column:

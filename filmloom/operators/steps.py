@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.plans import versions
+
 
 def missing_outputs(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Inputs without an output yet."""
@@ -27,7 +29,7 @@ def published(inputs: DataFrame, path: str, key: str) -> DataFrame:
     """Keys already published; none where nothing was published."""
     spark = inputs.sparkSession
     try:
-        return spark.read.parquet(path).select(key)
+        return spark.read.parquet(*versions.resolve(spark, path)).select(key)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -35,11 +37,15 @@ def published(inputs: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def run_step(inputs: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, key: str) -> DataFrame:
-    """Run a step for the keys not yet published and append its rows.
+    """Run a step for the keys not yet published and add its rows as a new version.
 
-    The job committer makes the rows visible together at the end, so a lost job leaves nothing
-    behind and a second call goes on where the first stopped.
+    The rows become visible together, by one file (``plans.versions``): a lost run leaves nothing behind, and a second call goes on where
+    the first stopped. Of two runs at one time the second raises ``ConcurrentWrite``, so no row is there twice.
     """
+    spark = inputs.sparkSession
+    base, folders = versions.latest(spark, path)
     todo = missing_outputs(inputs, published(inputs, path, key), key)
-    step(todo).write.mode("append").parquet(path)
-    return inputs.sparkSession.read.parquet(path)
+    folder = versions.new_folder(path)
+    step(todo).write.parquet(folder)
+    versions.publish(spark, path, base, [*folders, folder])
+    return spark.read.parquet(*folders, folder)

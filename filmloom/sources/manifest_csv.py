@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from filmloom.plans.storage import write_through
+from filmloom.plans import versions
 
 # Cell texts a pandas reader takes for missing.
 MISSING_TEXTS = [
@@ -33,7 +33,7 @@ def read_manifest(
     reader = spark.read.options(header=True, multiLine=multi_line, inferSchema=infer, **_QUOTING)
     if columns:
         reader = reader.schema(text_schema(columns))
-    df = reader.csv(path)
+    df = reader.csv(versions.resolve(spark, path))
     texts = {f.name for f in df.schema if isinstance(f.dataType, StringType)}
     return df.select(
         *[
@@ -54,6 +54,13 @@ def read_or_empty(spark: SparkSession, path: str, columns: list[str]) -> DataFra
 
 
 def replace_manifest(df: DataFrame, path: str) -> None:
-    """Overwrite the whole manifest. The rows are staged first, so they may come from the same path."""
-    staged = write_through(df, "manifest")
-    staged.write.mode("overwrite").options(header=True, **_QUOTING).csv(path)
+    """Replace the whole manifest by a new version; the rows may come from the same path.
+
+    Readers see the old rows until the new ones are complete (``plans.versions``); if this writer is lost they stay. Raises
+    ``ConcurrentWrite`` if another writer has replaced the manifest meanwhile.
+    """
+    spark = df.sparkSession
+    base, _ = versions.latest(spark, path)
+    folder = versions.new_folder(path)
+    df.write.options(header=True, **_QUOTING).csv(folder)
+    versions.publish(spark, path, base, [folder])
