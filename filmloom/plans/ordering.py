@@ -8,7 +8,7 @@ levels, each a thousandth of the one before, so neither one key's nor all bucket
 Nulls are values: a null key is a key, and null buckets and orders come first, as in an
 ascending sort. No row is lost or counted twice.
 
-The input is planned twice, once for the bucket totals with only the key columns, so an input
+The input is read twice, at first, when the plan is built, for the bucket totals with only the key columns; so an input
 that is expensive to compute should be written first (``plans.storage.write_through``).
 """
 
@@ -22,8 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from filmloom.plans.storage import write_through
+
 DEFAULT_BLOCK = 65_536  # rows per bucket; the table carried over has one row for each
 FAN = 1_024  # buckets under one bucket of the level above
+ONE_LEVEL = 65_536  # buckets of all keys that one window may hold
 
 
 def _tag(df: DataFrame, buckets: Sequence[Column]) -> tuple[DataFrame, list[str]]:
@@ -55,8 +58,12 @@ def _carried(
     """For every bucket, each value folded over all earlier buckets of its key.
 
     ``add_up`` aggregates a value, ``before`` folds it over a window of earlier rows, ``both`` puts an earlier and a
-    later fold together.
+    later fold together. The table has one row per bucket and is written before, so the input is read once for it and the
+    levels run over few rows. Up to ``ONE_LEVEL`` rows one window does all; the result is the same either way.
     """
+    if table.count() <= ONE_LEVEL:
+        window = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+        return table.select(*keys, *names, *[before(v, window).alias(v) for v in values])
     levels = [keys + ["__top"], keys + ["__top", "__mid"], keys + ["__top", "__mid", *names]]
     table = _with_levels(table, names[0])
     out, passed = None, keys
@@ -88,12 +95,12 @@ def number_rows(
     """
     keys = list(keys)
     tagged, names = _tag(df, buckets)
-    per_bucket = tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+    counted = write_through(tagged.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n")), "bucket-totals")
     offsets = _carried(
-        per_bucket, keys, names, ["__n"], F.sum, lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)), lambda _, a, b: a + b
+        counted, keys, names, ["__n"], F.sum, lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0)), lambda _, a, b: a + b
     ).withColumnRenamed("__n", "__offset")
     if total:
-        offsets = join_on(offsets, per_bucket.groupBy(*keys).agg(F.sum("__n").alias(total)), keys)
+        offsets = join_on(offsets, counted.groupBy(*keys).agg(F.sum("__n").alias(total)), keys)
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     numbered = tagged.withColumn("__rank", F.row_number().over(inside))
     out = join_on(numbered, offsets, [*keys, *names])
@@ -132,7 +139,7 @@ def running(
     totals = tagged.filter(has_value).groupBy(*keys, "__block").agg(
         *[total(k, n).alias(f"__t_{n}") for n, (k, _) in specs.items()]
     )
-    blocks = join_on(tagged.select(*keys, "__block").distinct(), totals, [*keys, "__block"], "left")
+    blocks = write_through(join_on(tagged.select(*keys, "__block").distinct(), totals, [*keys, "__block"], "left"), "bucket-totals")
 
     def fold(kind: str, col: str, w) -> Column:
         if kind == "last":
