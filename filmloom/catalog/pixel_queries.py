@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from filmloom.catalog import color_sql as Q
+from filmloom.catalog.registry import RAW_SQL as ORACLES
 from filmloom.catalog.registry import query
 from filmloom.functions import color as C
 from filmloom.operators import detections as DT
@@ -251,6 +252,20 @@ def d14(spark, sf):
     return cell_of(FR.explode_plane(labelled(spark, sf), "labels", name="region"))
 
 
+@query("d14_regions_of_tiles", ORACLES["d14_connected_regions"])
+def d14_tiles(spark, sf):
+    """The same pictures cut into tiles of 5 x 5 and what is left of them."""
+    frames = D.frames(spark, sf).withColumn("mask", F.transform("px", lambda v: F.greatest(*[((v + 37 * k) % 11 == 0).cast("int") for k in (1, 2, 3, 4)])))
+    at = F.array(*[F.struct(F.lit(t).alias("top"), F.lit(l).alias("left"), F.lit(min(5, SIDE - t)).alias("th"), F.lit(min(5, SIDE - l)).alias("tw")) for t in (0, 5) for l in (0, 5)])
+    cut = frames.select("video_id", "frame_idx", "mask", F.inline(at))
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.col("th") - 1), lambda y: F.slice("mask", (F.col("top") + y) * SIDE + F.col("left") + 1, F.col("tw"))))
+    tiles = cut.select("video_id", "frame_idx", "top", "left", F.col("th").alias("h"), F.col("tw").alias("w"), rows.alias("mask"))
+    cells = PX.connected_regions_of_tiles(tiles, SIDE).select("video_id", "frame_idx", "top", "left", "w", F.posexplode("labels").alias("i", "region"))
+    return cells.select(
+        "video_id", "frame_idx", (F.col("top") + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"), (F.col("left") + F.col("i") % F.col("w")).alias("x"), F.col("region").cast("int").alias("region")
+    )
+
+
 def region_cells(spark, sf):
     """Regions with the picture's chroma (planes 1 and 9) and a donor's (6 and 14)."""
     px = F.col("px")

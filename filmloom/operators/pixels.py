@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmloom.functions import color as C
+from filmloom.plans.graph import smallest_reachable
+from filmloom.plans.storage import write_through
 
 KEYS = ["video_id", "frame_idx"]
 CELL = [*KEYS, "y", "x"]
@@ -103,6 +105,56 @@ def connected_regions(frames: DataFrame, mask: str = "mask") -> DataFrame:
     return frames.withColumn("labels", label.asNondeterministic()(F.col(mask), F.col("h"), F.col("w")))
 
 
+TILE = [*KEYS, "top", "left"]
+
+
+def connected_regions_of_tiles(tiles: DataFrame, width: int, mask: str = "mask") -> DataFrame:
+    """Add ``labels`` to tiles of pictures of ``width``: the same numbers as :func:`connected_regions` gives whole pictures.
+
+    ``tiles`` has ``video_id, frame_idx, top, left`` (where it lies), ``h, w`` and the mask; tiles do not overlap. Each tile is labelled
+    by itself; regions that touch over tile borders, cell by cell of the borders, are edges of a graph, and its components give a region
+    its smallest label. So a picture never has to fit one row; rows beyond the tiles grow with the length of the borders.
+    """
+    def at(label: Column) -> Column:
+        """Label in the tile to position in the picture, plus 1; order is kept."""
+        return (F.floor((label - 1) / F.col("w")) + F.col("top")) * width + (label - 1) % F.col("w") + F.col("left") + 1
+
+    own = connected_regions(tiles, mask).withColumn("labels", F.transform("labels", lambda x: F.when(x > 0, at(x)).otherwise(0).cast("bigint")))
+    own = write_through(own, "tile-labels")
+    h, w = F.col("h"), F.col("w")
+    # Positions of the four borders, corners once.
+    border = F.array_distinct(F.concat(
+        F.sequence(F.lit(0), w - 1), F.sequence((h - 1) * w, h * w - 1), F.sequence(F.lit(0), (h - 1) * w, w), F.sequence(w - 1, h * w - 1, w)
+    ))
+    cells = own.filter("h > 0 AND w > 0").select(*TILE, "w", "labels", F.explode(border).alias("i")).select(
+        *TILE, (F.floor(F.col("i") / w) + F.col("top")).alias("y"), (F.col("i") % w + F.col("left")).alias("x"), F.get("labels", F.col("i")).alias("label")
+    ).filter("label > 0")
+    node = F.struct(*KEYS, "label")
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    here = cells.select(*KEYS, node.alias("a"), F.struct("top", "left").alias("tile_a"), "y", "x", F.inline(steps)).select(
+        *KEYS, "a", "tile_a", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")
+    )
+    there = cells.select(*KEYS, "y", "x", node.alias("b"), F.struct("top", "left").alias("tile_b"))
+    edges = here.join(there, [*KEYS, "y", "x"]).filter("tile_a <> tile_b AND a <> b").select("a", "b").distinct()
+    roots = smallest_reachable(edges).filter("node <> root").select("node.*", F.col("root.label").alias("root"))
+    named = cells.select(*TILE, "label").distinct().join(roots, [*KEYS, "label"]).groupBy(*TILE).agg(
+        F.array_sort(F.collect_list(F.struct("label", "root"))).alias("merged")
+    )
+
+    @F.pandas_udf("array<bigint>")
+    def renamed(labels: pd.Series, merged: pd.Series) -> pd.Series:
+        out = []
+        for cells, pairs in zip(labels, merged, strict=True):
+            if pairs is not None and len(pairs):
+                old, new = (np.array([p[k] for p in pairs]) for k in ("label", "root"))
+                place = np.minimum(np.searchsorted(old, cells), len(old) - 1)
+                cells = np.where(old[place] == cells, new[place], cells)
+            out.append(cells)
+        return pd.Series(out)
+
+    return own.join(named, TILE, "left").withColumn("labels", renamed("labels", "merged")).drop("merged")
+
+
 def region_color_transfer(
     cells: DataFrame, fixed: tuple[int, int] | None = None, planes: Sequence[str] = ("a", "b"), donors: Sequence[str] = ("new_a", "new_b")
 ) -> DataFrame:

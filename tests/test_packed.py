@@ -137,3 +137,16 @@ def test_crops_pasted_line_by_line(spark):
                 want[cls, y, x] = max(want[cls, y, x], m)
     got = {(r.cls, r.y, r.x): r.m for r in DT.pasted_crops(table, boxes, frame).collect()}
     assert got == want
+
+
+def test_regions_of_a_large_picture_in_tiles(spark, rng):
+    side, step = 700, 128
+    picture = rng.random((side, side)) < 0.42  # near the share where regions grow through the whole picture
+    picture[350, :] = True  # a region through all tiles, and a spiral of borders
+    picture[:, 128] = picture[127, ::2] = True
+    tiles = [(1, 0, t, l, min(step, side - t), min(step, side - l), picture[t:t + step, l:l + step].astype(int).ravel().tolist()) for t in range(0, side, step) for l in range(0, side, step)]
+    table = spark.createDataFrame([*tiles, (2, 5, 0, 0, 2, 2, [0, 0, 0, 0])], "video_id bigint, frame_idx bigint, top int, left int, h int, w int, mask array<int>")
+    got = np.zeros((side, side), np.int64)
+    for r in PX.connected_regions_of_tiles(table, side).filter("video_id = 1").collect():
+        got[r.top:r.top + r.h, r.left:r.left + r.w] = np.array(r.labels).reshape(r.h, r.w)
+    assert (got == PX._label(picture[None])[0]).all()
