@@ -123,22 +123,24 @@ class _Tracker(StatefulProcessor):
             self.few.update((few.tobytes(),))
         if first is not None:
             self._wake(first // self.slot_us)
-        yield pd.DataFrame(columns=self.columns)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000 - CLEAR_OF_EPOCH_US
         few, kept = self._few(), sorted(int(k[0]) for k in self.slots.keys())
         few_slots = few["ts_us"] // self.slot_us
         last = passed_us // self.slot_us  # slots before it have ended
-        due = sorted({*few_slots[few_slots < last].tolist(), *(s for s in kept if s < last)})
+        ended_slots = few_slots[few_slots < last]
+        # Few events are one stretch; where others wait in slots, it goes slot by slot.
+        due = sorted({*ended_slots.tolist(), *(s for s in kept if s < last)}) if kept else [None] * bool(len(ended_slots))
+        out: list[tuple] = []
         state = self.now.get() if self.now.exists() else None
         now, error, ended = (tuple(state[:3]), state[3], state[4]) if state else (None, None, None)
         for slot in due:
-            events = few[few_slots == slot]
+            events = few[few_slots == slot] if slot is not None else few[few_slots < last]
             if slot in kept:
                 events = np.concatenate([np.frombuffer(self.slots.getValue((slot,))[0], EVENT), events])
                 self.slots.removeKey((slot,))
-            out = []
             for ts_us, line_no, kind, progress, code in np.sort(events, order=["ts_us", "line_no"], kind="stable").tolist():
                 if KINDS[kind] == "join":
                     out += self.joined(key[0], code, now, error)
@@ -148,6 +150,10 @@ class _Tracker(StatefulProcessor):
                 if now[0] in ENDED and (not was or was[0] != now[0]):
                     ended, error = ts_us, f"{FAILURE}{code}" if now[0] == "failed" else None
                 out += self.rows(key[0], line_no, was, now, refused, error)
+            if len(out) >= FEW:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+        if out:
             yield pd.DataFrame(out, columns=self.columns)
         rest = few[few_slots >= last]
         waiting = [*((few_slots[few_slots >= last])[:1] if not len(rest) else [few_slots[few_slots >= last].min()]), *(s for s in kept if s >= last)]

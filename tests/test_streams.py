@@ -141,7 +141,7 @@ def test_many_waiting_events_of_a_job_are_kept_by_slot(spark):
 
 @pytest.mark.parametrize("files", [1, 4])
 def test_subscribers_and_jobs_as_two_streams(spark, files):
-    events = [(*e[:5], 3) if e[3] == "exit" else e for e in life(60)]
+    events = [(*e[:3], "exit", None, 3) if e[1] == 45 else e for e in life(60)]
     joins = [(10 + i, 1 if i % 3 else 2, i * 9 * SECOND) for i in range(12)] + [(90, 7, 5 * SECOND)]
     want = []
     for job in (1, 2, 7):
