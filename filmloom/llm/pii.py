@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,10 @@ from filmloom.llm import words as W
 from filmloom.plans.storage import write_through
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 8  # words on each side of an entity that count as its context
-LEAST_CONTEXTS = 3  # different contexts in which a term must stand beside an entity
 GENERALISE, REMOVE = 0.7, 0.9  # share of an entity's information that a term gives away
+CHANCE = 0.05  # pairs expected by chance among all that are compared
 TERMS_AT_ONCE = 1_000_000  # broadcast: 8 MB
-SEEN_BITS = 23
+SEEN_BITS = 26  # a filter of 8 MB; hashes that meet in a bit are counted apart afterwards
 HELD = 200_000  # distinct terms counted before a task passes them on
 
 # The patterns are given.
@@ -79,36 +79,81 @@ def _entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind < 2 else _digits(value)}"
 
 
-def _contexts(batches):
-    """One row per document row and entity: the entity and, for each place, a hash of the context and its terms."""
-    names = ["entity", "context", "terms"]
+class _Places:
+    """Byte offsets of code points, and code points of byte offsets, of one text's bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.heads = np.flatnonzero((data & 0xC0) != 0x80) if (data >= 0x80).any() else None
+
+    def code_points(self, at: np.ndarray) -> np.ndarray:
+        return at if self.heads is None else np.searchsorted(self.heads, at)
+
+    def byte_offsets(self, at: np.ndarray, size: int) -> np.ndarray:
+        return at if self.heads is None else np.append(self.heads, size)[at]
+
+
+def _apart(starts: np.ndarray, ends: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Which of the words overlap none of the ``taken`` spans (rows of start and end); sorted search, so linear in both."""
+    if not len(taken):
+        return np.ones(len(starts), bool)
+    taken = taken[np.argsort(taken[:, 0], kind="stable")]
+    reach = np.append(np.maximum.accumulate(taken[:, 1]), -1)  # -1: no span begins before the word ends
+    return reach[np.searchsorted(taken[:, 0], ends, "left") - 1] <= starts
+
+
+def _holders(batches):
+    """One row per text with entities: its key, its entities and the distinct terms outside of them."""
+    names = ["key", "entities", "terms"]
     for batch in batches:
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        rows = {i: found for i, t in enumerate(texts) if (found := base_spans(t))}
-        entities, contexts, terms = [], [], []
-        for i, found in rows.items():
-            part = W.Texts(pa.array([texts[i]], pa.string()))
+        keys, entities, terms = [], [], []
+        for key, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
+            if not (found := base_spans(text)):
+                continue
+            part = W.Texts(pa.array([text], pa.string()))
             starts, ends, _ = W.spans(part, W.LETTERED)
-            hashes = W.word_hashes(part, starts, ends)
-            places = [(kind, *(len(texts[i][:x].encode()) for x in span), _entity(kind, texts[i][span[0]:span[1]])) for kind, *span in found]
-            free = np.ones(len(hashes), bool)
-            for _, a, b, _ in places:
-                free[np.searchsorted(ends, a, "right"):np.searchsorted(starts, b, "left")] = False
-            once = {}
-            for _, a, b, entity in places:
-                before, after = np.searchsorted(ends, a, "right"), np.searchsorted(starts, b, "left")
-                near = np.concatenate([np.arange(max(0, before - REACH), before), np.arange(after, min(len(hashes), after + REACH))])
-                near = hashes[near[free[near]]]
-                once[entity, W.sequence_hash(near) >> 1] = np.unique(near)
-            for (entity, context), near in once.items():
-                entities.append(entity)
-                contexts.append(context)
-                terms.append(W.signed(near))
-        yield pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(contexts, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names)
-
-
-def _term_counter(seen: Broadcast):
-    """Number of documents that hold each term, for terms whose bit is set."""
+            taken = _Places(part.data).byte_offsets(np.array([span[1:] for span in found]), len(part.data))
+            keys.append(key)
+            entities.append(sorted({_entity(kind, text[x:y]) for kind, x, y in found}))
+            terms.append(W.signed(np.unique(W.word_hashes(part, starts, ends)[_apart(starts, ends, taken)])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], names)
+
+
+def _bits(rows: DataFrame, value: str, condition: str = "true") -> tuple[np.ndarray, int]:
+    """A bit for the top bits of each ``value`` that meets the condition, as at most 2^20 words, and the number of rows."""
+    bit = f"shiftrightunsigned({value}, {64 - SEEN_BITS})"
+    words = rows.groupBy(F.expr(f"{bit} div 64").alias("word")).agg(
+        F.expr(f"bit_or(if({condition}, shiftleft(1L, cast({bit} % 64 as int)), 0L))").alias("bits"), F.count(F.lit(1)).alias("n")
+    ).toArrow()
+    table = np.zeros(1 << (SEEN_BITS - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64), int(words.column("n").to_numpy().sum())
+
+
+def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes >> np.uint64(64 - SEEN_BITS)
+    return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _terms_of(seen: Broadcast, repeated: Broadcast):
+    """Per text the distinct hashes of its terms whose bit is set, and whether other rows may hold the same text."""
+
+    def rows(batch):
+        keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        again = _has(repeated.value, keys.view(np.uint64))
+        for at, texts in W.slices(batch.column(0)):
+            starts, ends, first = W.spans(texts, W.LETTERED)
+            hashes = W.word_hashes(texts, starts, ends)
+            hit = np.flatnonzero(_has(seen.value, hashes))
+            pairs = np.unique(np.stack([W.row_of_each(first)[hit], W.signed(hashes)[hit]]), axis=1)
+            cuts = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
+            for i in range(len(texts)):
+                yield int(keys[at + i]), bool(again[at + i]), pairs[1][cuts[i]:cuts[i + 1]]
+
+    return rows
+
+
+def _single_counter(seen: Broadcast, repeated: Broadcast):
+    """Number of the texts that no other row can hold with each term."""
 
     def count(batches):
         held: Counter[int] = Counter()
@@ -119,54 +164,95 @@ def _term_counter(seen: Broadcast):
             return out
 
         for batch in batches:
-            for _, texts in W.slices(batch.column(0)):
-                starts, ends, first = W.spans(texts, W.LETTERED)
-                hashes = W.word_hashes(texts, starts, ends)
-                hit = np.flatnonzero(seen.value[hashes >> np.uint64(64 - SEEN_BITS)])
-                pairs = np.unique(np.stack([W.row_of_each(first)[hit], W.signed(hashes)[hit]]), axis=1)
-                held.update(pairs[1].tolist())
-                if len(held) >= HELD:
-                    yield flush()
+            for _, again, terms in _terms_of(seen, repeated)(batch):
+                if not again:
+                    held.update(terms.tolist())
+                    if len(held) >= HELD:
+                        yield flush()
         if held:
             yield flush()
 
     return count
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """``term`` (hash of a lower-cased word) and ``removed`` for terms that reveal a protected entity.
+def _repeated_terms(seen: Broadcast, repeated: Broadcast):
+    """Key and terms of the texts that other rows may hold too."""
 
-    An entity is an e-mail address, IP address, card or phone number. Over all documents, n(e) and n(t) are
-    the documents with the entity and with the term, and n(t, e) those with the term within eight words of it. A term
-    gives away the share PMI(t, e) / IC(e) = log(n n(t, e) / (n(t) n(e))) / log(n / n(e)) of the entity's information. From
-    0.7 on it is generalised, from 0.9 on removed. It must stand beside the entity in three different contexts, so that
-    copies of one text prove nothing.
+    def collect(batches):
+        for batch in batches:
+            again = _has(repeated.value, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            kept = batch.filter(pa.array(again))
+            found = [(key, terms) for key, _, terms in _terms_of(seen, repeated)(kept)] if len(kept) else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["key", "terms"])
+
+    return collect
+
+
+_RATED = "entity string, term bigint, n_entity bigint, n_term bigint, together bigint, total bigint, share double, surprise double, needed double"
+
+
+def rated_pairs(docs: DataFrame) -> DataFrame:
+    """Every pair of an entity and a term that stand in one text and that could reach the least share, with its statistics.
+
+    ``n_entity``, ``n_term`` and ``together`` are the n(e), n(t) and n(t, e) of ``disclosing_terms``, ``total`` is n. ``surprise`` is the
+    exponent of the Chernoff bound on ``together`` texts or more where n(e) n(t) / n are expected, k ln(k / m) - k + m;
+    ``needed`` is ln(tests / 0.05), tests being the terms times the entities that are compared.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    places = write_through(
-        texts.mapInArrow(_contexts, "entity string, context bigint, terms array<bigint>").groupBy("entity", "context").agg(
-            F.count(F.lit(1)).alias("docs"), F.any_value("terms").alias("terms")
+    texts = docs.filter("text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    holders = write_through(
+        texts.mapInArrow(_holders, "key bigint, entities array<string>, terms array<bigint>").groupBy("key").agg(
+            F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms")
         ),
-        "contexts",
+        "entity-texts",
+    )
+    owned = holders.select("key", F.explode("entities").alias("entity"))
+    often = write_through(owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter("n_entity >= 2"), "entities")
+    if often.isEmpty():  # one text shows no co-occurrence
+        return spark.createDataFrame([], _RATED)
+    owned = write_through(owned.join(often, "entity"), "entities-of-texts")
+    most = owned.groupBy("key").agg(F.max("n_entity").alias("most"))
+    terms = write_through(holders.join(most, "key").select("key", "most", F.explode("terms").alias("term")), "terms-of-texts")
+    repeats, total = _bits(texts.groupBy("key").count(), "key", "count > 1")
+    # Each row of the key table is one text, so the sum of its rows is the number of different texts.
+    seen = spark.sparkContext.broadcast(_bits(terms.select("term").distinct(), "term")[0])
+    repeated = spark.sparkContext.broadcast(repeats)
+    single = texts.mapInArrow(_single_counter(seen, repeated), "term bigint, n bigint")
+    several = texts.mapInArrow(_repeated_terms(seen, repeated), "key bigint, terms array<bigint>").groupBy("key").agg(F.any_value("terms").alias("terms"))
+    spread = single.unionByName(several.select(F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("n"))).groupBy("term").agg(F.sum("n").alias("n_term"))
+    spread = write_through(spread.filter("n_term >= 2"), "term-counts")
+    seen.destroy()
+    repeated.destroy()
+
+    def reachable(n_entity):  # n(t, e) is at most n(e), so a more frequent term cannot give the least share
+        return F.col("n_term") <= F.lit(float(total)) ** (1 - GENERALISE) * F.col(n_entity) ** GENERALISE * (1 + 1e-9)
+
+    rare = terms.join(spread, "term").filter(reachable("most")).select("key", "term", "n_term")
+    pairs = rare.join(owned, "key").filter(reachable("n_entity") & (F.col("n_entity") < total)).groupBy("entity", "term").agg(
+        F.any_value("n_entity").alias("n_entity"), F.any_value("n_term").alias("n_term"), F.count(F.lit(1)).alias("together")
     )
-    pairs = places.select("entity", "docs", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("together")
-    ).filter(F.col("contexts") >= LEAST_CONTEXTS)
     pairs = write_through(pairs, "term-pairs")
-    # At most 2^23 numbers, whatever the number of terms.
-    set_bits = pairs.select(F.shiftrightunsigned("term", 64 - SEEN_BITS).alias("bit")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << SEEN_BITS, bool)
-    bits[set_bits] = True
-    if not len(set_bits):
-        return pairs.select("term", F.lit(True).alias("removed"))
-    spread = texts.mapInArrow(_term_counter(spark.sparkContext.broadcast(bits)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    per_entity = places.groupBy("entity").agg(F.sum("docs").alias("n_entity"))
-    total = float(docs.count())
-    together = F.least("together", "n_term")
-    share = F.log(F.lit(total) * together / (F.col("n_term") * F.col("n_entity"))) / F.log(F.lit(total) / F.col("n_entity"))
-    rated = pairs.join(spread, "term").join(per_entity, "entity").filter(F.col("n_entity") < total).withColumn("share", share)
-    return rated.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE).select("term", (F.col("share") >= REMOVE).alias("removed"))
+    tests = pairs.select("term").distinct().count() * pairs.select("entity").distinct().count()
+    n, expected = F.lit(float(total)), F.col("n_term") * F.col("n_entity") / F.lit(float(total))
+    return pairs.withColumn("total", F.lit(total).cast("bigint")).withColumn(
+        "share", F.log(F.col("together") / expected) / F.log(n / F.col("n_entity"))
+    ).withColumn("surprise", F.col("together") * F.log(F.col("together") / expected) - F.col("together") + expected).withColumn(
+        "needed", F.lit(math.log(max(tests, 1) / CHANCE))
+    )
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """``term`` (hash of a lower-cased word) and ``removed`` for terms that reveal a protected entity.
+
+    An entity is an e-mail address, IP address, card or phone number. Rows with equal texts are one text, so copies prove
+    nothing. Of all n texts, n(e) hold the entity, n(t) the term and n(t, e) both, anywhere in the text, the term outside of any entity.
+    A term gives away the share PMI(t, e) / IC(e) = log(n n(t, e) / (n(t) n(e))) / log(n / n(e)) of the entity's information.
+    From 0.7 on it is generalised, from 0.9 on removed, if at least two texts hold both and so many would not come by chance:
+    over all terms and entities compared, such a count is expected less than 0.05 times. An entity of one text reveals nothing about terms.
+    """
+    pairs = rated_pairs(docs).filter((F.col("together") >= 2) & (F.col("share") >= GENERALISE) & (F.col("surprise") >= F.col("needed")))
+    return pairs.groupBy("term").agg(F.max("share").alias("share")).select("term", (F.col("share") >= REMOVE).alias("removed"))
 
 
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint,removed:boolean>>"
@@ -190,19 +276,18 @@ def _marker(block: Broadcast, first_pass: bool):
                     starts, ends, first = W.spans(texts, W.LETTERED)
                     hashes = W.signed(W.word_hashes(texts, starts, ends))
                     place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-                    heads = np.cumsum((texts.data & 0xC0) != 0x80)  # code points up to and including each byte
-                    row_of = W.row_of_each(first)
-                    per_row = defaultdict(list)
-                    for i in np.flatnonzero(terms[place] == hashes):
-                        per_row[row_of[i]].append(i)
-                    for r, hits in per_row.items():
-                        low = texts.offsets[r]
-                        zero = heads[low - 1] if low else 0
-                        taken = [(s["start"], s["end"]) for s in spans[r]]
-                        for i in hits:
-                            a, b = int(heads[starts[i]] - 1 - zero), int(heads[ends[i] - 1] - zero)
-                            if not any(x < b and a < y for x, y in taken):
-                                spans[r].append({"kind": 4, "start": a, "end": b, "removed": bool(removed[place[i]])})
+                    hits = np.flatnonzero(terms[place] == hashes)
+                    row_of = W.row_of_each(first)[hits]
+                    for r in np.unique(row_of):
+                        low, high = texts.offsets[r:r + 2]
+                        own = hits[np.searchsorted(row_of, r):np.searchsorted(row_of, r, "right")]
+                        at_points = _Places(texts.data[low:high])
+                        a, b = at_points.code_points(starts[own] - low), at_points.code_points(ends[own] - low)
+                        free = _apart(a, b, np.array([(s["start"], s["end"]) for s in spans[r]], np.int64).reshape(-1, 2))
+                        spans[r] += [
+                            {"kind": 4, "start": x, "end": y, "removed": z}
+                            for x, y, z in zip(a[free].tolist(), b[free].tolist(), removed[place[own[free]]].tolist())
+                        ]
                         spans[r].sort(key=lambda s: (s["kind"], s["start"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(spans, kind)], schema=schema)
 
@@ -226,6 +311,9 @@ def found_spans(docs: DataFrame) -> DataFrame:
         rows = sorted((r["term"], r["removed"]) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect())
         block = sc.broadcast((np.array([t for t, _ in rows], np.int64), np.array([x for _, x in rows], bool)))
         state = state.mapInArrow(_marker(block, i == 0), f"doc_id bigint, text string, spans {_SPANS}")
+        if i + 1 < blocks:  # written, so that an executor never holds two blocks
+            state = write_through(state, "marked")
+            block.destroy()
     return state
 
 
@@ -240,12 +328,17 @@ def _replace(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` with spans replaced: ``[email]`` and so on, ``[term]`` if generalised, ``[removed]`` if removed."""
+def with_clean_text(found: DataFrame) -> DataFrame:
+    """``clean``: the text of ``found_spans`` with spans replaced, ``[email]`` and so on, ``[term]`` if generalised, ``[removed]`` if removed."""
 
     def clean(batches):
         for batch in batches:
             texts = [t if t is None else _replace(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], ["doc_id", "spans", "clean"])
+
+    return found.select("doc_id", "text", "spans").mapInArrow(clean, f"doc_id bigint, spans {_SPANS}, clean string")
 
-    return found_spans(docs).mapInArrow(clean, "doc_id bigint, text string")
+
+def sanitised(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the spans of ``found_spans`` replaced; a null text stays null."""
+    return with_clean_text(found_spans(docs)).select("doc_id", F.col("clean").alias("text"))

@@ -86,7 +86,7 @@ def op7(spark, sf):
 
 @query("op2_disclosure_sanitisation")
 def op2(spark, sf):
-    found = pii.found_spans(table(spark, sf, "documents").select("doc_id", "text"))
+    found = pii.with_clean_text(pii.found_spans(table(spark, sf, "documents").select("doc_id", "text")))
     names = F.array(*[F.lit(k) for k in pii.KINDS])
     base = F.filter("spans", lambda s: s["kind"] < 4)
 
@@ -97,7 +97,11 @@ def op2(spark, sf):
         return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{pii.KINDS[i]}")
 
     counts = [count(i) for i in range(4)]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    removed = F.size(F.filter("spans", lambda s: (s["kind"] == 4) & s["removed"])).cast("bigint")
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base) - removed).alias("n_generalised"), removed.alias("n_removed"), F.sha2("clean", 256).alias("clean_sha256"),
+    )
 
 
 @query("op6_license_scan")

@@ -160,6 +160,75 @@ def test_terms_that_reveal_an_entity(spark):
     assert text[60] == "once [removed] came" and "[email]" in text[0] and text[61] is None
 
 
+def test_rated_pairs_agree_with_counting(spark):
+    rng = random.Random(8)
+    people = [f"p{i}@mail.com" for i in range(6)]
+    texts = []
+    for i in range(150):
+        words = [f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.choice([0, 3, 12]))]
+        if rng.random() < 0.3:
+            who = rng.randrange(6)
+            words += [people[who], f"Name{who}" if rng.random() < 0.9 else "Été", f"7.7.7.{who}"] * rng.choice([1, 2])
+        rng.shuffle(words)
+        texts += [(i, " ".join(words))] * rng.choice([1, 1, 3])
+    texts += [(900, None), (None, "p1@mail.com name1 only"), (901, "p1@mail.com name1 only")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    different = {t for _, t in texts if t is not None}
+    n, n_entity, n_term, both = len(different), defaultdict(int), defaultdict(int), defaultdict(int)
+    for t in different:
+        spans = plain_spans(t)
+        held = {pii._entity(k, t[a:b]) for k, a, b in spans}
+        words = [(m.group(), m.start(), m.end()) for m in re.finditer(LETTERED, lower(t))]
+        for w in {w for w, _, _ in words}:
+            n_term[w] += 1
+        for e in held:
+            n_entity[e] += 1
+            for w in {w for w, a, b in words if not any(x < b and a < y for _, x, y in spans)}:
+                both[e, w] += 1
+    want = {}
+    for (e, w), k in both.items():
+        if n_entity[e] >= 2 and n_term[w] >= 2 and n_term[w] <= n ** 0.3 * n_entity[e] ** 0.7 * (1 + 1e-9):
+            want[e, hash_of(w)] = (n_entity[e], n_term[w], k, n, np.log(n * k / (n_term[w] * n_entity[e])) / np.log(n / n_entity[e]))
+    rated = pii.rated_pairs(df).collect()
+    assert len(want) > 10 and {(r["entity"], r["term"]): (r["n_entity"], r["n_term"], r["together"], r["total"], pytest.approx(r["share"])) for r in rated} == want
+    tests = len({w for _, w in want}) * len({e for e, _ in want})
+    chosen = {w for (e, w), (ne, nt, k, _, share) in want.items()
+              if k >= 2 and share >= 0.7 and k * np.log(k * n / (ne * nt)) - k + ne * nt / n >= np.log(tests / 0.05)}
+    assert {r["term"] for r in pii.disclosing_terms(df).collect()} == chosen and {hash_of(f"name{i}") for i in range(6)} & chosen
+
+
+def hash_of(word):
+    part = W.Texts(pa.array([word]))
+    starts, ends, _ = W.spans(part, W.LETTERED)
+    return int(W.signed(W.word_hashes(part, starts, ends))[0])
+
+
+def test_words_apart_from_spans():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        edges = np.sort(rng.choice(80, 20, replace=False)).reshape(-1, 2)
+        taken = np.array([sorted(rng.choice(80, 2, replace=False)) for _ in range(rng.integers(0, 6))], np.int64).reshape(-1, 2)
+        want = [not any(x < b and a < y for x, y in taken) for a, b in edges]
+        assert pii._apart(edges[:, 0], edges[:, 1], taken).tolist() == want
+
+
+def test_marking_many_spans_of_one_text(spark):
+    """Thousands of addresses and terms in one text, in blocks of terms, stay linear and whole."""
+    texts = [(i, f"bob{j}@mail.com né zorb{j} x{i}") for j in range(3) for i in range(10 * j, 10 * j + 6)]
+    texts += [(100 + i, f"other né words {i}") for i in range(300)]
+    texts += [(1000, " ".join(f"é zorb{i % 3} a{i}@b.cd" for i in range(20_000)))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    whole = {r["doc_id"]: r["spans"] for r in pii.found_spans(df).collect()}
+    assert [s["kind"] for s in whole[1000]] == [0] * 20_000 + [4] * 20_000
+    text = texts[-1][1]
+    assert all(text[s["start"]:s["end"]].startswith("zorb") for s in whole[1000] if s["kind"] == 4)
+    once, pii.TERMS_AT_ONCE = pii.TERMS_AT_ONCE, 1
+    try:
+        assert {r["doc_id"]: r["spans"] for r in pii.found_spans(df).collect()} == whole
+    finally:
+        pii.TERMS_AT_ONCE = once
+
+
 def test_pii_odd_rows(spark, odd, empty):
     assert pii.found_spans(odd).count() == len(ODD) and pii.found_spans(empty).count() == 0
     assert all(s == [] for _, s in of(pii.found_spans(odd), "doc_id", "spans"))
