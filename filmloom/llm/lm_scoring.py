@@ -10,39 +10,46 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.llm import words as W
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2  # a longer n-gram seen once is the one being scored, which says nothing
 BLOCK_BYTES = 12 << 20  # text per block
 SHARD_GRAMS = 2_000_000  # n-grams sent to a shard, before they are added up
+CODEC = pa.Codec("zstd", 1)
+
+
+def _pack_planes(values: np.ndarray) -> bytes:
+    """Number of 64-bit values, then their bytes, plane by plane, compressed; the high planes are nearly all zero."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T) if len(values) else np.zeros((8, 0), np.uint8)
+    return len(values).to_bytes(8, "little") + CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack_planes(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(CODEC.decompress(data[8:], 8 * size, asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted hashes: the differences' bytes, plane by plane, compressed; the high planes are nearly all zero."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T if len(steps) else np.zeros((8, 0), np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    """Sorted hashes, by their differences."""
+    return _pack_planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(_unpack_planes(data), dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _pack_planes(counts.astype(np.uint64))
 
 
 def _unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int64)
+    return _unpack_planes(data).view(np.int64)
 
 
 class _Block:

@@ -61,16 +61,19 @@ def op4(spark, sf):
 
 
 @query("op1_stupid_backoff", """
-WITH word AS (SELECT doc_id, pos, w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS w_next FROM (
+WITH word AS (SELECT doc_id, pos, w, lag(w, 1) OVER d AS b, lag(w, 2) OVER d AS a FROM (
     SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM (SELECT doc_id, regexp_extract_all(
-      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL))),
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL))
+  WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 one AS (SELECT w, count(*) AS c FROM word GROUP BY w),
-two AS (SELECT w, w_next, count(*) AS c FROM word WHERE w_next IS NOT NULL GROUP BY w, w_next HAVING count(*) >= 2),
-prior AS (SELECT doc_id, pos + 1 AS pos, w AS before FROM word),
-scored AS (SELECT word.doc_id, p.before IS NOT NULL AND two.c IS NULL AS backed,
-    CASE WHEN p.before IS NULL THEN ln(one.c / (SELECT count(*) FROM word)) WHEN two.c IS NULL THEN ln(0.4) + ln(one.c / (SELECT count(*) FROM word)) ELSE ln(two.c / h.c) END AS s
-  FROM word JOIN one ON one.w = word.w LEFT JOIN prior p ON p.doc_id = word.doc_id AND p.pos = word.pos
-  LEFT JOIN one h ON h.w = p.before LEFT JOIN two ON two.w = p.before AND two.w_next = word.w)
+two AS (SELECT b, w, count(*) AS c FROM word WHERE b IS NOT NULL GROUP BY b, w HAVING count(*) >= 2),
+three AS (SELECT a, b, w, count(*) AS c FROM word WHERE a IS NOT NULL GROUP BY a, b, w HAVING count(*) >= 2),
+scored AS (SELECT x.doc_id, CASE WHEN x.a IS NOT NULL THEN three.c IS NULL WHEN x.b IS NOT NULL THEN two.c IS NULL ELSE false END AS backed,
+    CASE WHEN three.c IS NOT NULL THEN ln(three.c / h2.c)
+      WHEN two.c IS NOT NULL THEN ln(two.c / h1.c) + CASE WHEN x.a IS NULL THEN 0 ELSE ln(0.4) END
+      ELSE ln(one.c / (SELECT count(*) FROM word)) + CASE WHEN x.a IS NOT NULL THEN 2 WHEN x.b IS NOT NULL THEN 1 ELSE 0 END * ln(0.4) END AS s
+  FROM word x JOIN one ON one.w = x.w LEFT JOIN two ON two.b = x.b AND two.w = x.w LEFT JOIN three ON three.a = x.a AND three.b = x.b AND three.w = x.w
+  LEFT JOIN one h1 ON h1.w = x.b LEFT JOIN two h2 ON h2.b = x.a AND h2.w = x.b)
 SELECT d.doc_id, count(s.s) AS n_words, CAST(coalesce(sum(CAST(s.backed AS INTEGER)), 0) AS BIGINT) AS n_backoff, coalesce(round(sum(s.s), 4), 0) AS log_score
 FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """)
