@@ -105,17 +105,18 @@ def _holders(batches):
     """One row per text with entities: its key, its entities and the distinct terms outside of them."""
     names = ["key", "entities", "terms"]
     for batch in batches:
-        keys, entities, terms = [], [], []
-        for key, text in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-            if not (found := base_spans(text)):
-                continue
-            part = W.Texts(pa.array([text], pa.string()))
-            starts, ends, _ = W.spans(part, W.LETTERED)
-            taken = _Places(part.data).byte_offsets(np.array([span[1:] for span in found]), len(part.data))
-            keys.append(key)
-            entities.append(sorted({_entity(kind, text[x:y]) for kind, x, y in found}))
-            terms.append(W.signed(np.unique(W.word_hashes(part, starts, ends)[_apart(starts, ends, taken)])))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], names)
+        for at, texts in W.slices(batch.column(0)):
+            keys, entities, terms = [], [], []
+            for i, text in enumerate(batch.column(0).slice(at, len(texts)).to_pylist()):
+                if not (found := base_spans(text)):
+                    continue
+                part = W.Texts(pa.array([text], pa.string()))
+                starts, ends, _ = W.spans(part, W.LETTERED)
+                taken = _Places(part.data).byte_offsets(np.array([span[1:] for span in found]), len(part.data))
+                keys.append(batch.column(1)[at + i].as_py())
+                entities.append(sorted({_entity(kind, text[x:y]) for kind, x, y in found}))
+                terms.append(W.signed(np.unique(W.word_hashes(part, starts, ends)[_apart(starts, ends, taken)])))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.int64()))], names)
 
 
 def _bits(rows: DataFrame, value: str, condition: str = "true") -> tuple[np.ndarray, int]:
@@ -134,22 +135,24 @@ def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _terms_of(seen: Broadcast, repeated: Broadcast):
-    """Per text the distinct hashes of its terms whose bit is set, and whether other rows may hold the same text."""
-
-    def rows(batch):
+def _terms_of(batches, seen: np.ndarray, repeated: np.ndarray, again: bool):
+    """Per slice of texts whose key has its bit in ``repeated`` (or has not): keys, row numbers and the distinct seen terms of each row."""
+    for batch in batches:
         keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        again = _has(repeated.value, keys.view(np.uint64))
-        for at, texts in W.slices(batch.column(0)):
+        chosen = _has(repeated, keys.view(np.uint64)) == again
+        if not chosen.any():
+            continue
+        own, column = keys[chosen], batch.column(0).filter(pa.array(chosen))
+        for at, texts in W.slices(column):
             starts, ends, first = W.spans(texts, W.LETTERED)
             hashes = W.word_hashes(texts, starts, ends)
-            hit = np.flatnonzero(_has(seen.value, hashes))
-            pairs = np.unique(np.stack([W.row_of_each(first)[hit], W.signed(hashes)[hit]]), axis=1)
-            cuts = np.searchsorted(pairs[0], np.arange(len(texts) + 1))
-            for i in range(len(texts)):
-                yield int(keys[at + i]), bool(again[at + i]), pairs[1][cuts[i]:cuts[i + 1]]
-
-    return rows
+            hit = np.flatnonzero(_has(seen, hashes))
+            rows, terms = W.row_of_each(first)[hit], W.signed(hashes)[hit]
+            order = np.lexsort((terms, rows))
+            rows, terms = rows[order], terms[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (terms[1:] != terms[:-1])
+            yield own[at:at + len(texts)], rows[new], terms[new]
 
 
 def _single_counter(seen: Broadcast, repeated: Broadcast):
@@ -163,12 +166,12 @@ def _single_counter(seen: Broadcast, repeated: Broadcast):
             held.clear()
             return out
 
-        for batch in batches:
-            for _, again, terms in _terms_of(seen, repeated)(batch):
-                if not again:
-                    held.update(terms.tolist())
-                    if len(held) >= HELD:
-                        yield flush()
+        for _, _, terms in _terms_of(batches, seen.value, repeated.value, False):
+            found, times = np.unique(terms, return_counts=True)
+            for term, n in zip(found.tolist(), times.tolist()):
+                held[term] += n
+            if len(held) >= HELD:
+                yield flush()
         if held:
             yield flush()
 
@@ -179,12 +182,9 @@ def _repeated_terms(seen: Broadcast, repeated: Broadcast):
     """Key and terms of the texts that other rows may hold too."""
 
     def collect(batches):
-        for batch in batches:
-            again = _has(repeated.value, batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            kept = batch.filter(pa.array(again))
-            found = [(key, terms) for key, _, terms in _terms_of(seen, repeated)(kept)] if len(kept) else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in found], pa.int64()), pa.array([t for _, t in found], pa.list_(pa.int64()))], ["key", "terms"])
+        for keys, rows, terms in _terms_of(batches, seen.value, repeated.value, True):
+            offsets = pa.array(np.searchsorted(rows, np.arange(len(keys) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(offsets, pa.array(terms))], ["key", "terms"])
 
     return collect
 
@@ -258,9 +258,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint,removed:boolean>>"
 
 
-def _marker(block: Broadcast, first_pass: bool):
+def _marker(block: Broadcast, first_pass: bool, last_pass: bool):
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("removed", pa.bool_())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", kind)])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", kind), ("clean", pa.string())])
 
     def mark(batches):
         terms, removed = block.value
@@ -289,18 +289,23 @@ def _marker(block: Broadcast, first_pass: bool):
                             for x, y, z in zip(a[free].tolist(), b[free].tolist(), removed[place[own[free]]].tolist())
                         ]
                         spans[r].sort(key=lambda s: (s["kind"], s["start"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.string()), pa.array(spans, kind)], schema=schema)
+                text = part.column(1).cast(pa.string())
+                clean = text
+                if last_pass and any(spans):
+                    clean = pa.array([_replace(t, found) if found else (t if known else None) for t, found, known in zip(rows, spans, text.is_valid().to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(spans, kind), clean], schema=schema)
 
     return mark
 
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``text`` and ``spans`` of personal data and of terms that reveal it.
+def marked(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``text``, ``spans`` of personal data and of terms that reveal it, and the ``clean`` text.
 
     A span has the number of its ``kind`` (see ``KINDS``), code point ``start`` and ``end``, and whether it is ``removed`` or only
-    generalised. Spans of patterns stand as they match; terms that overlap one are part of it already.
+    generalised. Spans of patterns stand as they match; terms that overlap one are part of it already. ``clean`` has ``[email]`` and
+    so on in place of the spans, ``[term]`` for a generalised term, ``[removed]`` for a removed one.
 
-    A null text is an empty one and has no spans. Repeated rows and null ids are rows like any other. Other columns are
+    A null text has no spans and stays null. Repeated rows and null ids are rows like any other. Other columns are
     not read. An empty table gives an empty table.
     """
     sc = docs.sparkSession.sparkContext
@@ -310,13 +315,18 @@ def found_spans(docs: DataFrame) -> DataFrame:
     for i in range(blocks):
         rows = sorted((r["term"], r["removed"]) for r in terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect())
         block = sc.broadcast((np.array([t for t, _ in rows], np.int64), np.array([x for _, x in rows], bool)))
-        state = state.mapInArrow(_marker(block, i == 0), f"doc_id bigint, text string, spans {_SPANS}")
+        state = state.mapInArrow(_marker(block, i == 0, i + 1 == blocks), f"doc_id bigint, text string, spans {_SPANS}, clean string")
         if i + 1 < blocks:  # written, so that an executor never holds two blocks
-            state = write_through(state, "marked")
+            state = write_through(state.drop("clean"), "marked")
             block.destroy()
     return state
 
 
+def found_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``spans`` of ``marked``."""
+    return marked(docs).drop("clean")
+
+
 def _replace(text: str, spans: list[dict]) -> str:
     out, at = [], 0
     for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
@@ -328,17 +338,6 @@ def _replace(text: str, spans: list[dict]) -> str:
     return "".join(out) + text[at:]
 
 
-def with_clean_text(found: DataFrame) -> DataFrame:
-    """``clean``: the text of ``found_spans`` with spans replaced, ``[email]`` and so on, ``[term]`` if generalised, ``[removed]`` if removed."""
-
-    def clean(batches):
-        for batch in batches:
-            texts = [t if t is None else _replace(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.string())], ["doc_id", "spans", "clean"])
-
-    return found.select("doc_id", "text", "spans").mapInArrow(clean, f"doc_id bigint, spans {_SPANS}, clean string")
-
-
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` with the spans of ``found_spans`` replaced; a null text stays null."""
-    return with_clean_text(found_spans(docs)).select("doc_id", F.col("clean").alias("text"))
+    """``doc_id`` and the clean text of ``marked``."""
+    return marked(docs).select("doc_id", F.col("clean").alias("text"))

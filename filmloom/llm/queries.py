@@ -89,7 +89,7 @@ def op7(spark, sf):
 
 @query("op2_disclosure_sanitisation")
 def op2(spark, sf):
-    found = pii.with_clean_text(pii.found_spans(table(spark, sf, "documents").select("doc_id", "text")))
+    found = pii.marked(table(spark, sf, "documents").select("doc_id", "text"))
     names = F.array(*[F.lit(k) for k in pii.KINDS])
     base = F.filter("spans", lambda s: s["kind"] < 4)
 
